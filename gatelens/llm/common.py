@@ -35,11 +35,11 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/gatelens-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    def save(self, df: DataFrame, files: int | None = None) -> DataFrame:
+        """files: at most so many, for tables known to be small."""
         self.n += 1
         path = f"{self.root}/{self.n:04d}"
-        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(path)
+        (df.coalesce(files) if files else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -12,6 +12,8 @@ from gatelens.llm.common import Scratch
 
 #: Nodes that a task's forest holds before it is flushed.
 FOREST_NODES = 500_000
+#: Edges up to which a round writes few files.
+FEW_EDGES = 100_000
 ROUNDS = 60
 
 
@@ -70,18 +72,21 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     nodes = edges.where("a is not null and b is not null")
     left = scratch.save(thin(nodes))
     hooks: list[DataFrame] = []
+    files = None
     first = left
     for r in range(ROUNDS):
-        if left.isEmpty():
+        n = left.count()
+        if not n:
             break
+        files = 8 if n <= FEW_EDGES else None
         both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(F.lit(r), c).alias("h"), c.alias("v"))  # noqa: E731, B023
         hook = both.groupBy("a").agg(F.min(F.least(rank(F.col("a")), rank(F.col("b")))).alias("m"))
-        hook = scratch.save(hook.select(F.col("a").alias("node"), F.col("m.v").alias("up")))
+        hook = scratch.save(hook.select(F.col("a").alias("node"), F.col("m.v").alias("up")), files)
         hooks.append(hook)
         x, y = (hook.select(F.col("node").alias(c), F.col("up").alias(f"u{c}")) for c in "ab")
         moved = left.join(x, "a").join(y, "b").where("ua != ub").select(F.col("ua").alias("a"), F.col("ub").alias("b"))
-        nxt = scratch.save(thin(moved.distinct()))
+        nxt = scratch.save(thin(moved.distinct()), files)
         if left is not first:
             scratch.drop(left)
         left = nxt
@@ -93,4 +98,4 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     for h in hooks[1:]:
         h = h.select(F.col("node").alias("root"), F.col("up").alias("nxt"))
         out = out.join(h, "root", "left").select("node", F.coalesce("nxt", "root").alias("root"))
-    return scratch.save(out)
+    return scratch.save(out, files)

@@ -7,22 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import linededup, mixing, piecebpe, simhash
+from gatelens.llm import linededup, mixing, piecebpe, puquality, simhash, surrogates, weaktox
 from gatelens.llm.common import read
 
 
+#: Of the registered query only; a corpus takes its own.
+SURROGATE_KEY = b"key of the registered query"
+
+
 def tokenizer_model() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = surrogates.replace_entities(docs, SURROGATE_KEY)
+    return out.select("doc_id", "text", F.size("_entities").cast("long").alias("n_entities"), F.to_json("_entities").alias("entities"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = linededup.dedup_lines(docs)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weaktox.score_toxicity(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return puquality.score_quality(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = mixing.copies(docs)
@@ -44,11 +62,21 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_surrogates": op1_surrogates,
     "op2_line_dedup": op2_line_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op7_mix_sources": op7_mix_sources,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "pipeline": pipeline,
 }
 
 # RE2 and Java agree on these classes; DuckDB's trim takes the characters to strip.

@@ -100,7 +100,7 @@ def links(fps: DataFrame, scratch: Scratch, hot_homes: int = HOT_HOMES) -> DataF
     """Edges (a long, b long) of all linked pairs of a table of distinct fingerprints (fp long)."""
     at = scratch.save(over_batches(fps.select("fp"), _anchors, "anchor long, fp long, home boolean"))
     hot = at.where("home").groupBy("anchor").count().where(F.col("count") > hot_homes)
-    hot = scratch.save(hot.select("anchor", F.lit(True).alias("hot")))
+    hot = scratch.save(hot.select("anchor", F.lit(True).alias("hot")), files=8)
     # the other half: bits 32-63 for anchors of half 0, bits 0-31 for those of half 1
     shift = F.when(F.shiftright("anchor", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp")).bitwiseAND(F.lit(0xFFFFFFFF))
     parts = [F.shiftright(shift, 11 * j).bitwiseAND(F.lit(0x7FF)).bitwiseOR(F.lit((j + 1) << 11)).cast("int") for j in range(3)]
