@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import linededup, mixing, piecebpe, puquality, simhash, surrogates, weaktox
+from gatelens.llm import htmltemplate, linededup, mixing, nndescent, piecebpe, puquality, simhash, surrogates, weaktox
 from gatelens.llm.common import read
 
 
@@ -41,6 +41,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return puquality.score_quality(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltemplate.main_text(read(spark, sf_dir, "pages"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = mixing.copies(docs)
@@ -73,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op5_main_text": op5_main_text,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash_dedup": op10_simhash_dedup,
