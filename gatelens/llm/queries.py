@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm import htmltemplate, linededup, mixing, nndescent, piecebpe, puquality, simhash, surrogates, weaktox
+from gatelens.llm import htmltemplate, imagedesc, linededup, media, mixing, nndescent, piecebpe, puquality, simhash, surrogates, weaktox
 from gatelens.llm.common import read
 
 
@@ -61,6 +61,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imagedesc.image_copies(media.drawn(read(spark, sf_dir, "embeddings")))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecebpe.tokens(read(spark, sf_dir, "documents"), tokenizer_model())
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_main_text": op5_main_text,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_mix_sources": op7_mix_sources,
+    "op8_image_copies": op8_image_copies,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash_dedup": op10_simhash_dedup,
     "pipeline": pipeline,
