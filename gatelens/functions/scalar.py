@@ -186,8 +186,9 @@ def segments(c, min_tokens: int = 2, most: int = 4) -> Column:
 
 def ngrams(c, n: int) -> Column:
     words = F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(WORD), F.lit(0))
-    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
+    at = lambda w: F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+    grams = lambda w: F.transform(at(w), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return F.transform(F.array(words), grams)[0]  # the words are found once, not once for each n-gram
 
 
 def sanitize_path(c, most: int = 96) -> Column:

@@ -24,11 +24,15 @@ def norm(v) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, not once for each element of a lambda in body."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit(v) -> Column:
     """The row over its length; rows shorter than 1e-12 stay."""
-    s = sanitize(v)
-    n = norm(s)
-    return F.transform(s, lambda x: x / F.when(n <= 1e-12, 1.0).otherwise(n))
+    over = lambda s, n: F.transform(s, lambda x: x / F.when(n <= 1e-12, 1.0).otherwise(n))
+    return let(sanitize(v), lambda s: let(norm(s), lambda n: over(s, n)))
 
 
 def subtract(a, b) -> Column:

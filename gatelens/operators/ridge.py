@@ -16,6 +16,16 @@ from pyspark.sql import functions as F
 FOLDS = 5
 ALPHA = 0.1
 RANKS = (16, 32)
+#: Wider rows are projected to so many dimensions first.
+DIMS = 96
+
+
+def projected(x: np.ndarray, dims: int = DIMS) -> np.ndarray:
+    """Rows on seeded Gaussian directions of unit length; narrow rows as they are."""
+    if x.shape[1] <= dims:
+        return x
+    r = np.random.default_rng(42).standard_normal((x.shape[1], dims))
+    return x @ (r / np.linalg.norm(r, axis=0)) / np.sqrt(dims)
 
 
 def ensemble_signal(rows: DataFrame, key: str, x: str, y: str, folds: int = FOLDS, ranks: tuple[int, ...] = RANKS) -> DataFrame:
@@ -26,7 +36,7 @@ def ensemble_signal(rows: DataFrame, key: str, x: str, y: str, folds: int = FOLD
         total: dict[int, np.ndarray] = {}
         for b in batches:
             if b.num_rows:
-                f, xs, ys = b.column(0).to_numpy(), np.array(b.column(1).to_pylist()), np.array(b.column(2).to_pylist())
+                f, xs, ys = b.column(0).to_numpy(), projected(np.array(b.column(1).to_pylist())), projected(np.array(b.column(2).to_pylist()))
                 for k in np.unique(f).tolist():
                     a = np.column_stack([np.ones((f == k).sum()), xs[f == k]])
                     s = np.concatenate([[a.shape[1], ys.shape[1]], (a.T @ a).ravel(), (a.T @ ys[f == k]).ravel()])
@@ -55,7 +65,7 @@ def ensemble_signal(rows: DataFrame, key: str, x: str, y: str, folds: int = FOLD
         for b in batches:
             if not b.num_rows:
                 continue
-            f, xs, ys = b.column(1).to_numpy(), np.array(b.column(2).to_pylist()), np.array(b.column(3).to_pylist())
+            f, xs, ys = b.column(1).to_numpy(), projected(np.array(b.column(2).to_pylist())), projected(np.array(b.column(3).to_pylist()))
             a, out = np.column_stack([np.ones(len(xs)), xs]), np.zeros(len(xs))
             for k in np.unique(f).tolist():
                 own = f == k
