@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gatelens.functions.scalar import WORD, col, response_variants
 
@@ -238,7 +239,7 @@ def instruction_gate(df: DataFrame, text: str, rules: list[tuple[str, dict]], lo
 
 
 # JSON -----------------------------------------------------------------------------------------------------------------
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def strict_json(texts: pd.Series) -> pd.Series:
     """Whether a text is JSON, scalars and NaN allowed; trailing text isn't."""
 
@@ -263,7 +264,7 @@ def _leaves(value, path: str = "") -> Iterator[tuple[str, str]]:
         yield path or "_value", str(value)
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def json_leaves(texts: pd.Series) -> pd.Series:
     """Leaf paths and values of a JSON text, values as Python writes them; empty for what isn't JSON."""
 

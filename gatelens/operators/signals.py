@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gatelens.functions.vectors import angle, doubles, dot, norm, subtract, unit
 from gatelens.operators.stats import EPS, MAD_SCALE
@@ -189,7 +190,7 @@ def local_mahalanobis(edges: DataFrame, rows: DataFrame, key: str, shrink: float
     return rows.join(e, key).select(key, distance("d", "_near").alias("diff_residual"))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def hash_embed_768(texts: pd.Series) -> pd.Series:
     """Signed feature hashing of lower-case words into 768 cells, weights 1 + log of the count."""
     import hashlib

@@ -645,13 +645,11 @@ def warn_rank(spark, d):
     return x.select("rank", "user_id", "event_id", r("risk"), r("severity"), r("rank_score"), "tags")
 
 
-@query
 def audit_rows(spark, d):
     p = tables.conversation_pairs(T(spark, d, "conversations")).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     return audit.run(p, audit.AuditConfig(instructions=(("length_constraints:number_words", {"num_words": 3}),))).rows.select("id", "group_id", "hard_gate_pass", "fails", "hards", "risk", "final_state")
 
 
-@query
 def audit_bundles(spark, d):
     p = tables.conversation_pairs(T(spark, d, "conversations")).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     return audit.run(p).bundles
