@@ -11,7 +11,7 @@ from gatelens.functions.scalar import id_or_position
 
 ENCODINGS = ("utf-8", "utf-8-sig", "euc-kr", "cp949")
 MESSAGES = "array<struct<role: string, content: string>>"
-INSTRUCTION_ROWS = T.StructType.fromDDL("key int, instruction_id_list array<string>, prompt string, kwargs array<map<string, string>>")
+INSTRUCTION_ROWS = "key int, instruction_id_list array<string>, prompt string, kwargs array<map<string, string>>"
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
