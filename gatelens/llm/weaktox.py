@@ -38,6 +38,8 @@ WORD = re.compile(r"[^\W\d_]+")
 #: After the hits of each voter: a constant, log of all hits, hits a word, kinds of hits, shouting, log of words.
 EXTRA = 6
 EM_ROUNDS = 15
+#: Vote patterns of a task of a pass.
+TASK_PATTERNS = 20_000
 
 
 def terms(text: str) -> set[str]:
@@ -244,6 +246,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     voters = Voters(mine_voters(docs, labels))
     table = scratch.save(feature_table(docs, voters))
     patterns = scratch.save(table.groupBy("votes").agg(F.count("*").alias("n")))
+    patterns = scratch.save(patterns, files=1 + patterns.count() // TASK_PATTERNS)
     m = len(voters.chosen) + 4
     model = LabelModel(m).fit(patterns)
     width = voters.width
