@@ -6,6 +6,11 @@ in Hamming tables: four bands of 32 bits each are join keys. In a bucket, images
 same in all buckets, and each is paired with the few before it, so copies, however many, give a number of pairs that is
 proportional to them, not to its square, and the same pairs in all their buckets. Pairs that meet at least twice are
 verified: mutual nearest descriptors, then the consensus of a similarity transform. Images of equal pixels are one.
+
+Pairs that this passes over share a bucket of more images than an image is paired with. Those that lie in one component
+already need no link. For the rest, such a bucket is cut into blocks, its large components into blocks of their own, and
+blocks are compared with each other but for two of one component: images of different components whose descriptors in
+the bucket match are verified as well.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelens.llm.common import Scratch, over_batches
+from gatelens.llm.common import Scratch, over_batches, over_runs
 from gatelens.llm.components import connected_components
 
 SCALES = (1.0, 1.5, 2.25)
@@ -29,6 +34,8 @@ BANDS, BAND_BYTES = 4, 4
 #: Images before it in a bucket that an image is paired with.
 BEFORE = 6
 MEETINGS = 2
+#: Rows of a block of a crowded bucket, about.
+BLOCK = 256
 #: Bits that matching descriptors may differ in; matches and share of points that must agree; pixels of tolerance.
 MATCH_BITS, AGREE, AGREE_SHARE, TOLERANCE = 28, 8, 0.2, 3.0
 
@@ -220,21 +227,91 @@ def _described(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, ["media_id", "k1", "k2", "n_points", "points", "bits"])
 
 
+def _band(d: np.ndarray, band: int) -> np.ndarray:
+    own = np.full(len(d), band, np.int64)
+    for byte in range(BAND_BYTES):
+        own = (own << 8) | d[:, BAND_BYTES * band + byte]
+    return own
+
+
 def _keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (key, id): every bucket of an image once."""
     keys, who = [], []
     for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         d = np.frombuffer(raw, np.uint8).reshape(-1, TESTS // 8)
         for band in range(BANDS):
-            own = np.full(len(d), band, np.int64)
-            for byte in range(BAND_BYTES):
-                own = (own << 8) | d[:, BAND_BYTES * band + byte]
-            own = np.unique(own)
+            own = np.unique(_band(d, band))
             keys.append(own)
             who.append(np.full(len(own), i))
     cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, who)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "id"])
 
 
+def _descriptors(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (key, id, comp, lo, hi): every descriptor of an image under each of its buckets, as two integers."""
+    parts = []
+    for i, comp, raw in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+        d = np.frombuffer(raw, np.uint8).reshape(-1, TESTS // 8)
+        both = d.view(np.int64)
+        for band in range(BANDS):
+            parts.append(np.stack([_band(d, band), np.full(len(d), i), np.full(len(d), comp), both[:, 0], both[:, 1]]))
+    cols = np.concatenate(parts, axis=1) if parts else np.zeros((5, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "id", "comp", "lo", "hi"])
+
+
+def _block_pairs(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    """Pairs of images of different components, one of each block, whose descriptors match."""
+    first, who, comp, lo, hi = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("first", "id", "comp", "lo", "hi"))
+    a, b = np.flatnonzero(first), np.flatnonzero(~first)
+    if not len(b):  # a block with itself
+        b = a
+    lo, hi = lo.view(np.uint64), hi.view(np.uint64)
+    us, ws = [], []
+    for i in range(0, len(a), 512):
+        x = a[i : i + 512]
+        far = np.bitwise_count(lo[x][:, None] ^ lo[b][None]).astype(np.int64) + np.bitwise_count(hi[x][:, None] ^ hi[b][None])
+        m, n = np.nonzero((far <= MATCH_BITS) & (comp[x][:, None] != comp[b][None]))
+        us.append(np.minimum(who[x[m]], who[b[n]]))
+        ws.append(np.maximum(who[x[m]], who[b[n]]))
+    if not sum(map(len, us)):
+        return None
+    u, w = np.unique(np.stack([np.concatenate(us), np.concatenate(ws)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(w)], ["a", "b"])
+
+
+def crowded_pairs(rows: DataFrame, images: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of different components that match in a bucket of rows (key, id) where neighbours don't meet all.
+
+    images: (id, comp, bits). Blocks of a bucket that lie in one component are not compared with each other.
+    """
+    size = rows.join(images.select("id", "comp"), "id").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    size = scratch.save(size)
+    keys = size.groupBy("key").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("comps")).where((F.col("n") > BEFORE + 1) & (F.col("comps") > 1))
+    parts = scratch.save(size.join(keys.select("key", "n"), "key"))
+    # a large component has blocks of its own, told by its name; small ones share those named zero
+    large = F.col("m") > BLOCK
+    parts = parts.select(
+        "key", "comp",
+        F.when(large, F.col("comp")).otherwise(F.lit(0)).alias("of"),
+        F.when(large, F.ceil(F.col("m") / BLOCK)).otherwise(1).cast("int").alias("cuts"),
+        F.when(large, 0).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("n") / BLOCK))).cast("int").alias("at"),
+    )
+    blocks = parts.select("key", "of", F.explode(F.when(F.col("of") == 0, F.array("at")).otherwise(F.sequence(F.lit(0), F.col("cuts") - 1))).alias("cut"))
+    blocks = scratch.save(blocks.distinct())
+    x, y = blocks.toDF("key", "of1", "cut1"), blocks.toDF("key", "of2", "cut2")
+    ordered = (F.col("of1") < F.col("of2")) | ((F.col("of1") == F.col("of2")) & (F.col("cut1") <= F.col("cut2")))
+    pairs = x.join(y, "key").where(ordered & ~((F.col("of1") == F.col("of2")) & (F.col("of1") != 0)))
+    pairs = scratch.save(pairs)
+    own = (F.col("of1") == F.col("of2")) & (F.col("cut1") == F.col("cut2"))
+    sides = pairs.select("key", F.col("of1").alias("of"), F.col("cut1").alias("cut"), F.lit(True).alias("first"), "of1", "cut1", "of2", "cut2").union(
+        pairs.where(~own).select("key", "of2", "cut2", F.lit(False), "of1", "cut1", "of2", "cut2")
+    )
+    seen = over_batches(images.select("id", "comp", "bits"), _descriptors, "key long, id long, comp long, lo long, hi long")
+    seen = seen.join(parts, ["key", "comp"]).withColumn("cut", F.when(F.col("of") == 0, F.col("at")).otherwise(F.pmod(F.xxhash64("id"), "cuts")).cast("int"))
+    dealt = seen.select("key", "of", "cut", "id", "comp", "lo", "hi").join(sides, ["key", "of", "cut"]).drop("of", "cut")
+    return over_runs(dealt, ["key", "of1", "cut1", "of2", "cut2"], _block_pairs, "a long, b long").distinct()
+
+
 def _meetings(batches):
     """Pairs of the sorted rows (key, at, id): of each with the BEFORE before it under its key."""
     left = None
@@ -281,8 +358,17 @@ def image_copies(media: DataFrame) -> DataFrame:
     met = dealt.mapInArrow(_meetings, "a long, b long").groupBy("a", "b").count().where(F.col("count") >= MEETINGS).select("a", "b")
     x = one.select(F.col("id").alias("a"), F.col("points").alias("pa"), F.col("bits").alias("da"))
     y = one.select(F.col("id").alias("b"), F.col("points").alias("pb"), F.col("bits").alias("db"))
-    both = scratch.save(met).join(x, "a").join(y, "b").select("a", "b", "pa", "da", "pb", "db")
-    comp = connected_components(over_batches(both, _verified, "a long, b long"), scratch)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = scratch.save(pairs).join(x, "a").join(y, "b").select("a", "b", "pa", "da", "pb", "db")
+        return scratch.save(over_batches(both, _verified, "a long, b long"))
+
+    near = verified(met)
+    comp = connected_components(near, scratch)
+    images = one.where("n_points > 0").join(comp, one.id == comp.node, "left").select("id", F.coalesce("root", "id").alias("comp"), "bits")
+    more = verified(crowded_pairs(rows.select("key", "id"), scratch.save(images), scratch))
+    if not more.isEmpty():
+        comp = connected_components(near.union(more), scratch)
     of = one.join(comp, one.id == comp.node, "left").select("k1", "k2", "n_points", "least", F.coalesce("root", "id").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     of = of.join(least, "root").select("k1", "k2", "n_points", "component_id").join(ids, ["k1", "k2"])
