@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelens.llm.common import Scratch, over_batches, over_runs
+from gatelens.llm.common import Scratch, join_checked, over_batches, over_runs
 from gatelens.llm.components import connected_components
 
 SCALES = (1.0, 1.5, 2.25)
@@ -212,12 +212,14 @@ def is_copy(pa_: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray) ->
 def _described(batch: pa.RecordBatch) -> pa.RecordBatch:
     ids, k1, k2, n, points, bits = [], [], [], [], [], []
     for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        ids.append(i)
         if i is None or data is None:
+            for column, nothing in ((k1, None), (k2, None), (n, 0), (points, None), (bits, None)):
+                column.append(nothing)
             continue
         image = decode(data)
         same = np.frombuffer(xxhash.xxh3_128_digest(data if image is None else repr(image.shape).encode() + image.tobytes()), np.int64)
         p, d = describe(image)
-        ids.append(i)
         k1.append(int(same[0]))
         k2.append(int(same[1]))
         n.append(len(p))
@@ -247,6 +249,14 @@ def _keys(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "id"])
 
 
+def _buckets(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (key, comp): every bucket of an image once, with the image's component."""
+    keys = _keys(batch.select(["id", "bits"]))
+    comp = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    of = np.array([comp[i] for i in keys.column(1).to_pylist()], np.int64)
+    return pa.RecordBatch.from_arrays([keys.column(0), pa.array(of)], ["key", "comp"])
+
+
 def _descriptors(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Rows (key, id, comp, lo, hi): every descriptor of an image under each of its buckets, as two integers."""
     parts = []
@@ -279,15 +289,16 @@ def _block_pairs(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(w)], ["a", "b"])
 
 
-def crowded_pairs(rows: DataFrame, images: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): pairs of different components that match in a bucket of rows (key, id) where neighbours don't meet all.
+def crowded_pairs(images: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of different components that match in a bucket whose neighbours don't meet all.
 
     images: (id, comp, bits). Blocks of a bucket that lie in one component are not compared with each other.
     """
-    size = rows.join(images.select("id", "comp"), "id").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    size = scratch.save(size)
-    keys = size.groupBy("key").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("comps")).where((F.col("n") > BEFORE + 1) & (F.col("comps") > 1))
-    parts = scratch.save(size.join(keys.select("key", "n"), "key"))
+    images = images.select("id", "comp", "bits")
+    held = over_batches(images, _buckets, "key long, comp long")
+    mixed = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mixed = scratch.save(mixed.where((F.col("n") > BEFORE + 1) & (F.col("lo") != F.col("hi"))).select("key", "n"))
+    parts = scratch.save(join_checked(held, mixed, "key", "inner").groupBy("key", "n", "comp").agg(F.count(F.lit(1)).alias("m")))
     # a large component has blocks of its own, told by its name; small ones share those named zero
     large = F.col("m") > BLOCK
     parts = parts.select(
@@ -306,8 +317,8 @@ def crowded_pairs(rows: DataFrame, images: DataFrame, scratch: Scratch) -> DataF
     sides = pairs.select("key", F.col("of1").alias("of"), F.col("cut1").alias("cut"), F.lit(True).alias("first"), "of1", "cut1", "of2", "cut2").union(
         pairs.where(~own).select("key", "of2", "cut2", F.lit(False), "of1", "cut1", "of2", "cut2")
     )
-    seen = over_batches(images.select("id", "comp", "bits"), _descriptors, "key long, id long, comp long, lo long, hi long")
-    seen = seen.join(parts, ["key", "comp"]).withColumn("cut", F.when(F.col("of") == 0, F.col("at")).otherwise(F.pmod(F.xxhash64("id"), "cuts")).cast("int"))
+    seen = over_batches(images, _descriptors, "key long, id long, comp long, lo long, hi long")
+    seen = join_checked(seen, mixed.select("key"), "key", "left_semi").join(parts, ["key", "comp"]).withColumn("cut", F.when(F.col("of") == 0, F.col("at")).otherwise(F.pmod(F.xxhash64("id"), "cuts")).cast("int"))
     dealt = seen.select("key", "of", "cut", "id", "comp", "lo", "hi").join(sides, ["key", "of", "cut"]).drop("of", "cut")
     return over_runs(dealt, ["key", "of1", "cut1", "of2", "cut2"], _block_pairs, "a long, b long").distinct()
 
@@ -348,11 +359,12 @@ def image_copies(media: DataFrame) -> DataFrame:
     scratch = Scratch(media.sparkSession)
     given = media.select(F.col("media_id").cast("long"), "image")
     found = scratch.save(over_batches(given, _described, "media_id long, k1 long, k2 long, n_points long, points binary, bits binary"))
-    ids = found.select("media_id", "k1", "k2").distinct()
-    one = found.groupBy("k1", "k2").agg(F.min("media_id").alias("least"), F.first("points").alias("points"), F.first("bits").alias("bits"), F.first("n_points").alias("n_points"))
+    images = found.where("k1 is not null")
+    ids = images.select("media_id", "k1", "k2").distinct()
+    one = images.groupBy("k1", "k2").agg(F.min("media_id").alias("least"), F.first("points").alias("points"), F.first("bits").alias("bits"), F.first("n_points").alias("n_points"))
     one = scratch.save(one.withColumn("id", F.xxhash64("k1", "k2", "least")))
-    rows = scratch.save(over_batches(one.where("n_points > 0").select("id", "bits"), _keys, "key long, id long"))
-    rows = rows.select("key", F.xxhash64(F.col("id"), F.lit(3)).alias("at"), "id")
+    held = scratch.save(over_batches(one.where("n_points > 0").select("id", "bits"), _keys, "key long, id long"))
+    rows = held.select("key", F.xxhash64(F.col("id"), F.lit(3)).alias("at"), "id")
     # dealt by ranges of key and hash: a key that many images share spreads over tasks
     dealt = rows.repartitionByRange("key", "at").sortWithinPartitions("key", "at")
     met = dealt.mapInArrow(_meetings, "a long, b long").groupBy("a", "b").count().where(F.col("count") >= MEETINGS).select("a", "b")
@@ -364,16 +376,17 @@ def image_copies(media: DataFrame) -> DataFrame:
         return scratch.save(over_batches(both, _verified, "a long, b long"))
 
     near = verified(met)
+    scratch.drop(held)
     comp = connected_components(near, scratch)
     images = one.where("n_points > 0").join(comp, one.id == comp.node, "left").select("id", F.coalesce("root", "id").alias("comp"), "bits")
-    more = verified(crowded_pairs(rows.select("key", "id"), scratch.save(images), scratch))
+    more = verified(crowded_pairs(scratch.save(images), scratch))
     if not more.isEmpty():
         comp = connected_components(near.union(more), scratch)
     of = one.join(comp, one.id == comp.node, "left").select("k1", "k2", "n_points", "least", F.coalesce("root", "id").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     of = of.join(least, "root").select("k1", "k2", "n_points", "component_id").join(ids, ["k1", "k2"])
     of = scratch.save(of.groupBy("media_id").agg(F.max("n_points").alias("n_points"), F.min("component_id").alias("component_id")))
-    out = given.select("media_id").join(of, "media_id", "left")
+    out = found.select("media_id").join(of, "media_id", "left")
     out = out.select("media_id", F.coalesce("n_points", F.lit(0)).alias("n_points"), F.coalesce("component_id", "media_id").alias("component_id"))
     return out.withColumn("kept", F.col("media_id") == F.col("component_id"))
 

@@ -255,8 +255,7 @@ def test_crowded_image_buckets(spark, monkeypatch):
                     if any(np.bitwise_count(r ^ t).sum() <= imagedesc.MATCH_BITS for r in x for t in y):
                         want.add((a, b))
     df = spark.createDataFrame(images, "id long, comp long, bits binary")
-    rows = spark.createDataFrame([(k, i) for k, ids in holders.items() for i in ids], "key long, id long")
-    got = [tuple(r) for r in imagedesc.crowded_pairs(rows, df, imagedesc.Scratch(spark)).collect()]
+    got = [tuple(r) for r in imagedesc.crowded_pairs(df, imagedesc.Scratch(spark)).collect()]
     assert want and len(got) == len(set(got)) and set(got) == want
 
 
