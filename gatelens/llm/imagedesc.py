@@ -299,13 +299,16 @@ def crowded_pairs(images: DataFrame, scratch: Scratch) -> DataFrame:
     mixed = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     mixed = scratch.save(mixed.where((F.col("n") > BEFORE + 1) & (F.col("lo") != F.col("hi"))).select("key", "n"))
     parts = scratch.save(join_checked(held, mixed, "key", "inner").groupBy("key", "n", "comp").agg(F.count(F.lit(1)).alias("m")))
+    # so many rows are in small components: blocks are cut by them alone, else few rows would be copied to many blocks
+    small_rows = parts.where(F.col("m") <= BLOCK).groupBy("key").agg(F.sum("m").alias("small_rows"))
+    parts = parts.join(small_rows, "key", "left")
     # a large component has blocks of its own, told by its name; small ones share those named zero
     large = F.col("m") > BLOCK
     parts = parts.select(
         "key", "comp",
         F.when(large, F.col("comp")).otherwise(F.lit(0)).alias("of"),
         F.when(large, F.ceil(F.col("m") / BLOCK)).otherwise(1).cast("int").alias("cuts"),
-        F.when(large, 0).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("n") / BLOCK))).cast("int").alias("at"),
+        F.when(large, 0).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("small_rows") / BLOCK))).cast("int").alias("at"),
     )
     blocks = parts.select("key", "of", F.explode(F.when(F.col("of") == 0, F.array("at")).otherwise(F.sequence(F.lit(0), F.col("cuts") - 1))).alias("cut"))
     blocks = scratch.save(blocks.distinct())
