@@ -10,7 +10,7 @@ verified: mutual nearest descriptors, then the consensus of a similarity transfo
 Pairs that this passes over share a bucket of more images than an image is paired with. Those that lie in one component
 already need no link. For the rest, such a bucket is cut into blocks, its large components into blocks of their own, and
 blocks are compared with each other but for two of one component: images of different components whose descriptors in
-the bucket match are verified as well.
+the bucket differ in at most CLOSE_BITS are verified as well.
 """
 
 from __future__ import annotations
@@ -35,7 +35,10 @@ BANDS, BAND_BYTES = 4, 4
 BEFORE = 6
 MEETINGS = 2
 #: Rows of a block of a crowded bucket, about.
-BLOCK = 256
+BLOCK = 1024
+#: Bits that descriptors may differ in to meet in a crowded bucket. A pair that differs in more shares one of four bands
+#: less than once in eight times, so what meets beyond is mostly chance, and grows with the square of the bucket.
+CLOSE_BITS = 12
 #: Bits that matching descriptors may differ in; matches and share of points that must agree; pixels of tolerance.
 MATCH_BITS, AGREE, AGREE_SHARE, TOLERANCE = 28, 8, 0.2, 3.0
 
@@ -270,7 +273,7 @@ def _descriptors(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _block_pairs(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """Pairs of images of different components, one of each block, whose descriptors match."""
+    """Pairs of images of different components, one of each block, whose descriptors differ in few bits."""
     first, who, comp, lo, hi = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("first", "id", "comp", "lo", "hi"))
     a, b = np.flatnonzero(first), np.flatnonzero(~first)
     if not len(b):  # a block with itself
@@ -280,7 +283,7 @@ def _block_pairs(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     for i in range(0, len(a), 512):
         x = a[i : i + 512]
         far = np.bitwise_count(lo[x][:, None] ^ lo[b][None]).astype(np.int64) + np.bitwise_count(hi[x][:, None] ^ hi[b][None])
-        m, n = np.nonzero((far <= MATCH_BITS) & (comp[x][:, None] != comp[b][None]))
+        m, n = np.nonzero((far <= CLOSE_BITS) & (comp[x][:, None] != comp[b][None]))
         us.append(np.minimum(who[x[m]], who[b[n]]))
         ws.append(np.maximum(who[x[m]], who[b[n]]))
     if not sum(map(len, us)):
@@ -290,7 +293,7 @@ def _block_pairs(batch: pa.RecordBatch) -> pa.RecordBatch | None:
 
 
 def crowded_pairs(images: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): pairs of different components that match in a bucket whose neighbours don't meet all.
+    """(a, b): pairs of different components that are close in a bucket whose neighbours don't meet all.
 
     images: (id, comp, bits). Blocks of a bucket that lie in one component are not compared with each other.
     """
@@ -315,15 +318,17 @@ def crowded_pairs(images: DataFrame, scratch: Scratch) -> DataFrame:
     x, y = blocks.toDF("key", "of1", "cut1"), blocks.toDF("key", "of2", "cut2")
     ordered = (F.col("of1") < F.col("of2")) | ((F.col("of1") == F.col("of2")) & (F.col("cut1") <= F.col("cut2")))
     pairs = x.join(y, "key").where(ordered & ~((F.col("of1") == F.col("of2")) & (F.col("of1") != 0)))
-    pairs = scratch.save(pairs)
     own = (F.col("of1") == F.col("of2")) & (F.col("cut1") == F.col("cut2"))
-    sides = pairs.select("key", F.col("of1").alias("of"), F.col("cut1").alias("cut"), F.lit(True).alias("first"), "of1", "cut1", "of2", "cut2").union(
-        pairs.where(~own).select("key", "of2", "cut2", F.lit(False), "of1", "cut1", "of2", "cut2")
+    # a hash names two blocks, its last bit a block with itself: where names clash, all are compared at once, and no pair is lost
+    name = F.shiftleft(F.xxhash64("key", "of1", "cut1", "of2", "cut2"), 1).bitwiseOR(own.cast("long"))
+    pairs = scratch.save(pairs.withColumn("pair", name))
+    sides = pairs.select("key", F.col("of1").alias("of"), F.col("cut1").alias("cut"), F.lit(True).alias("first"), "pair").union(
+        pairs.where(~own).select("key", "of2", "cut2", F.lit(False), "pair")
     )
     seen = over_batches(images, _descriptors, "key long, id long, comp long, lo long, hi long")
     seen = join_checked(seen, mixed.select("key"), "key", "left_semi").join(parts, ["key", "comp"]).withColumn("cut", F.when(F.col("of") == 0, F.col("at")).otherwise(F.pmod(F.xxhash64("id"), "cuts")).cast("int"))
-    dealt = seen.select("key", "of", "cut", "id", "comp", "lo", "hi").join(sides, ["key", "of", "cut"]).drop("of", "cut")
-    return over_runs(dealt, ["key", "of1", "cut1", "of2", "cut2"], _block_pairs, "a long, b long").distinct()
+    dealt = seen.join(sides, ["key", "of", "cut"]).select("pair", "first", "id", "comp", "lo", "hi")
+    return over_runs(dealt, ["pair"], _block_pairs, "a long, b long").distinct()
 
 
 def _meetings(batches):
