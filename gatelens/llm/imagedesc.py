@@ -7,10 +7,10 @@ same in all buckets, and each is paired with the few before it, so copies, howev
 proportional to them, not to its square, and the same pairs in all their buckets. Pairs that meet at least twice are
 verified: mutual nearest descriptors, then the consensus of a similarity transform. Images of equal pixels are one.
 
-Pairs that this passes over share a bucket of more images than an image is paired with. Those that lie in one component
-already need no link. For the rest, such a bucket is cut into blocks, its large components into blocks of their own, and
-blocks are compared with each other but for two of one component: images of different components whose descriptors in
-the bucket differ in at most CLOSE_BITS are verified as well.
+What this passes over and lies in one component already needs no link. Images of different components whose descriptors
+share a bucket and differ in at most CLOSE_BITS are verified as well: a bucket's descriptors are compared with each
+other. A crowded bucket is cut into blocks, its large components into blocks of their own, and blocks are compared with
+each other but for two of one component.
 """
 
 from __future__ import annotations
@@ -34,9 +34,11 @@ BANDS, BAND_BYTES = 4, 4
 #: Images before it in a bucket that an image is paired with.
 BEFORE = 6
 MEETINGS = 2
-#: Rows of a block of a crowded bucket, about.
-BLOCK = 1024
-#: Bits that descriptors may differ in to meet in a crowded bucket. A pair that differs in more shares one of four bands
+#: Images of a bucket that a task compares at once; above, it is cut into blocks of about so many rows.
+SMALL, BLOCK = 64, 1024
+#: Rows that a task reads before it compares those of each bucket.
+RUN_ROWS = 16_384
+#: Bits that descriptors of different components may differ in to meet in a bucket. A pair that differs in more shares one of four bands
 #: less than once in eight times, so what meets beyond is mostly chance, and grows with the square of the bucket.
 CLOSE_BITS = 12
 #: Bits that matching descriptors may differ in; matches and share of points that must agree; pixels of tolerance.
@@ -292,16 +294,52 @@ def _block_pairs(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(w)], ["a", "b"])
 
 
+def _small_pairs(batches):
+    """Pairs of the rows (key, id, comp, lo, hi), sorted by key, that share a key, differ in component and are close."""
+
+    def pairs(rows: np.ndarray) -> pa.RecordBatch:
+        key, who, comp, lo, hi = rows
+        us, ws, d = [], [], 1
+        i = np.flatnonzero(key[1:] == key[:-1]) + 1
+        while len(i):
+            own = i[comp[i] != comp[i - d]]
+            far = np.bitwise_count((lo[own] ^ lo[own - d]).view(np.uint64)).astype(np.int64) + np.bitwise_count((hi[own] ^ hi[own - d]).view(np.uint64))
+            own = own[far <= CLOSE_BITS]
+            us.append(np.minimum(who[own], who[own - d]))
+            ws.append(np.maximum(who[own], who[own - d]))
+            d += 1
+            i = i[i >= d]
+            i = i[key[i] == key[i - d]]
+        u, w = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, ws))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(w)], ["a", "b"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append(np.stack([c.to_numpy() for c in b.columns]))
+        n += b.num_rows
+        if n >= RUN_ROWS:
+            rows = np.concatenate(held, axis=1)
+            whole = int(np.searchsorted(rows[0], rows[0, -1]))  # the last key may go on
+            yield pairs(rows[:, :whole])
+            held, n = [rows[:, whole:]], 0
+    if held:
+        yield pairs(np.concatenate(held, axis=1))
+
+
 def crowded_pairs(images: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): pairs of different components that are close in a bucket whose neighbours don't meet all.
+    """(a, b): pairs of different components that are close in a bucket.
 
     images: (id, comp, bits). Blocks of a bucket that lie in one component are not compared with each other.
     """
     images = images.select("id", "comp", "bits")
     held = over_batches(images, _buckets, "key long, comp long")
-    mixed = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = scratch.save(mixed.where((F.col("n") > BEFORE + 1) & (F.col("lo") != F.col("hi"))).select("key", "n"))
-    parts = scratch.save(join_checked(held, mixed, "key", "inner").groupBy("key", "n", "comp").agg(F.count(F.lit(1)).alias("m")))
+    crowded = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    crowded = scratch.save(crowded.where(F.col("n") > SMALL).select("key", (F.col("lo") != F.col("hi")).alias("mixed")))
+    seen = over_batches(images, _descriptors, "key long, id long, comp long, lo long, hi long")
+    few = join_checked(seen, crowded.select("key"), "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    few = few.mapInArrow(_small_pairs, "a long, b long")
+    mixed = scratch.save(crowded.where("mixed").select("key"), files=8)
+    parts = scratch.save(join_checked(held, mixed, "key", "inner").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")))
     # so many rows are in small components: blocks are cut by them alone, else few rows would be copied to many blocks
     small_rows = parts.where(F.col("m") <= BLOCK).groupBy("key").agg(F.sum("m").alias("small_rows"))
     parts = parts.join(small_rows, "key", "left")
@@ -325,10 +363,9 @@ def crowded_pairs(images: DataFrame, scratch: Scratch) -> DataFrame:
     sides = pairs.select("key", F.col("of1").alias("of"), F.col("cut1").alias("cut"), F.lit(True).alias("first"), "pair").union(
         pairs.where(~own).select("key", "of2", "cut2", F.lit(False), "pair")
     )
-    seen = over_batches(images, _descriptors, "key long, id long, comp long, lo long, hi long")
-    seen = join_checked(seen, mixed.select("key"), "key", "left_semi").join(parts, ["key", "comp"]).withColumn("cut", F.when(F.col("of") == 0, F.col("at")).otherwise(F.pmod(F.xxhash64("id"), "cuts")).cast("int"))
+    seen = join_checked(seen, mixed, "key", "left_semi").join(parts, ["key", "comp"]).withColumn("cut", F.when(F.col("of") == 0, F.col("at")).otherwise(F.pmod(F.xxhash64("id"), "cuts")).cast("int"))
     dealt = seen.join(sides, ["key", "of", "cut"]).select("pair", "first", "id", "comp", "lo", "hi")
-    return over_runs(dealt, ["pair"], _block_pairs, "a long, b long").distinct()
+    return few.union(over_runs(dealt, ["pair"], _block_pairs, "a long, b long")).distinct()
 
 
 def _meetings(batches):

@@ -231,12 +231,14 @@ def test_images(spark):
 
 def test_crowded_image_buckets(spark, monkeypatch):
     monkeypatch.setattr(imagedesc, "BLOCK", 8)
+    monkeypatch.setattr(imagedesc, "SMALL", 6)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 256, (4, 16), np.uint8)
     images = []
     for i in range(90):
         d = base[rng.permutation(4)[: 1 + i % 4]].copy()
         d[:, 8:] ^= (rng.random((len(d), 8)) < 0.25).astype(np.uint8) << 3
+        d[:, 12:] ^= 255 * (rng.random((len(d), 4)) < 0.3).astype(np.uint8)
         images.append((i + 1, 1 if i < 50 else i // 3, d.tobytes()))
     read = lambda raw: np.frombuffer(raw, np.uint8).reshape(-1, 16)
     want, holders = set(), {}
@@ -246,16 +248,16 @@ def test_crowded_image_buckets(spark, monkeypatch):
                 holders.setdefault(key, set()).add(i)
     by_id = {i: (c, read(raw)) for i, c, raw in images}
     for key, ids in holders.items():
-        if len(ids) <= imagedesc.BEFORE + 1:
-            continue
         for a in ids:
             for b in ids:
                 if a < b and by_id[a][0] != by_id[b][0]:
                     x, y = ([r for r in by_id[k][1] if key in [imagedesc._band(r[None], n)[0] for n in range(4)]] for k in (a, b))
-                    if any(np.bitwise_count(r ^ t).sum() <= imagedesc.MATCH_BITS for r in x for t in y):
+                    if any(np.bitwise_count(r ^ t).sum() <= imagedesc.CLOSE_BITS for r in x for t in y):
                         want.add((a, b))
     df = spark.createDataFrame(images, "id long, comp long, bits binary")
     got = [tuple(r) for r in imagedesc.crowded_pairs(df, imagedesc.Scratch(spark)).collect()]
+    sizes = [len(ids) for ids in holders.values()]
+    assert min(sizes) <= 6 < max(sizes)  # both ways are taken
     assert want and len(got) == len(set(got)) and set(got) == want
 
 
