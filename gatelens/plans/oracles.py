@@ -34,6 +34,28 @@ l AS (SELECT *, 1.4826 * mad AS a, 1.4826 * umad AS b, CASE WHEN un >= 20 THEN (
 LADDER_OUT = """CASE WHEN a > 1e-12 THEN a WHEN b > 1e-12 THEN b WHEN c > 1e-12 THEN c WHEN d > 1e-12 THEN d WHEN e > 1e-12 THEN e ELSE 0 END"""
 LADDER_SOURCE = """CASE WHEN a > 1e-12 THEN 'mad' WHEN b > 1e-12 THEN 'upper_mad' WHEN c > 1e-12 THEN 'upper_iqr' WHEN d > 1e-12 THEN 'iqr' WHEN e > 1e-12 THEN 'span' ELSE 'flat' END"""
 
+def pair_signals(cut: str = "true", least: int = 1) -> str:
+    """Pairs of vectors, their ten nearest inputs with cut, and per pair: tau, mid and spread of the neighbours' tau, angle and its median."""
+    return f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.vec_id // 2 AS id, a.v AS x, b.v AS y FROM e a JOIN e b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1),
+near AS (SELECT a.id, b.id AS neighbour, (1 - list_dot_product(a.x, b.x))::FLOAT AS distance FROM p a JOIN p b ON a.id <> b.id),
+ten AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) <= 10),
+k AS (SELECT * FROM ten WHERE {cut} QUALIFY count(*) OVER (PARTITION BY id) >= {least}),
+c AS (SELECT id, unnest(x) AS x, unnest(y) AS y, generate_subscripts(x, 1) AS i FROM p),
+l AS (SELECT id, sqrt(sum(x * x)) AS nx, sqrt(sum(y * y)) AS ny FROM c GROUP BY 1),
+d AS (SELECT id, i, y / ny - x / nx AS d FROM c JOIN l USING (id)),
+tau AS (SELECT id, sqrt(sum(d * d)) AS tau FROM d GROUP BY 1),
+u AS (SELECT id, i, d / tau AS u FROM d JOIN tau USING (id)),
+mid AS (SELECT k.id, median(tau) AS m FROM k JOIN tau ON tau.id = k.neighbour GROUP BY 1),
+spread AS (SELECT k.id, m, median(abs(tau - m)) AS s FROM k JOIN tau ON tau.id = k.neighbour JOIN mid ON mid.id = k.id GROUP BY 1, 2),
+mu AS (SELECT k.id, i, avg(u) AS mu FROM k JOIN u ON u.id = k.neighbour GROUP BY 1, 2),
+far AS (SELECT mu.id, u.id AS other, acos(greatest(-1.0, least(1.0, sum(u * mu) / (sqrt(sum(u * u)) * sqrt(sum(mu * mu)))))) AS angle
+        FROM mu JOIN (SELECT id, neighbour FROM k UNION ALL SELECT DISTINCT id, id FROM k) o ON o.id = mu.id JOIN u ON u.id = o.neighbour AND u.i = mu.i GROUP BY 1, 2),
+turn AS (SELECT id, max(angle) FILTER (other = id) AS own, median(angle) FILTER (other <> id) AS usual FROM far GROUP BY 1),
+scale AS (SELECT id, tau, sqrt(least(greatest(tau / (median(tau) OVER () + 1e-9), 0.25), 4.0)) AS scale FROM tau),
+signals AS (SELECT id, abs(tau - m) / (1.4826 * s + 1e-6) AS length, own / (usual + 1e-6) AS direction, scale FROM scale JOIN spread USING (id) JOIN turn USING (id))"""
+
+
 ORACLES: dict[str, str] = {
     "robust_z_events": f"""WITH {Z}, m AS (SELECT event_type, median(value) AS med FROM events GROUP BY 1),
 s AS (SELECT event_type, count(*) AS n, med, median(abs(value - med)) AS mad FROM events JOIN m USING (event_type) GROUP BY 1, 3)
@@ -134,6 +156,15 @@ SELECT c.tier AS tier, c.id AS id, count(*) AS n, {r('avg(c.ok::INT)', 'accuracy
 k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS rank FROM d) SELECT vec_id, rank::INT AS rank, neighbour, round(distance::DOUBLE, 4) AS distance FROM k WHERE rank <= 5""",
     "knn_cosine_by_label": """WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.label, a.vec_id, b.vec_id AS neighbour, (1 - list_dot_product(a.v, b.v))::FLOAT AS distance FROM e a JOIN e b ON a.vec_id <> b.vec_id AND a.label = b.label),
 k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS rank FROM d) SELECT label, vec_id, rank::INT AS rank, neighbour, round(distance::DOUBLE, 4) AS distance FROM k WHERE rank <= 3""",
+    "unit_vectors": """WITH p AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x FROM embeddings), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM p GROUP BY 1)
+SELECT vec_id, round(sqrt(sum((3 * x / (3 * n)) * (3 * x / (3 * n)))), 6) AS length, round(sum(x * 2 * x), 6) AS dot FROM p JOIN n USING (vec_id) GROUP BY 1""",
+    "output_density": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.v, b.v)::FLOAT AS distance FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT vec_id, distance::DOUBLE AS distance, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS rank FROM d),
+m AS (SELECT vec_id, k, avg(distance) AS m FROM r JOIN (VALUES (10), (15), (20)) AS ks(k) ON rank <= k GROUP BY 1, 2), c AS (SELECT k, median(m) AS c FROM m GROUP BY 1),
+s AS (SELECT k, c, median(abs(m - c)) AS s FROM m JOIN c USING (k) GROUP BY 1, 2) SELECT vec_id, round(median((m - c) / (1.4826 * s + 1e-9)), 3) AS density FROM m JOIN s USING (k) GROUP BY 1""",
+    "delta_length": f"{pair_signals()} SELECT id, round(length, 4) AS length_signal FROM signals",
+    "delta_direction": f"{pair_signals()} SELECT id, round(direction * scale, 4) AS direction_signal FROM signals",
+    "sim_conflict": f"{pair_signals('1 - distance::DOUBLE >= 0.35', 3)} SELECT id, round(coalesce(direction + length, 0.0), 4) AS conflict FROM p LEFT JOIN signals USING (id)",
     "class_centroids": f"""WITH p AS (SELECT label, vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM p WHERE label IN (SELECT label FROM embeddings GROUP BY 1 HAVING count(*) >= 20) GROUP BY 1, 2)
 SELECT label, i::INT AS i, {r('x / sqrt(sum(x * x) OVER (PARTITION BY label))', 'x')} FROM m""",
     "robust_z_policy": f"{ladder('events', 'event_type', 'value')} SELECT event_type, n, {r('q[3]', 'median')}, {r(LADDER_OUT, 'sigma')}, {LADDER_SOURCE} AS source, {r(f'q[3] + 3.5 * {LADDER_OUT}', 'threshold')} FROM l",
