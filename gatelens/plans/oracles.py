@@ -208,6 +208,55 @@ SELECT event_id, {r('1 / (1 + exp(-least(60.0, greatest(-60.0, (v - 100) / 20)))
  printf('#%02x%02x%02x', round_even(CASE WHEN p < 0.5 THEN 220 ELSE 220 - (p - 0.5) * 360 END, 0)::INT, round_even(CASE WHEN p < 0.5 THEN 60 + p * 240 ELSE 180 END, 0)::INT, 60) AS colour, {r('v + 3.5 * x', 'k_up')} FROM t""",
 }
 
+
+
+def capped_z(c: str, table: str) -> str:
+    """(vec_id, z): robust z of a column over all rows, held to 30."""
+    return f"""(SELECT vec_id, greatest(-30.0, least(30.0, ({c} - m) / (1.4826 * s + 1e-9))) AS z
+  FROM {table}, (SELECT median({c}) AS m FROM {table}), (SELECT median(abs({c} - m)) AS s FROM {table}, (SELECT median({c}) AS m FROM {table})))"""
+
+
+SIMS = ORACLES["class_margins"].rpartition("\nSELECT vec_id, ")[0].replace("SELECT vec_id, max(s) FILTER (k = label)", "SELECT vec_id, label, max(s) FILTER (k = label)")
+SIMS += """, sims AS (SELECT vec_id, label, own, other - own AS margin, (ln(z) - e / z) / ln(greatest(n, 2)) AS disorder FROM g WHERE own IS NOT NULL),
+parts AS (SELECT *, greatest(0.0, margin * greatest(0.0, 1 - own)) AS severity, 1 - own AS off, abs(own - median(own) OVER (PARTITION BY label)) AS apart FROM sims)"""
+ORACLES["contradiction"] = f"""{SIMS} SELECT vec_id, round(0.7 * a.z + 0.3 * b.z, 4) AS contradiction FROM {capped_z('margin', 'parts')} a JOIN {capped_z('severity', 'parts')} b USING (vec_id)"""
+ORACLES["discourse_instability"] = f"""{SIMS} SELECT vec_id, round((0.4 * a.z + 0.6 * b.z + 0.25 * c.z) / 1.25, 4) AS discourse
+FROM {capped_z('off', 'parts')} a JOIN {capped_z('disorder', 'parts')} b USING (vec_id) JOIN {capped_z('apart', 'parts')} c USING (vec_id)"""
+ORACLES["cosine_residuals"] = f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.vec_id // 2 AS id, list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1)
+SELECT id, {r('1 - c', 'residual')}, {r('acos(c)', 'angle')} FROM p"""
+
+
+def positive_z(table: str, by: str, v: str, name: str) -> str:
+    """CTE of rows with zp, the positive robust z of a column in its group."""
+    return f"""{name} AS (SELECT *, greatest(0.0, ({v} - m) / (1.4826 * s + 1e-9)) AS zp
+  FROM (SELECT *, median(abs({v} - m)) OVER (PARTITION BY {by}) AS s FROM (SELECT *, median({v}) OVER (PARTITION BY {by}) AS m FROM {table})))"""
+
+
+def soft(x: str, width: float = 0.6) -> str:
+    return f"(1 / (1 + exp(-least(60.0, ({x}) / {width}))))"
+
+
+def plus(x: str) -> str:
+    return f"ln(1 + exp(least(60.0, ({x}) / 0.8)))"
+
+
+def unit_risk(x: str) -> str:
+    return f"least(1.0, greatest(0.0, {x}))"
+
+
+ORACLES["diag_quadrants"] = f"""WITH {positive_z('lineitem', 'l_returnflag', 'l_extendedprice', 'a')}, a2 AS (SELECT * EXCLUDE (m, s, zp), {soft('zp - 2')} AS p FROM a), {positive_z('a2', 'l_returnflag', 'l_quantity', 'b')},
+x AS (SELECT l_returnflag, p, {soft('zp - 2')} AS q FROM b), g AS (SELECT l_returnflag, avg((1 - p) * (1 - q)) AS q00, avg(p * (1 - q)) AS q10, avg((1 - p) * q) AS q01, avg(p * q) AS q11 FROM x GROUP BY 1),
+h AS (SELECT *, {unit_risk('q10 + q01 + q11')} AS rate, {unit_risk('q11 + 0.5 * least(q10, q01)')} AS mass FROM g)
+SELECT l_returnflag, {', '.join(r(c, c) for c in ('q00', 'q10', 'q01', 'q11', 'rate', 'mass'))}, {r('1 - (1 - rate * 0.55 / 0.85) * (1 - mass * 0.3 / 0.85)', 'risk')} FROM h"""
+ORACLES["bundle_axes"] = f"""WITH {positive_z('events', 'event_type', 'value', 'a')}, x AS (SELECT event_type, zp, {soft('zp - 2')} AS pf, {soft('zp - 3.5')} AS ph FROM a),
+c AS (SELECT event_type, median(zp) AS cm FROM (SELECT *, quantile_cont(zp, 0.7) OVER (PARTITION BY event_type) AS q FROM x) WHERE zp <= q GROUP BY 1),
+k AS (SELECT event_type, median(abs(zp - cm)) AS mad FROM (SELECT *, quantile_cont(zp, 0.7) OVER (PARTITION BY event_type) AS q FROM x) JOIN c USING (event_type) WHERE zp <= q GROUP BY 1),
+g AS (SELECT event_type, count(*) AS n, avg(pf) AS p_fail, avg(ph) AS p_hard, avg({plus('zp - 2')}) + 3 * avg({plus('zp - 3.5')}) AS mass FROM x GROUP BY 1),
+h AS (SELECT *, {unit_risk('p_fail + 8 * p_hard')} AS r_rate, mass / (mass + 0.5) AS r_mass, mad / (mad + 0.5) AS r_core FROM g JOIN k USING (event_type)),
+o AS (SELECT *, {unit_risk('1 - (1 - r_core * 0.15) * (1 - r_rate * 0.55) * (1 - r_mass * 0.3) + 0.25 * p_hard * (0.5 + 0.5 * r_mass)')} AS risk FROM h)
+SELECT event_type, n, {', '.join(r(c, c) for c in ('p_fail', 'p_hard', 'r_rate', 'r_mass', 'r_core', 'risk'))}, {r('5 * (1 - risk)', 'quality')} FROM o"""
+
 # Instruction checks: a blank response follows none.
 _W = "[\\p{L}\\p{N}_]+"
 _COUNT = "len(regexp_extract_all(text, '{}'))"
@@ -233,6 +282,9 @@ _CHECKS = {
     "instr_key_sentences": "contains(text, 'Released under the MIT License.')::INT + contains(text, 'the.')::INT = 1",
     "instr_forbidden_words": "NOT (list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 'idiot') OR list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 'moron'))",
     "instr_overlap": "least(len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: x = 'the')), 2) + " + " + ".join(f"least(len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: x = '{w}')), 1)" for w in ("of", "and", "to")) + " BETWEEN 3 AND 5",
+    "instr_number_paragraphs": "len(list_filter(string_split_regex(text, '\\s?\\*\\*\\*\\s?')[2:-2], lambda p: trim(p) = '')) = 0 AND len(list_filter(string_split_regex(text, '\\s?\\*\\*\\*\\s?'), lambda p: trim(p) <> '')) = 1",
+    "instr_first_word": "len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: trim(p) <> '')) = 1 AND lower(regexp_extract(trim(string_split(text, chr(10) || chr(10))[1]), '^[''\"]*([^\\s.,?!''\"]*)', 1)) = 'the'",
+    "instr_two_responses": "len(list_filter(string_split(text, '******'), lambda p: trim(p) <> '')) = 2 AND len(list_distinct(list_transform(list_filter(string_split(text, '******'), lambda p: trim(p) <> ''), lambda p: trim(p)))) = 2",
     "instr_postscript": "regexp_matches(lower(text), 'p\\.\\s?s\\.')",
 }
 for _name, _test in _CHECKS.items():

@@ -7,7 +7,7 @@ from gatelens.plans.catalog import QUERIES
 from gatelens.plans.oracles import ORACLES
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["robust_z_events", "weighted_quantile_price", "boxplot_orders", "signal_histogram", "confusion_quality", "soft_weights", "top_anomalies", "leaves_props", "instr_no_comma", "knn_euclid", "calib_tristate", "trace_pairs", "unit_vectors", "output_density", "delta_direction", "sim_conflict"]
+NAMES = ["robust_z_events", "weighted_quantile_price", "boxplot_orders", "signal_histogram", "confusion_quality", "soft_weights", "top_anomalies", "leaves_props", "instr_no_comma", "knn_euclid", "calib_tristate", "trace_pairs", "unit_vectors", "output_density", "delta_direction", "sim_conflict", "contradiction", "cosine_residuals", "bundle_axes", "instr_first_word"]
 
 
 def value(v):
