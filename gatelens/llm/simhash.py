@@ -18,7 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gatelens.llm import shingles
 from gatelens.llm.common import Scratch, join_checked, over_batches, texts
 from gatelens.llm.components import connected_components
 
@@ -59,6 +61,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return over_batches(docs.select(F.col("doc_id").cast("long"), "text"), _fingerprints, "doc_id long, fp long")
 
 
+def with_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """The rows with their fingerprint as _key."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.array([fingerprint(t, words) for t in texts(b)], dtype=np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], [*b.schema.names, "_key"])
+
+    return over_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("_key", T.LongType())]))
+
+
 def _syndromes(x: np.ndarray) -> np.ndarray:
     """For 31-bit words, the exclusive or of the places (1 to 31) of the bits that are set."""
     s = np.zeros(len(x), np.int64)
@@ -132,11 +144,22 @@ def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, similarity: float | None = None) -> DataFrame:
     """The document with the smallest doc_id of each component, every column kept; of repeated rows one stays.
 
+    With a similarity, documents link whose sets of shingles have at least that Jaccard similarity; else those whose
+    fingerprints differ in at most BITS bits. At a similarity of 0.8 fingerprints differ in about 10 bits, and in a few
+    more or less by chance: no radius that anchors can cover finds all such pairs, so the sets themselves are joined.
     Rows without doc_id stay only if their component has no row with one, and then all of them stay.
     """
-    found = near_duplicates(docs).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.where("doc_id is not null").join(found.where("_kept is not null"), docs.doc_id == F.col("_kept"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.save(shingles.keyed(docs, words) if similarity is not None else with_fingerprints(docs, words))
+    classes = scratch.save(rows.groupBy("_key").agg(F.min(F.col("doc_id").cast("long")).alias("first")))
+    edges = shingles.links(rows, words, similarity, scratch) if similarity is not None else links(classes.select(F.col("_key").alias("fp")), scratch)
+    comp = connected_components(edges, scratch)
+    of = scratch.save(classes.join(comp, classes._key == comp.node, "left").select("_key", "first", F.coalesce("root", "_key").alias("root")))
+    # ids may repeat in other components, so a row is known by its id and key
+    best = of.groupBy("root").agg(F.min(F.when(F.col("first").isNotNull(), F.struct("first", "_key"))).alias("best"))
+    stay = scratch.save(of.join(best, "root").where("best is null or best._key = _key").select("_key", F.col("best.first").alias("_id")))
+    kept = join_checked(rows, stay, "_key", "inner")
+    return kept.where(F.col("doc_id").cast("long") == F.col("_id")).dropDuplicates(["doc_id"]).select(docs.columns)
