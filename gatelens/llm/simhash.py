@@ -162,4 +162,5 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float | None = Non
     best = of.groupBy("root").agg(F.min(F.when(F.col("first").isNotNull(), F.struct("first", "_key"))).alias("best"))
     stay = scratch.save(of.join(best, "root").where("best is null or best._key = _key").select("_key", F.col("best.first").alias("_id")))
     kept = join_checked(rows, stay, "_key", "inner")
-    return kept.where(F.col("doc_id").cast("long") == F.col("_id")).dropDuplicates(["doc_id"]).select(docs.columns)
+    named = kept.where(F.col("doc_id").cast("long") == F.col("_id")).dropDuplicates(["_key"])
+    return named.select(docs.columns).union(kept.where("_id is null").select(docs.columns))

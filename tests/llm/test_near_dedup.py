@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from gatelens.llm import shingles
+from gatelens.llm import shingles, simhash
 
 
 def by_hand(rows):
@@ -58,3 +58,12 @@ def test_stage_is_brute_force(spark, monkeypatch, small):
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, _ in want)
     assert len(want) < len(rows) - 50
     assert corpus_pipeline.keep_one_copy(spark, df.where("false"), "").count() == 0
+
+
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_rows_without_id_and_repeated_ids(spark, similarity):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [(None, a), (None, a), (1, b), (None, b), (2, c), (2, d), (2, d), (5, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, simhash.keep_one(df, 5, similarity).collect()), key=repr)
+    assert got == sorted([(None, a), (None, a), (1, b), (2, c), (2, d)], key=repr)
