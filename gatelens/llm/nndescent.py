@@ -6,7 +6,8 @@ pairs of them are compared, and each keeps its nearest. Lists that are full of l
 verified in double precision and joined to components. A list that ended full may hide links of its node, so inside
 each component links are counted exactly, by blocks of vectors against each other; only counts leave a block.
 
-Recall is audited against brute force on a hashed sample of nodes; below MIN_RECALL the graph is refined from more trees.
+Recall is audited against brute force on a hashed sample of nodes, node by node; below MIN_RECALL the graph is refined from more
+trees, and where that doesn't help all nodes are searched exactly.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from gatelens.llm.components import connected_components
 COSINE = 0.95
 LIST = 8
 MAX_LIST = 64
-#: Pairs below this cosine are no neighbours worth keeping: they lead to no link.
-FLOOR = 0.6
-TREES = 4
+#: Below all cosines: a list takes any neighbours until it is full, so that every node enters the rounds.
+FLOOR = -1.5
+#: Least trees, and the share of pairs at the threshold that are to share a leaf: trees grow with the planes, so with the nodes.
+TREES, MEET = 4, 0.99
 #: Nodes of a tree's block, and of a block in which links are counted.
 LEAF, COUNT_BLOCK = 64, 1024
 ROUNDS = 4
@@ -70,9 +72,19 @@ def _sizes(column: pa.Array) -> np.ndarray:
     return np.array([len(x) for x in column.to_pylist()])
 
 
+def planes_of(n: int) -> int:
+    return min(48, max(1, math.ceil(math.log2(max(2, n / (LEAF // 2))))))
+
+
+def trees_of(n: int) -> int:
+    """Trees in which a pair at the threshold shares a side of all planes at least once, but for 1 - MEET of pairs."""
+    together = (1 - math.acos(COSINE) / math.pi) ** planes_of(n)
+    return max(TREES, math.ceil(math.log(1 - MEET) / math.log(1 - together)))
+
+
 def _trees(nodes: DataFrame, n: int, trees: range) -> DataFrame:
-    """(tree, code, id, h): sides of random planes that each node lies on."""
-    bits = min(48, max(1, math.ceil(math.log2(max(2, n / (LEAF // 2))))))
+    """(tree, code, leaf, id, h): sides of random planes that each node lies on; a last tree deals all nodes at random."""
+    bits = planes_of(n)
 
     def codes(b: pa.RecordBatch) -> pa.RecordBatch:
         ids, h, size = b.column(0).to_numpy(), b.column(1), _sizes(b.column(1))
@@ -80,6 +92,7 @@ def _trees(nodes: DataFrame, n: int, trees: range) -> DataFrame:
         for d in np.unique(size).tolist():
             own = np.flatnonzero(size == d)
             x = rows_of(h.take(pa.array(own)), np.float16)
+            out.append((np.full(len(own), -1 - trees.start), np.full(len(own), d << 50), ids[own], h.take(pa.array(own))))
             for t in trees:
                 planes = np.random.default_rng([t, d]).standard_normal((x.shape[1], bits))
                 code = ((x @ planes > 0) @ (1 << np.arange(bits))).astype(np.int64) ^ (d << 50)
@@ -213,8 +226,38 @@ def count_links(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     return over_runs(at, ["root", "lo", "hi"], _count_links, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def exact_edges(asked: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    """Edges (a, b) that join different components, of the links of asked (id) with all nodes (id, v), block by block."""
+    wide = 4 * COUNT_BLOCK
+    rows, cols = (max(1, math.ceil(x.count() / size)) for x, size in ((asked, COUNT_BLOCK), (nodes, wide)))
+    known = comp.select(F.col("node").alias("id"), "root")
+    at = nodes.select("id", "v").join(known, "id", "left").select("id", "v", F.coalesce("root", "id").alias("root"))
+    own, every = F.pmod(F.xxhash64("id"), F.lit(rows)), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(cols))
+    left = at.join(asked.select("id"), "id", "left_semi").select(own.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))).alias("j"), "id", "v", "root", F.lit(1).alias("side"))
+    right = at.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("i"), every.alias("j"), "id", "v", "root", F.lit(0).alias("side"))
+
+    def run(g: pa.RecordBatch) -> pa.RecordBatch:
+        ids, v, root, side = g.column(2).to_numpy(), g.column(3), g.column(4).to_numpy(), g.column(5).to_numpy()
+        size, a, b = _sizes(v), [], []
+        for d in np.unique(size[side == 1]).tolist():
+            i, j = np.flatnonzero((side == 1) & (size == d)), np.flatnonzero((side == 0) & (size == d))
+            if len(j):
+                y = rows_of(v.take(pa.array(j)), np.float64)
+                for k in range(0, len(i), 256):
+                    q = i[k : k + 256]
+                    p, o = np.nonzero((rows_of(v.take(pa.array(q)), np.float64) @ y.T >= COSINE) & (root[q][:, None] != root[j]))
+                    a.append(ids[q[p]])
+                    b.append(ids[j[o]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (a, b)], ["a", "b"])
+
+    return over_runs(left.union(right), ["i", "j"], run, "a long, b long")
+
+
 def audit(nodes: DataFrame, links: DataFrame, sample: int = AUDIT) -> float:
-    """Share of the links of a hashed sample of nodes, counted by brute force, that were found."""
+    """Of a hashed sample of nodes, the mean share of a node's links, counted by brute force, that were found.
+
+    The lesser of that of all and that of nodes with few links, so that a large group doesn't hide what pairs lose.
+    """
     spark = nodes.sparkSession
     asked = nodes.select("id", "v").orderBy(F.xxhash64("id", F.lit(7))).limit(sample).collect()
     if not asked:
@@ -236,8 +279,9 @@ def audit(nodes: DataFrame, links: DataFrame, sample: int = AUDIT) -> float:
         return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(n, pa.int64())], ["id", "true"])
 
     true = over_batches(nodes.select("id", "v", "n"), brute, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    r = true.join(links, "id", "left").agg(F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("got"), F.sum("true").alias("true")).first()
-    return 1.0 if not r.true else r.got / r.true
+    share = F.least("true", F.coalesce("links", F.lit(0))) / F.col("true")
+    r = true.join(links, "id", "left").agg(F.avg(share).alias("all"), F.avg(F.when(F.col("true") <= LIST, share)).alias("few")).first()
+    return min(1.0 if x is None else x for x in (r["all"], r["few"]))
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -255,13 +299,18 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     # a vec_id that has several vectors could be the name of two nodes: the pair of hash and id names it
     nodes = scratch.save(nodes.select("k1", "k2", F.col("id").alias("least"), F.xxhash64("k1", "k2", "id").alias("id"), "n", "v", "h"))
     n, graph, links, comp = nodes.count(), None, None, None
+    trees, slim = trees_of(n), nodes.select("id", "n", "v")
     for attempt in range(RETRIES + 1):
-        graph = neighbour_graph(nodes.select("id", "h"), n, scratch, range(attempt * TREES, (attempt + 1) * TREES), graph)
+        graph = neighbour_graph(nodes.select("id", "h"), n, scratch, range(attempt * trees, (attempt + 1) * trees), graph)
         near = graph.where(F.col("s") >= COSINE - SLACK).select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w")).distinct()
-        comp = connected_components(_verify(near, nodes), scratch)
-        links = scratch.save(count_links(nodes.select("id", "n", "v"), comp))
+        edges = scratch.save(_verify(near, nodes))
+        comp = connected_components(edges, scratch)
+        links = scratch.save(count_links(slim, comp))
         if audit(nodes, links) >= MIN_RECALL:
             break
+    else:  # what rounds don't find is searched exactly
+        comp = connected_components(edges.union(exact_edges(slim, slim, comp)), scratch)
+        links = scratch.save(count_links(slim, comp))
     of = nodes.join(comp, nodes.id == comp.node, "left").join(links, "id", "left")
     of = of.select("k1", "k2", "least", F.coalesce("root", "id").alias("root"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
