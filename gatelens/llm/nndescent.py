@@ -3,8 +3,9 @@
 Equal vectors share one node. A neighbour graph starts from blocks of random-projection trees, then neighbours of
 neighbours are joined, round by round: a node's neighbours, those whose neighbour it is, and itself meet at it, all
 pairs of them are compared, and each keeps its nearest. Lists that are full of links double, up to MAX_LIST. Links are
-verified in double precision and joined to components. A list that ended full may hide links of its node, so inside
-each component links are counted exactly, by blocks of vectors against each other; only counts leave a block.
+verified in double precision and joined to components. A list that ended full may hide links of its node: links out of
+its component are searched exactly, and inside each component links are counted exactly, by blocks of vectors against
+each other; only edges between components and counts leave a block.
 
 Recall is audited against brute force on a hashed sample of nodes, node by node; below MIN_RECALL the graph is refined from more
 trees, and where that doesn't help all nodes are searched exactly.
@@ -305,6 +306,11 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         near = graph.where(F.col("s") >= COSINE - SLACK).select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w")).distinct()
         edges = scratch.save(_verify(near, nodes))
         comp = connected_components(edges, scratch)
+        # a list of nothing but links may have lost one to another component: such nodes, and those without a list, are held against all
+        lists = graph.groupBy("u").agg(F.min("s").alias("last")).where(F.col("last") < COSINE - SLACK)
+        hidden = scratch.save(nodes.select("id").join(lists, nodes.id == lists.u, "left_anti"))
+        edges = scratch.save(edges.union(exact_edges(hidden, slim, comp)))
+        comp = connected_components(edges, scratch)
         links = scratch.save(count_links(slim, comp))
         if audit(nodes, links) >= MIN_RECALL:
             break
