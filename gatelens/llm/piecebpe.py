@@ -6,12 +6,16 @@ finds its best-ranked adjacent pair (a segmented minimum), merges the leftmost o
 compacted; units without a pair leave. A unit's other occurrences of the pair merge in the same round only if no pair
 with the merged piece can rank before it (checked for each piece when the tables are built), as the library takes
 one merge at a time, best rank first, leftmost first.
+
+In a long unit (text without spaces), pairs of any rank merge in the same round if nothing that ranks before them can
+ever reach them: no pair of their left symbol with a piece that ends in the symbol before it, none of their right symbol
+with one that begins with the symbol after it, and none of the merged piece with either. What merges of those symbols
+make still ends, or begins, with them, so the order of such merges makes no difference.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -26,8 +30,8 @@ SPACE = "▁"
 NONE = np.iinfo(np.int64).max
 #: Units that a task keeps encoded.
 CACHE_UNITS = 400_000
-#: Symbols of a unit beyond which pairs that must merge one by one are taken from a heap.
-HEAP_SYMBOLS = 64
+#: Symbols of a unit from which a round also looks for pairs that nothing can reach; in shorter ones the best pairs alone are cheaper.
+LONG = 32
 UNIT = re.compile(" *[^ ]+| +$")
 
 
@@ -71,6 +75,7 @@ class Tables:
         for side in (self.keys // self.size, self.keys % self.size):
             np.minimum.at(first, side, self.rank[self.merged])
         self.together = first > self.rank
+        self._bounds(plain)
         self.control = {i for i in ids if sp.is_control(i)}
         self.byte_of = {int(i): b for b, i in enumerate(self.bytes)}
 
@@ -80,34 +85,39 @@ class Tables:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.merged[at], -1)
 
-    def one_by_one(self, symbols: list[int]) -> list[int]:
-        """The rest of a long unit's merges, from a heap."""
-        sym, n = list(symbols), len(symbols)
-        nxt, prv = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def push(i: int, j: int) -> None:
-            m = int(self.pairs(np.array([sym[i]]), np.array([sym[j]]))[0])
-            if m >= 0:
-                heapq.heappush(heap, (int(self.rank[m]), i, sym[i], sym[j], m))
-
-        found = self.pairs(np.array(sym[:-1], np.int64), np.array(sym[1:], np.int64))
-        for i in np.flatnonzero(found >= 0).tolist():
-            heap.append((int(self.rank[found[i]]), i, sym[i], sym[i + 1], int(found[i])))
-        heapq.heapify(heap)
-        gone = [False] * n
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            j = nxt[i]
-            if gone[i] or j < 0 or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], gone[j], nxt[i] = m, True, nxt[j]
-            if nxt[j] >= 0:
-                prv[nxt[j]] = i
-                push(i, nxt[j])
-            if prv[i] >= 0:
-                push(prv[i], i)
-        return [s for s, g in zip(sym, gone, strict=True) if not g]
+    def _bounds(self, plain: dict[str, int]) -> None:
+        """Least ranks of pairs, by a piece that one side ends or begins with, and the other side."""
+        a, b, rank = self.keys // self.size, self.keys % self.size, self.rank[self.merged]
+
+        def expand(side: np.ndarray, parts) -> tuple[np.ndarray, np.ndarray]:
+            """For each pair, the pieces that are parts of its side: (which pair, piece)."""
+            own = [[i for part in parts(p) if (i := plain.get(part)) is not None] for p in self.pieces]
+            n = np.fromiter(map(len, own), np.int64, len(own))
+            flat, start = np.array([i for o in own for i in o], np.int64), np.cumsum(n) - n
+            which = np.repeat(np.arange(len(side)), n[side])
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(n[side]) - n[side], n[side])
+            return which, flat[start[side[which]] + nth]
+
+        which, end = expand(a, lambda p: (p[k:] for k in range(len(p))))
+        self.before = _least(end * self.size + b[which], rank[which])
+        which, begin = expand(b, lambda p: (p[:k] for k in range(1, len(p) + 1)))
+        self.after = _least(a[which] * self.size + begin, rank[which])
+
+    def reach(self, left: np.ndarray, s: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Least rank of a pair that a piece may ever be in, given the symbols around it (below zero: none that merges)."""
+        out = np.where(left >= 0, _look(self.before, left * self.size + s), NONE)
+        return np.minimum(out, np.where(right >= 0, _look(self.after, s * self.size + right), NONE))
+
+    def unreached(self, sym: np.ndarray, to: np.ndarray, rank: np.ndarray, same: np.ndarray) -> np.ndarray:
+        """Places of pairs that no pair of a better or equal rank can ever reach; same: whether the next symbol is of the unit."""
+        at = np.flatnonzero(rank < NONE)
+        n, none = len(sym), np.full(len(at), -1, np.int64)
+        left = np.where((at > 0) & same[at - 1], sym[at - 1], -1)
+        right = np.where(same[at + 1], sym[np.minimum(at + 2, n - 1)], -1)
+        r = rank[at]
+        ok = (r < self.reach(left, sym[at], none)) & (r < self.reach(none, sym[at + 1], right))
+        at, left, right, r = at[ok], left[ok], right[ok], r[ok]
+        return at[r < self.reach(left, to[at], right)]
 
     def encode_units(self, units: list[str]) -> list[list[int]]:
         """The ids of each unit, whose spaces are SPACE already."""
@@ -124,33 +134,27 @@ class Tables:
 
         while len(sym):
             same = unit[1:] == unit[:-1]
-            to = np.where(same, self.pairs(sym[:-1], sym[1:]), -1)
-            rank = np.append(np.where(to >= 0, self.rank[to], NONE), NONE)
+            to = np.append(np.where(same, self.pairs(sym[:-1], sym[1:]), -1), -1)
+            rank = np.where(to >= 0, self.rank[to], NONE)
             starts = np.concatenate(([0], np.flatnonzero(~same) + 1))
             best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(sym))))
             over = best == NONE
             if over.any():
                 leave(sym[over], unit[over])
                 stay = ~over
-                sym, unit, rank, best = sym[stay], unit[stay], rank[stay], best[stay]
-                to = np.append(to, -1)[stay]
+                sym, unit, rank, best, to = sym[stay], unit[stay], rank[stay], best[stay], to[stay]
                 if not len(sym):
                     break
             hit = np.flatnonzero(rank == best)
             first = np.concatenate(([True], np.diff(unit[hit]) > 0))
             run = np.flatnonzero(np.concatenate(([True], np.diff(hit) > 1)))  # overlapping occurrences: every other one
             odd = (np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))) % 2 == 1
-            safe = self.together[to[hit]]
-            if not safe.all():
-                slow = np.unique(unit[hit[~safe]])
-                sizes = np.bincount(unit, minlength=len(units))[slow]
-                for k in slow[sizes > HEAP_SYMBOLS].tolist():
-                    done[k] = self.one_by_one(sym[unit == k].tolist())
-                rest = ~np.isin(unit, slow[sizes > HEAP_SYMBOLS])
-                if not rest.all():
-                    sym, unit = sym[rest], unit[rest]
-                    continue
-            take = hit[first | (safe & ~odd)]
+            take = hit[first | (self.together[to[hit]] & ~odd)]
+            sizes = np.bincount(unit, minlength=len(units))
+            if sizes.max() >= LONG:
+                wide = sizes[unit] >= LONG
+                more = self.unreached(sym[wide], to[wide], rank[wide], np.append(unit[wide][1:] == unit[wide][:-1], False))
+                take = np.union1d(take, np.flatnonzero(wide)[more])
             sym = sym.copy()
             sym[take] = to[take]
             keep = np.ones(len(sym), bool)
@@ -193,6 +197,20 @@ class Tables:
         return [*(i for u in self.encode_units(split(text)) for i in u), self.end]
 
 
+def _least(keys: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the least rank of each."""
+    at = np.argsort(keys, kind="stable")
+    keys, rank = keys[at], rank[at]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[starts], np.minimum.reduceat(rank, starts)
+
+
+def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    known, rank = table
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, rank[at], NONE)
+
+
 def _utf8(run: bytes) -> str:
     try:
         return run.decode("utf-8")
