@@ -53,6 +53,14 @@ class Scratch:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that no column has, upper and lower case alike."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"{name}_"
+    return name
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most so many rows; reads no more than that many and one."""
     return df.limit(rows + 1).count() <= rows

@@ -2,9 +2,11 @@
 
 A line's key is the line stripped of ASCII white space with A-Z lower-cased; it is stored as 128 hash bits. Postings
 (key, doc_id) are the exact record: inserting documents adds theirs, deleting takes them away, so counts go down as
-they went up. Reference counts (documents holding a key, the largest of them) are counted from postings. Keys held by
-enough documents, the repeated ones, also sit in cuckoo filters, one per shard of keys: a lookup asks the filter first,
-and only lines it admits meet the exact table. Insertions and deletions change a shard's filter in place.
+they went up. Reference counts (documents holding a key, the largest of them) are counted from postings, after a change
+of the touched keys only. Keys held by enough documents, the repeated ones, are dealt into shards; a shard holds their
+counts, sorted, and a cuckoo filter of them, which insertions and deletions change in place. A lookup asks the filter of
+its shard first, and only lines it admits meet the exact counts. Where all shards together are few they travel to the
+texts, and no text is moved; else postings travel to the shards, a shard's spread over as many tasks as they need.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gatelens.llm.common import Scratch, over_batches, small, text_batches, texts
+from gatelens.llm.common import Scratch, fresh, over_batches, text_batches, texts
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -27,8 +30,12 @@ MIN_DOCS = 3
 SHARD_KEYS = 1 << 16
 SLOTS = 4
 KICKS = 500
-#: Bytes of filters that may be broadcast; beyond, lines go to the exact table without them.
-FILTER_BYTES = 32 << 20
+#: Repeated keys up to which the shards travel to the texts.
+BROADCAST_KEYS = 500_000
+#: Postings of a shard that a task looks up at once.
+TASK_POSTINGS = 1 << 20
+#: Changes after which the layers of postings are written as one table, and the fill at which keys are dealt to more shards.
+LAYERS, CROWDED = 8, 2
 
 
 def line_keys(text: str, min_chars: int = MIN_CHARS) -> tuple[list[str], list[bytes | None]]:
@@ -139,100 +146,191 @@ def shard(shards: int):
     return F.pmod(F.xxhash64("k2"), F.lit(shards)).cast("int")
 
 
-def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys, room = pdf["k1"].to_numpy(), len(pdf)
+def filled(keys: np.ndarray) -> CuckooFilter:
+    room = len(keys)
     while not (f := CuckooFilter(room)).add(keys):
-        room *= 2
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "filter": [f.raw()]})
+        room = 2 * room + 1
+    return f
+
+
+SHARD = "shard int, filter binary, k1 binary, k2 binary, last binary"
+
+
+def _state(number: int, f: CuckooFilter, k1: np.ndarray, k2: np.ndarray, last: np.ndarray) -> pd.DataFrame:
+    at = np.lexsort((k2, k1))
+    return pd.DataFrame({"shard": [number], "filter": [f.raw()], "k1": [k1[at].tobytes()], "k2": [k2[at].tobytes()], "last": [last[at].tobytes()]})
+
+
+def _columns(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(pdf[c].to_numpy(np.int64) for c in ("k1", "k2", "last"))
+
+
+def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
+    k1, k2, last = _columns(pdf)
+    return _state(int(pdf["shard"].iloc[0]), filled(k1), k1, k2, last)
+
+
+class Shard:
+    """A shard's filter and its exact counts."""
+
+    def __init__(self, row):
+        self.filter = CuckooFilter.of(bytes(row["filter"]))
+        self.k1, self.k2, self.last = (np.frombuffer(bytes(row[c]), np.int64) for c in ("k1", "k2", "last"))
+
+    def lost(self, k1: np.ndarray, k2: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Whether a document loses the lines of a key: the key is repeated, and a larger doc_id holds it."""
+        out = np.zeros(len(k1), bool)
+        asked = np.flatnonzero(self.filter.has(np.ascontiguousarray(k1)))
+        if not len(asked) or not len(self.k1):
+            return out
+        a, b = k1[asked], k2[asked]
+        at = np.searchsorted(self.k1, a)
+        found = np.full(len(asked), -1)
+        while True:  # keys that share their first half lie side by side
+            here = np.minimum(at, len(self.k1) - 1)
+            live = (at < len(self.k1)) & (self.k1[here] == a)
+            found = np.where(live & (self.k2[here] == b), here, found)
+            at = at + 1
+            if not (live & (found < 0)).any():
+                break
+        out[asked] = (found >= 0) & (doc[asked] < self.last[np.maximum(found, 0)])
+        return out
 
 
 class LineIndex:
     """State of incremental line deduplication over documents (doc_id, text, any other columns).
 
     A document with several rows counts once; rows without doc_id hold no keys and keep all their lines; null and empty
-    texts are one empty line. Lines of fewer than MIN_CHARS code points always stay.
+    texts are one empty line. Lines of fewer than MIN_CHARS code points always stay. Inserting an id that is held
+    replaces that document.
     """
 
-    def __init__(self, scratch: Scratch, posted: DataFrame, counts: DataFrame, shards: int, filters: DataFrame, min_docs: int):
-        self.scratch, self.posted, self.counts, self.shards, self.filters, self.min_docs = scratch, posted, counts, shards, filters, min_docs
+    def __init__(self, scratch: Scratch, layers: list[DataFrame], counts: DataFrame, shards: int, state: DataFrame, min_docs: int):
+        self.scratch, self.layers, self.counts, self.shards, self.state, self.min_docs = scratch, layers, counts, shards, state, min_docs
+
+    @property
+    def posted(self) -> DataFrame:
+        """The postings: each layer takes away the documents of its ids from those before, and adds its own."""
+        out = None
+        for layer in self.layers:
+            own = layer.where("k1 is not null").select("k1", "k2", "doc_id")
+            if out is None:
+                out = own
+            else:
+                out = out.join(layer.select("doc_id").distinct(), "doc_id", "left_anti").select("k1", "k2", "doc_id").union(own)
+        return out
 
     @classmethod
     def build(cls, docs: DataFrame, min_docs: int = MIN_DOCS, scratch: Scratch | None = None) -> LineIndex:
         scratch = scratch or Scratch(docs.sparkSession)
         posted = scratch.save(postings(docs))
-        counts = scratch.save(reference_counts(posted, min_docs))
+        return cls._dealt(scratch, [posted], scratch.save(reference_counts(posted, min_docs)), min_docs)
+
+    @classmethod
+    def _dealt(cls, scratch: Scratch, layers: list[DataFrame], counts: DataFrame, min_docs: int) -> LineIndex:
         shards = max(1, -(-counts.count() // SHARD_KEYS))
-        filters = counts.withColumn("shard", shard(shards)).select("shard", "k1").groupBy("shard").applyInPandas(_fill, "shard int, filter binary")
-        return cls(scratch, posted, counts, shards, scratch.save(filters), min_docs)
-
-    def _changed(self, posted: DataFrame) -> LineIndex:
-        """The state after postings change: shards' filters take in keys that became repeated and let go of others."""
-        posted = self.scratch.save(posted)
-        counts = self.scratch.save(reference_counts(posted, self.min_docs))
-        new, old = (x.select("k1", "k2") for x in (counts, self.counts))
-        moved = new.join(old, ["k1", "k2"], "left_anti").withColumn("step", F.lit(1)).union(old.join(new, ["k1", "k2"], "left_anti").withColumn("step", F.lit(-1)))
-        moved = moved.withColumn("shard", shard(self.shards)).select("shard", "k1", "step")
-        all_keys = counts.withColumn("shard", shard(self.shards)).select("shard", "k1").withColumn("step", F.lit(0))
-
-        def update(key, filters: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
-            of = lambda s: keys.loc[keys["step"] == s, "k1"].to_numpy(np.int64)
-            f = CuckooFilter.of(filters["filter"].iloc[0]) if len(filters) else None
-            if f is not None:
-                f.remove(of(-1))
-            if f is None or not f.add(of(1)):  # too full: made anew, larger
-                room = len(of(0))
-                while not (f := CuckooFilter(room)).add(of(0)):
-                    room = 2 * room + 1
-            return pd.DataFrame({"shard": [int(key[0])], "filter": [f.raw()]})
-
-        filters = self.filters.groupBy("shard").cogroup(moved.union(all_keys).groupBy("shard")).applyInPandas(update, "shard int, filter binary")
-        return LineIndex(self.scratch, posted, counts, self.shards, self.scratch.save(filters), self.min_docs)
+        state = counts.select(shard(shards).alias("shard"), "k1", "k2", "last").groupBy("shard").applyInPandas(_fill, SHARD)
+        return cls(scratch, layers, counts, shards, scratch.save(state), min_docs)
+
+    def _changed(self, layer: DataFrame) -> LineIndex:
+        """The state after a layer (k1, k2, doc_id; keys null for ids that hold none): only keys it touches are counted again."""
+        layer = self.scratch.save(layer)
+        before = self.posted
+        ids = layer.select("doc_id").distinct()
+        keys = ["k1", "k2"]
+        touched = before.join(ids, "doc_id", "left_semi").select(keys).union(layer.where("k1 is not null").select(keys))
+        touched = self.scratch.save(touched.distinct())
+        grown = LineIndex(self.scratch, [*self.layers, layer], self.counts, self.shards, self.state, self.min_docs)
+        fresh_counts = self.scratch.save(reference_counts(grown.posted.join(touched, keys, "left_semi"), self.min_docs))
+        counts = self.scratch.save(self.counts.join(touched, keys, "left_anti").union(fresh_counts))
+        layers = grown.layers if len(grown.layers) < LAYERS else [self.scratch.save(grown.posted)]
+        if counts.count() > CROWDED * SHARD_KEYS * self.shards:
+            return self._dealt(self.scratch, layers, counts, self.min_docs)
+        old = self.counts.join(touched, keys, "left_semi").select(*keys, "last", F.lit(-1).alias("step"))
+        moved = old.union(fresh_counts.select(*keys, "last", F.lit(1).alias("step"))).withColumn("shard", shard(self.shards))
+
+        def update(key, state: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
+            if not len(moved):
+                return state
+            none = np.zeros(0, np.int64)
+            now = Shard(state.iloc[0]) if len(state) else None
+            f, k1, k2, last = (now.filter, now.k1, now.k2, now.last) if now else (CuckooFilter(1), none, none, none)
+            gone, come = moved[moved["step"] == -1], moved[moved["step"] == 1]
+            out = set(zip(gone["k1"], gone["k2"], strict=True))
+            stay = np.array([k not in out for k in zip(k1.tolist(), k2.tolist(), strict=True)], bool) if out else np.ones(len(k1), bool)
+            own = _columns(come)
+            k1, k2, last = (np.concatenate([x[stay], y]) for x, y in zip((k1, k2, last), own, strict=True))
+            f.remove(gone["k1"].to_numpy(np.int64))
+            if not f.add(own[0]):  # too full: made anew, larger
+                f = filled(k1)
+            return _state(int(key[0]), f, k1, k2, last)
+
+        state = self.state.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(update, SHARD)
+        return LineIndex(self.scratch, layers, counts, self.shards, self.scratch.save(state), self.min_docs)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        return self._changed(self.posted.union(postings(docs)))
+        held = docs.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+        return self._changed(postings(docs).union(held.select(F.lit(None).cast("long"), F.lit(None).cast("long"), "doc_id")))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """The state without the documents of doc_ids (doc_id)."""
-        return self._changed(self.posted.join(doc_ids.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_anti").select("k1", "k2", "doc_id"))
-
-    def admitted(self, posted: DataFrame) -> DataFrame:
-        """The postings that the filters admit: all of repeated keys, and few others."""
-        size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-        if size > FILTER_BYTES or not small(self.filters):
-            return posted
-        raw = posted.sparkSession.sparkContext.broadcast({r.shard: r.filter for r in self.filters.collect()})
-
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {s: CuckooFilter.of(bytes(f)) for s, f in raw.value.items()}
-            for b in batches:
-                k1, at = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
-                yes = np.zeros(len(k1), bool)
-                for s in np.unique(at).tolist():
-                    if s in filters:
-                        own = np.flatnonzero(at == s)
-                        yes[own] = filters[s].has(np.ascontiguousarray(k1[own]))
-                yield b.filter(pa.array(yes)).select(["k1", "k2", "doc_id"])
-
-        return posted.withColumn("shard", shard(self.shards)).mapInArrow(ask, "k1 long, k2 long, doc_id long")
+        held = doc_ids.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+        return self._changed(held.select(F.lit(None).cast("long").alias("k1"), F.lit(None).cast("long").alias("k2"), "doc_id"))
 
     def losses(self) -> DataFrame:
         """(doc_id, lost array<binary>): the repeated keys whose lines a document loses, each once."""
-        at = self.admitted(self.posted).join(self.counts.hint("merge"), ["k1", "k2"]).where(F.col("doc_id") < F.col("last"))
+        posted = self.scratch.save(self.posted) if len(self.layers) > 1 else self.layers[0]
+        parts = max(1, -(-posted.count() // (TASK_POSTINGS * self.shards)))
+        asked = posted.withColumn("shard", shard(self.shards)).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+        state = self.state.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+        def look(asked: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+            if not len(state):
+                return asked.iloc[:0][["k1", "k2", "doc_id"]]
+            k1, k2, doc = (asked[c].to_numpy(np.int64) for c in ("k1", "k2", "doc_id"))
+            return asked[Shard(state.iloc[0]).lost(k1, k2, doc)][["k1", "k2", "doc_id"]]
+
+        at = asked.groupBy("shard", "part").cogroup(state.groupBy("shard", "part")).applyInPandas(look, "k1 long, k2 long, doc_id long")
         key = F.concat(F.unhex(F.lpad(F.hex("k1"), 16, "0")), F.unhex(F.lpad(F.hex("k2"), 16, "0")))
         return at.groupBy("doc_id").agg(F.collect_set(key).alias("lost"))
 
-    def rewritten(self, docs: DataFrame) -> DataFrame:
+    def rewritten(self, docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
         """docs with their remaining text, plus _n_lines and _n_dropped; every column stays."""
-        text_batches(docs.sparkSession)
-        lost = self.losses().withColumnsRenamed({"doc_id": "_id", "lost": "_lost"})
-        both = docs.join(lost.hint("shuffle_hash"), docs.doc_id.cast("long") == F.col("_id"), "left").drop("_id")
-        names = docs.columns
-        out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+        spark = docs.sparkSession
+        text_batches(spark)
+        names, shards = docs.columns, self.shards
+        shared = None
+        own_id = fresh("doc", names)
+        if self.counts.count() <= broadcast_keys:
+            shared = spark.sparkContext.broadcast([(r["k1"], r["k2"], r["last"], r["filter"], r["shard"]) for r in self.state.collect()])
+            both = docs.withColumn(own_id, F.col("doc_id").cast("long"))
+        else:
+            lost, gone = self.losses().withColumnRenamed("doc_id", own_id), fresh("lost", names)
+            both = docs.join(lost.withColumnRenamed("lost", gone), docs.doc_id.cast("long") == F.col(own_id), "left").drop(own_id)
+
+        def by_shards(state: list[Shard | None], b: pa.RecordBatch) -> Iterator[set]:
+            """Keys each document of a batch loses."""
+            rows = [sorted({k for k in line_keys(t)[1] if k}) if i is not None else [] for i, t in zip(b.column(b.num_columns - 1).to_pylist(), texts(b), strict=True)]
+            flat = [k for own in rows for k in own]
+            if not flat:
+                yield from (set() for _ in rows)
+                return
+            k1, k2 = _split_keys(flat)
+            doc = np.repeat(np.array([i or 0 for i in b.column(b.num_columns - 1).to_pylist()], np.int64), [len(own) for own in rows])
+            lost = np.zeros(len(flat), bool)
+            for s in state:
+                lost |= s.lost(k1, k2, doc)
+            at = 0
+            for own in rows:
+                yield {k for k, x in zip(own, lost[at : at + len(own)].tolist(), strict=True) if x}
+                at += len(own)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state = [Shard(dict(zip(("k1", "k2", "last", "filter"), r[:4], strict=True))) for r in shared.value] if shared else []
             for b in batches:
                 kept, lines, dropped = [], [], []
-                for t, gone in zip(texts(b), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                lost = by_shards(state, b) if shared else b.column(b.num_columns - 1).to_pylist()
+                for t, gone in zip(texts(b), lost, strict=True):
                     if gone:
                         gone = set(gone)
                         all_lines, keys = line_keys(t)
@@ -247,7 +345,8 @@ class LineIndex:
                 cols = [pa.array(kept, pa.string()) if c == "text" else b.column(i) for i, c in enumerate(names)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, "_n_lines", "_n_dropped"])
 
-        return both.mapInArrow(run, f"{out}, _n_lines long, _n_dropped long")
+        out = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
+        return both.mapInArrow(run, out)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -60,17 +60,46 @@ def test_line_dedup(docs, nothing):
     assert linededup.dedup_lines(nothing).count() == 0
 
 
-def test_line_dedup_is_reversible(spark, docs):
-    index = linededup.LineIndex.build(docs)
-    more = spark.createDataFrame([(9, LONG), (10, LONG), (11, "a wholly different line, held by one")], "doc_id long, text string")
-    grown = index.insert(more)
-    assert grown.counts.collect()[0].last == 10
-    back = grown.delete(more.select("doc_id"))
-    assert sorted(map(tuple, back.counts.collect())) == sorted(map(tuple, index.counts.collect()))
-    one = linededup.CuckooFilter.of(bytes(back.filters.collect()[0]["filter"]))
-    assert one.has(np.array([r.k1 for r in back.counts.collect()], np.int64)).all()
-    fewer = back.delete(spark.createDataFrame([(3,)], "doc_id long"))
-    assert fewer.counts.count() == 0 and fewer.losses().count() == 0
+def test_line_dedup_by_shards(docs):
+    """Where the repeated keys are too many to travel to the texts, postings travel to them."""
+    want = lines_by_hand(DOCS)
+    got = linededup.LineIndex.build(docs.selectExpr("*", "7 AS _id", "8 AS doc", "9 AS lost")).rewritten(docs.selectExpr("*", "7 AS _id", "8 AS doc", "9 AS lost"), 0).collect()
+    assert len(got) == len(DOCS)
+    for r in got:
+        assert (r.text, r._n_lines, r._n_dropped) == want[r.doc_id] and (r._id, r.doc, r.lost) == (7, 8, 9)
+
+
+@pytest.mark.parametrize("keys", [1 << 16, 4])  # 4: many shards, dealt again as they fill
+def test_line_dedup_is_incremental(spark, monkeypatch, keys):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", keys)
+    monkeypatch.setattr(linededup, "LAYERS", 3)
+    monkeypatch.setattr(linededup, "TASK_POSTINGS", 16)
+    rng = np.random.default_rng(6)
+    lines = [f"{k} is a line that is long enough" for k in range(30)]
+    text = lambda: "\n".join(rng.choice(lines, 6))
+    held = {i: text() for i in range(20)}
+    table = lambda rows: spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    index = linededup.LineIndex.build(table(held))
+    for step in range(4):
+        if step % 2:
+            gone = [int(i) for i in rng.choice(list(held), 6, replace=False)]
+            index = index.delete(spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+            for i in gone:
+                del held[i]
+        else:
+            more = {int(i): text() for i in [*range(30 + 10 * step, 38 + 10 * step), *list(held)[:3]]}  # the last three replace documents
+            index = index.insert(table(more))
+            held |= more
+        want = linededup.LineIndex.build(table(held))
+        assert sorted(map(tuple, index.counts.collect())) == sorted(map(tuple, want.counts.collect()))
+        assert sorted(map(tuple, index.posted.distinct().collect())) == sorted(map(tuple, want.posted.distinct().collect()))
+        state = [linededup.Shard(r) for r in index.state.collect()]
+        assert sum(len(s.k1) for s in state) == want.counts.count() and all(s.filter.has(s.k1).all() for s in state)
+    by_hand = lines_by_hand([(i, t, None) for i, t in held.items()])
+    for limit in (10_000, 0):
+        assert {r.doc_id: (r.text, r._n_lines, r._n_dropped) for r in index.rewritten(table(held), limit).collect()} == by_hand
+    empty = index.delete(spark.createDataFrame([(i,) for i in held], "doc_id long"))
+    assert empty.counts.count() == 0 and empty.losses().count() == 0 and not any(linededup.Shard(r).filter.table.any() for r in empty.state.collect())
 
 
 def test_cuckoo_filter():
