@@ -209,10 +209,54 @@ def test_surrogates(spark, docs, nothing):
     assert surrogates.replace_entities(nothing, b"k").count() == 0
 
 
+def settled(spark, rows):
+    given = spark.createDataFrame([(k, c, False, "") for k, c in rows], "kind string, canon string, given boolean, hint string")
+    return surrogates.settle(surrogates.entities_of(given), b"k", Scratch(spark)).collect()
+
+
 def test_surrogates_stay_distinct(spark):
-    few = spark.createDataFrame([("ssn", f"{i:04d}") for i in range(3000)], "kind string, canon string")
-    new = surrogates.settle(few.limit(400), b"k", Scratch(spark)).collect()
-    assert len({r.new for r in new}) == 400 and not {r.new for r in new} & {r.canon for r in new}
+    rows = [("ssn", f"{i:04d}") for i in range(400)] + [("local", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"]
+    new = settled(spark, rows)
+    for kind in ("ssn", "local"):
+        own = [r for r in new if r.kind == kind]
+        assert len({r.new for r in own}) == len(own) and not {r.new for r in own} & {r.canon for r in own}
+
+
+def test_surrogates_of_full_formats(spark):
+    """All private addresses, and more numbers than half of their format, still settle, distinct and none its own."""
+    rows = [("ip", f"192.168.{a}.{b}") for a in range(256) for b in range(256)] + [("ssn", f"{i:02d}") for i in range(60)] + [("mac", "0" * 12)]
+    new = settled(spark, rows)
+    assert len(new) == len(rows) and len({(r.kind, r.new) for r in new}) == len(rows) and all(r.new != r.canon for r in new)
+    assert all(r.new.startswith("192.168.") for r in new if r.kind == "ip")
+
+
+def test_surrogates_are_distinct_and_coreferent(spark):
+    """Over all documents, written forms: one surrogate a name, and no surrogate for two names; gender of titles is kept."""
+    rng = np.random.default_rng(9)
+    syllables = ["ka", "lo", "mi", "ter", "ron", "sa"]
+    made = sorted({"".join(rng.choice(syllables, 3)).title() for _ in range(150)})
+    given, family = [*made[::2], "Robin", "Alex", "Anna", "Robert"], made[1::2]
+    texts = []
+    for k in range(300):
+        g, f = rng.choice(given), rng.choice(family)
+        texts.append(f"{rng.choice(['Dr', 'Mr', 'Mrs', 'Prof.'])} {g} {f} wrote. {f} and {f.upper()} agreed, so did Mr {g} {f}.")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS doc", "2 AS later")
+    for limit in (10_000, -1):
+        new, old = {}, {}
+        for r in surrogates.replace_entities(df, b"k", limit).collect():
+            assert (r.doc, r.later) == (1, 2)
+            for e in r._entities:
+                was = texts[r.doc_id][e.start : e.end].casefold()
+                new.setdefault(was, set()).add(e.new.casefold())
+                old.setdefault(e.new.casefold(), set()).add(was)
+        assert all(len(v) == 1 for v in new.values()) and all(len(v) == 1 for v in old.values()) and not set(new) & set(old)
+        female = {n.casefold() for n in surrogates.GIVEN["LATIN", "f"]}
+        assert next(iter(new["anna"])) in female and next(iter(new["robert"])) not in female
+
+
+def test_entities_in_one_long_text():
+    log = " ".join(f"Mr Robin Na{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} 10.0.{i % 250}.{i // 250}" for i in range(4000))
+    assert len(surrogates.find(log)) == 12_000
 
 
 def noisy(rng, k):
