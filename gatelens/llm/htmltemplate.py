@@ -22,10 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelens.llm.common import join_checked, text_batches
+from gatelens.llm.common import Scratch, join_checked, text_batches
 
 #: Pages, and bytes of their html, a block is made for.
 BLOCK_PAGES, BLOCK_BYTES = 128, 32 << 20
+#: Blocks of a task.
+TASK_BLOCKS = 8
 #: A class is large from so many tokens, and frequent from this share of a block's pages; words are template text from MIN_PAGES.
 MIN_TOKENS = 2
 FREQUENT = 0.9
@@ -196,17 +198,23 @@ class Template:
         vectors: dict[int, dict[int, int]] = defaultdict(dict)
         place: dict[int, dict[int, int]] = defaultdict(dict)
         held: dict[int, Counter] = defaultdict(Counter)  # pages that hold a word, by path
+        counts: list[list[int]] = []  # words of each text token
         for i, (parsed, elements) in enumerate(pages):
             for path, e in elements.items():
                 self.elements.setdefault(path, e)
             words: dict[int, list[str]] = defaultdict(list)
+            count = []
             for at, (kind, token, e, _) in enumerate(parsed):
                 if kind == "text":
-                    words[e.path if e else 0] += WORDS.findall(token)
+                    own = WORDS.findall(token)
+                    words[e.path if e else 0] += own
+                    count.append(len(own))
                 else:
+                    count.append(0)
                     v = vectors[token]
                     v[i] = v.get(i, 0) + 1
                     place[token].setdefault(i, at)
+            counts.append(count)
             for path, own in words.items():
                 held[path].update(set(own))
         least = max(1, FREQUENT * n)
@@ -229,7 +237,7 @@ class Template:
         #: template elements: those whose tags are in the root, or nest in it
         self.known = {t for t in self.roots if t in self.elements} | {t for own in self.nested for t in own if t in self.elements}
         self.words = self._template_words(pages, held, least) if n >= MIN_PAGES else set()
-        self._judge(pages)
+        self._judge(pages, counts)
 
     def slots(self, parsed: list[Token]) -> list[int]:
         """For each token of a page, the slot it stands in: how many root tokens have begun."""
@@ -268,22 +276,22 @@ class Template:
             self._named[e.path, stop] = vote
         return vote
 
-    def _judge(self, pages: list) -> None:
+    def _judge(self, pages: list, counts: list[list[int]]) -> None:
         self._named: dict[tuple, float] = {}
         self.shares: dict[tuple[int, int], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
         own: dict[int, float] = defaultdict(float)
-        for parsed, _ in pages:
-            for slot, (kind, text, e, _) in zip(self.slots(parsed), parsed, strict=True):
-                if kind != "text" or e is None:
+        paths = {path for path, _ in self.words}
+        for (parsed, _), count in zip(pages, counts, strict=True):
+            for slot, (kind, text, e, _), n in zip(self.slots(parsed), parsed, count, strict=True):
+                if kind != "text" or e is None or not n:
                     continue
-                words = WORDS.findall(text)
-                same = sum((e.path, w) in self.words for w in words) if self.words else 0
+                same = sum((e.path, w) in self.words for w in WORDS.findall(text)) if e.path in paths else 0
                 share = self.shares[slot, e.block]
-                share[0] += len(words)
+                share[0] += n
                 share[1] += same
-                share[2] += len(words) * e.href
+                share[2] += n * e.href
                 if not e.href and self.named(e.path, None) > STRONG:
-                    own[e.path] += len(words) - same + TEMPLATE_WEIGHT * same
+                    own[e.path] += n - same + TEMPLATE_WEIGHT * same
         # an element's text and that of all it holds; elements come after those they stand in
         mass: dict[int, float] = defaultdict(float, own)
         depth: dict[int, int] = {}
@@ -357,7 +365,9 @@ def main_text(pages: DataFrame, block_pages: int = BLOCK_PAGES, block_bytes: int
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     rows = rows.withColumn("_host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)))
     size = F.greatest(F.count("*") / block_pages, F.sum(F.coalesce(F.octet_length("html"), F.lit(0))) / block_bytes)
-    blocks = rows.groupBy("_host").agg(F.ceil(size).alias("_blocks"))
+    scratch = Scratch(pages.sparkSession)
+    blocks = scratch.save(rows.groupBy("_host").agg(F.ceil(size).alias("_blocks")))
+    tasks = max(1, -(-(blocks.agg(F.sum("_blocks")).first()[0] or 0) // TASK_BLOCKS))
     dealt = join_checked(rows, blocks, "_host", "left")
     dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("page_id", "url"), F.col("_blocks")))
 
@@ -366,4 +376,4 @@ def main_text(pages: DataFrame, block_pages: int = BLOCK_PAGES, block_bytes: int
         text = extract_block(block["html"].where(block["html"].notna(), None).tolist())
         return pd.DataFrame({"page_id": block["page_id"], "url": block["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    return dealt.groupBy("_host", "_block").applyInPandas(run, "page_id long, url string, text string, n_chars long")
+    return dealt.repartition(tasks, "_host", "_block").groupBy("_host", "_block").applyInPandas(run, "page_id long, url string, text string, n_chars long")
