@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatelens.llm.common import join_checked
+from gatelens.llm.common import fresh, join_checked
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -50,24 +50,31 @@ def targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: in
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
+def names(docs: DataFrame) -> list[str]:
+    """The names that _size, _source_size, _target and _copies have beside the columns of docs."""
+    return [fresh(n, docs.columns) for n in ("_size", "_source_size", "_target", "_copies")]
+
+
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
-    """docs (doc_id, source, text, any other columns) with _size, _source_size, _target and _copies.
+    """docs (doc_id, source, text, any other columns) with _size, _source_size, _target and _copies (see names).
 
     Null sources are one source, the last; null and empty texts have size 0; a source without words has the target 0.
     Repeated rows count each, and have the same number of copies. No rows, no result.
     """
     t = targets(docs.select("source", "text"), weights, max_repeats)
-    t = t.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    sized = docs.withColumn("_size", words(F.col("text")))
-    out = join_checked(sized, t, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    rate = F.when(F.col("_source_size") > 0, F.least(F.col("_target") / F.col("_source_size"), F.lit(float(max_repeats)))).otherwise(0.0)
+    size, source_size, target, copies_ = names(docs)
+    own = fresh("_source", docs.columns)
+    t = t.select(F.col("source").alias(own), F.col("source_size").alias(source_size), F.col("target").alias(target))
+    sized = docs.withColumn(size, words(F.col("text")))
+    out = join_checked(sized, t, F.col("source").eqNullSafe(F.col(own)), "left").drop(own)
+    rate = F.when(F.col(source_size) > 0, F.least(F.col(target) / F.col(source_size), F.lit(float(max_repeats)))).otherwise(0.0)
     more = (coin(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("int")
-    return out.withColumn("_copies", (F.floor(rate) + more).cast("int"))
+    return out.withColumn(copies_, (F.floor(rate) + more).cast("int"))
 
 
 def mixed(docs: DataFrame, **kw) -> DataFrame:
     """docs with each document as often as the mix takes it; columns as given."""
-    out = copies(docs, **kw)
+    out, times = copies(docs, **kw), names(docs)[-1]
     # a document comes once per element, and not at all for none
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_copies"), F.lit(1)))))
-    return out.where("_copies > 0").select(docs.columns)
+    out = out.withColumn(fresh("_copy", out.columns), F.explode(F.sequence(F.lit(1), F.greatest(F.col(times), F.lit(1)))))
+    return out.where(F.col(times) > 0).select(docs.columns)
