@@ -295,11 +295,14 @@ class LineIndex:
         return at.groupBy("doc_id").agg(F.collect_set(key).alias("lost"))
 
     def rewritten(self, docs: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-        """docs with their remaining text, plus _n_lines and _n_dropped; every column stays."""
+        """docs with their remaining text, plus _n_lines and _n_dropped, the last two columns; every column stays.
+
+        A column of docs that has one of these names stays, and the new one gets underscores behind.
+        """
         spark = docs.sparkSession
         text_batches(spark)
-        names, shards = docs.columns, self.shards
-        shared = None
+        names, shared = docs.columns, None
+        more = [fresh(n, names) for n in ("_n_lines", "_n_dropped")]
         own_id = fresh("doc", names)
         if self.counts.count() <= broadcast_keys:
             shared = spark.sparkContext.broadcast([(r["k1"], r["k2"], r["last"], r["filter"], r["shard"]) for r in self.state.collect()])
@@ -343,9 +346,9 @@ class LineIndex:
                         lines.append(t.count("\n") + 1)
                         dropped.append(0)
                 cols = [pa.array(kept, pa.string()) if c == "text" else b.column(i) for i, c in enumerate(names)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, "_n_lines", "_n_dropped"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, *more])
 
-        out = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
+        out = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in more)])
         return both.mapInArrow(run, out)
 
 
