@@ -1,21 +1,25 @@
 """Image copies by local descriptors.
 
-An image column holds PGM, PPM or PNG bytes. Corners are found on an image pyramid; each is turned to the direction of
-its intensity centroid and described by 128 binary tests between smoothed pixels of its surroundings. Descriptors meet
-in Hamming tables: four bands of 32 bits each are join keys. In a bucket, images are ordered by a hash of their id, the
-same in all buckets, and each is paired with the few before it, so copies, however many, give a number of pairs that is
-proportional to them, not to its square, and the same pairs in all their buckets. Pairs that meet at least twice are
-verified: mutual nearest descriptors, then the consensus of a similarity transform. Images of equal pixels are one.
-
-What this passes over and lies in one component already needs no link. Images of different components whose descriptors
-share a bucket and differ in at most CLOSE_BITS are verified as well: a bucket's descriptors are compared with each
-other. A crowded bucket is cut into blocks, its large components into blocks of their own, and blocks are compared with
-each other but for two of one component.
+An image column holds PGM, PPM or PNG bytes, or whatever a given decoder reads. Corners are found on an image pyramid, the
+best of each tile; each is turned to the direction of its intensity centroid and described by 128 binary tests between
+smoothed pixels of its surroundings. Descriptors meet in Hamming tables, whose join keys are bands of their bits.
+
+Copies in crowds are linked first: in a table of wide bands, images of a bucket are ordered by a hash of their id, the same
+in all buckets, and each is paired with the few before it, so copies, however many, give a number of pairs that is
+proportional to them, not to its square. Then all images meet in a table of narrow bands: descriptors of a bucket are all
+compared with each other, those of one component aside, and two images are paired where descriptors match that have two
+neighbouring corners in common, alike in bits, place and turn. A crowded bucket is cut into blocks, its large components
+into blocks of their own, and blocks are compared with each other but for two of one component. Pairs are verified: mutual
+nearest descriptors, then the consensus of a similarity transform. Images of equal pixels are one.
+
+Recall is audited: a hashed sample of images is compared with all by brute force; below MIN_RECALL the job fails.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,22 +31,30 @@ from gatelens.llm.common import Scratch, join_checked, over_batches, over_runs
 from gatelens.llm.components import connected_components
 
 SCALES = (1.0, 1.5, 2.25)
-POINTS = (24, 14, 8)
+#: Corners of a tile of so many pixels a side, by scale.
+POINTS, TILE = (24, 14, 8), 128
 MARGIN = 11
 TESTS = 128
-BANDS, BAND_BYTES = 4, 4
-#: Images before it in a bucket that an image is paired with.
+#: Bands of either table, and bytes of a band.
+BANDS, WIDE, NARROW = 4, 4, 3
+#: Images before it in a bucket of the wide table that an image is paired with, if they meet so often.
 BEFORE = 6
 MEETINGS = 2
 #: Images of a bucket that a task compares at once; above, it is cut into blocks of about so many rows.
 SMALL, BLOCK = 64, 1024
-#: Rows that a task reads before it compares those of each bucket.
+#: Rows that a task reads before it compares those of each bucket; pairs whose neighbours are compared at once.
 RUN_ROWS = 16_384
-#: Bits that descriptors of different components may differ in to meet in a bucket. A pair that differs in more shares one of four bands
-#: less than once in eight times, so what meets beyond is mostly chance, and grows with the square of the bucket.
-CLOSE_BITS = 12
+PAIRS = 1 << 15
+#: Nearest corners that a descriptor carries, how many two must have in common, and how far these may differ: in 32 bits,
+#: in place (pixels of the corner's scale, and a share of the distance), in turn.
+NEIGHBOURS, COMMON = 6, 2
+NEAR_BITS, NEAR_PLACE, NEAR_SHARE, NEAR_TURN = 7, 2.5, 0.15, 0.5
 #: Bits that matching descriptors may differ in; matches and share of points that must agree; pixels of tolerance.
 MATCH_BITS, AGREE, AGREE_SHARE, TOLERANCE = 28, 8, 0.2, 3.0
+#: Images of the audit, the recall they must show, and links from which it is told.
+AUDIT, MIN_RECALL, AUDIT_LINKS = 24, 0.9, 30
+#: Pixels above which an image counts as unreadable.
+MOST_PIXELS = 1 << 27
 
 _rng = np.random.default_rng(20)
 _PATTERN = np.clip(_rng.normal(0, 4.2, (TESTS, 2, 2)), -9, 9)
@@ -87,13 +99,15 @@ def _netpbm(data: bytes) -> np.ndarray:
     w, h, most = fields
     if most > 255:
         raise ValueError("16-bit samples")
+    if not 0 < w * h <= MOST_PIXELS:
+        raise ValueError("too many pixels")
     k = 3 if data[:2] == b"P6" else 1
     x = np.frombuffer(data, np.uint8, w * h * k, at + 1)
     return _grey(x.reshape(h, w, k) if k == 3 else x.reshape(h, w))
 
 
 def _png(data: bytes) -> np.ndarray:
-    at, body, palette = 8, b"", None
+    at, body, palette = 8, [], None
     w = h = depth = kind = lace = 0
     while at + 8 <= len(data):
         n, name = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
@@ -103,35 +117,43 @@ def _png(data: bytes) -> np.ndarray:
         elif name == b"PLTE":
             palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
         elif name == b"IDAT":
-            body += chunk
+            body.append(chunk)
         at += 12 + n
     k = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
-    if depth != 8 or lace:
+    if depth != 8 or lace or not 0 < w * h <= MOST_PIXELS:
         raise ValueError("only 8-bit images without interlace")
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, w * k + 1)
-    out = np.zeros((h, w * k), np.int64)
+    raw = np.frombuffer(zlib.decompressobj().decompress(b"".join(body), h * (w * k + 1)), np.uint8).reshape(h, w * k + 1)
+    out = np.zeros((h, w * k), np.uint8)
+    up = np.zeros(w * k, np.uint8)
     for r in range(h):
-        line, up = raw[r, 1:].astype(np.int64), out[r - 1] if r else np.zeros(w * k, np.int64)
-        f = raw[r, 0]
-        if f == 2:
-            line = (line + up) & 255
-        elif f in (1, 3, 4):
-            for i in range(w * k):
-                a, c = (line[i - k], up[i - k]) if i >= k else (0, 0)
-                if f == 1:
-                    add = a
-                elif f == 3:
-                    add = (a + up[i]) // 2
-                else:
-                    p = a + up[i] - c
-                    d = (abs(p - a), abs(p - up[i]), abs(p - c))
-                    add = a if d[0] <= d[1] and d[0] <= d[2] else up[i] if d[1] <= d[2] else c
-                line[i] = (line[i] + add) & 255
-        out[r] = line
-    x = out.astype(np.uint8).reshape(h, w, k)
+        f, line = raw[r, 0], raw[r, 1:]
+        if f == 1:
+            line = np.cumsum(line.reshape(w, k), axis=0, dtype=np.uint64).astype(np.uint8).ravel()
+        elif f == 2:
+            line = line + up
+        elif f:
+            line = np.array(_predicted(line.tolist(), up.tolist(), k, f == 4), np.uint8)
+        out[r] = up = line
+    x = out.reshape(h, w, k)
     return _grey(palette[x[:, :, 0]] if kind == 3 and palette is not None else x if k > 1 else x[:, :, 0])
 
 
+def _predicted(line: list[int], up: list[int], k: int, paeth: bool) -> list[int]:
+    """A line whose pixels were predicted from those before and above."""
+    line = [0] * k + line
+    up = [0] * k + up
+    for i in range(k, len(line)):
+        a, b = line[i - k], up[i]
+        if paeth:
+            c = up[i - k]
+            to_a, to_b, to_c = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            add = a if to_a <= to_b and to_a <= to_c else b if to_b <= to_c else c
+        else:
+            add = (a + b) >> 1
+        line[i] = (line[i] + add) & 255
+    return line[k:]
+
+
 def _box(x: np.ndarray, r: int) -> np.ndarray:
     """Mean over squares of side 2r + 1, the edge repeated."""
     p = np.pad(x, r + 1, mode="edge").cumsum(0).cumsum(1)
@@ -171,7 +193,12 @@ def describe(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         ys, xs = np.nonzero((inner > top) & (inner > 1.0))
         if not len(ys):
             continue
-        best = np.argsort(-inner[ys, xs], kind="stable")[:most]
+        best = np.argsort(-inner[ys, xs], kind="stable")
+        tile = (ys[best] * int(scale * 16) // (16 * TILE)) * (1 << 20) + xs[best] * int(scale * 16) // (16 * TILE)
+        order = np.argsort(tile, kind="stable")  # the best of each tile, in the order of all
+        first = np.concatenate(([True], np.diff(tile[order]) != 0))
+        nth = np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        best = best[np.sort(order[nth < most])]
         ys, xs = ys[best] + MARGIN, xs[best] + MARGIN
         smooth = _box(x, 1)
         patch = smooth[ys[:, None] + _DISC[:, 1], xs[:, None] + _DISC[:, 0]]
@@ -214,7 +241,7 @@ def is_copy(pa_: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray) ->
     return agree(pa_, da, pb, db) >= max(AGREE, AGREE_SHARE * min(len(pa_), len(pb)))
 
 
-def _described(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _described(batch: pa.RecordBatch, decoder: Callable[[bytes], np.ndarray | None]) -> pa.RecordBatch:
     ids, k1, k2, n, points, bits = [], [], [], [], [], []
     for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         ids.append(i)
@@ -222,7 +249,7 @@ def _described(batch: pa.RecordBatch) -> pa.RecordBatch:
             for column, nothing in ((k1, None), (k2, None), (n, 0), (points, None), (bits, None)):
                 column.append(nothing)
             continue
-        image = decode(data)
+        image = decoder(data)
         same = np.frombuffer(xxhash.xxh3_128_digest(data if image is None else repr(image.shape).encode() + image.tobytes()), np.int64)
         p, d = describe(image)
         k1.append(int(same[0]))
@@ -234,20 +261,20 @@ def _described(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, ["media_id", "k1", "k2", "n_points", "points", "bits"])
 
 
-def _band(d: np.ndarray, band: int) -> np.ndarray:
+def _band(d: np.ndarray, band: int, size: int) -> np.ndarray:
     own = np.full(len(d), band, np.int64)
-    for byte in range(BAND_BYTES):
-        own = (own << 8) | d[:, BAND_BYTES * band + byte]
+    for byte in range(size):
+        own = (own << 8) | d[:, size * band + byte]
     return own
 
 
-def _keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _keys(batch: pa.RecordBatch, size: int = WIDE) -> pa.RecordBatch:
     """Rows (key, id): every bucket of an image once."""
     keys, who = [], []
     for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         d = np.frombuffer(raw, np.uint8).reshape(-1, TESTS // 8)
         for band in range(BANDS):
-            own = np.unique(_band(d, band))
+            own = np.unique(_band(d, band, size))
             keys.append(own)
             who.append(np.full(len(own), i))
     cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, who)]
@@ -255,87 +282,140 @@ def _keys(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _buckets(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows (key, comp): every bucket of an image once, with the image's component."""
-    keys = _keys(batch.select(["id", "bits"]))
+    """Rows (key, comp): every narrow bucket of an image once, with the image's component."""
+    keys = _keys(batch.select(["id", "bits"]), NARROW)
     comp = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
     of = np.array([comp[i] for i in keys.column(1).to_pylist()], np.int64)
     return pa.RecordBatch.from_arrays([keys.column(0), pa.array(of)], ["key", "comp"])
 
 
+#: A neighbouring corner: a quarter of its bits, its place and turn as the descriptor's own corner sees it; used: whether there is one.
+NEIGHBOUR = np.dtype([("bits", "<u4"), ("x", "i1"), ("y", "i1"), ("turn", "i1"), ("used", "i1")])
+
+
+def neighbours(points: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The nearest corners of each."""
+    out = np.zeros((len(d), NEIGHBOURS), NEIGHBOUR)
+    if len(d) < 2:
+        return out
+    p = points.astype(np.float64)
+    for lo in range(0, len(p), 512):
+        own = p[lo : lo + 512]
+        dx, dy = p[None, :, 0] - own[:, None, 0], p[None, :, 1] - own[:, None, 1]
+        far = np.hypot(dx, dy)
+        far[far < TOLERANCE] = np.inf  # the same corner on another scale
+        j = np.argsort(far, axis=1, kind="stable")[:, :NEIGHBOURS]
+        at = np.arange(len(own))[:, None]
+        cos, sin, zoom = np.cos(own[:, 3:4]), np.sin(own[:, 3:4]), own[:, 2:3]
+        x, y = (cos * dx[at, j] + sin * dy[at, j]) / zoom, (cos * dy[at, j] - sin * dx[at, j]) / zoom
+        part = out[lo : lo + 512, : j.shape[1]]
+        part["used"] = np.isfinite(far[at, j]) & (np.maximum(np.abs(x), np.abs(y)) < 127)
+        part["bits"] = np.ascontiguousarray(d).view("<u4")[j, 0]
+        part["x"], part["y"] = np.clip(np.rint(x), -127, 127), np.clip(np.rint(y), -127, 127)
+        part["turn"] = np.rint(((p[j, 3] - own[:, 3:4] + np.pi) % (2 * np.pi) - np.pi) / np.pi * 127)
+    return out
+
+
 def _descriptors(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows (key, id, comp, lo, hi): every descriptor of an image under each of its buckets, as two integers."""
-    parts = []
-    for i, comp, raw in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+    """Rows (key, id, comp, lo, hi, near): every descriptor of an image under each of its narrow buckets, with its neighbours."""
+    parts, near = [], []
+    for i, comp, raw, points in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
         d = np.frombuffer(raw, np.uint8).reshape(-1, TESTS // 8)
         both = d.view(np.int64)
+        around = [r.tobytes() for r in neighbours(np.frombuffer(points, np.float32).reshape(-1, 4), d)]
         for band in range(BANDS):
-            parts.append(np.stack([_band(d, band), np.full(len(d), i), np.full(len(d), comp), both[:, 0], both[:, 1]]))
+            parts.append(np.stack([_band(d, band, NARROW), np.full(len(d), i), np.full(len(d), comp), both[:, 0], both[:, 1]]))
+            near += around
     cols = np.concatenate(parts, axis=1) if parts else np.zeros((5, 0), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "id", "comp", "lo", "hi"])
+    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(near, pa.binary())], ["key", "id", "comp", "lo", "hi", "near"])
+
+
+def _around(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), NEIGHBOUR).reshape(-1, NEIGHBOURS)
+
+
+def alike(lo: np.ndarray, hi: np.ndarray, near: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows, those that match and have enough neighbours in common."""
+    far = np.bitwise_count((lo[i] ^ lo[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((hi[i] ^ hi[j]).view(np.uint64))
+    i, j = i[far <= MATCH_BITS], j[far <= MATCH_BITS]
+    yes = np.zeros(len(i), bool)
+    for k in range(0, len(i), PAIRS):
+        a, b = near[i[k : k + PAIRS]], near[j[k : k + PAIRS]]
+        bits = np.bitwise_count(a["bits"][:, :, None] ^ b["bits"][:, None]) <= NEAR_BITS
+        bits &= (a["used"][:, :, None] & b["used"][:, None]).astype(bool)
+        some = np.flatnonzero(bits.any(axis=2).sum(axis=1) >= COMMON)
+        a, b, bits = a[some], b[some], bits[some]
+        xa, ya, xb, yb = (v.astype(np.float32) for v in (a["x"], a["y"], b["x"], b["y"]))
+        place = np.hypot(xa[:, :, None] - xb[:, None], ya[:, :, None] - yb[:, None]) <= NEAR_PLACE + NEAR_SHARE * np.hypot(xa, ya)[:, :, None]
+        turn = np.abs((a["turn"].astype(np.int16)[:, :, None] - b["turn"].astype(np.int16)[:, None] + 127) % 254 - 127) <= NEAR_TURN / np.pi * 127
+        yes[k + some] = (bits & place & turn).any(axis=2).sum(axis=1) >= COMMON
+    return i[yes], j[yes]
+
+
+def _named(who: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """Pairs of rows as pairs of images, each once."""
+    both = np.stack([np.minimum(who[i], who[j]), np.maximum(who[i], who[j])])
+    u, w = np.unique(both, axis=1) if len(i) else both
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(w, pa.int64())], ["a", "b"])
 
 
 def _block_pairs(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """Pairs of images of different components, one of each block, whose descriptors differ in few bits."""
+    """Pairs of images of different components, one of each block, that are alike."""
     first, who, comp, lo, hi = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("first", "id", "comp", "lo", "hi"))
+    near = _around(batch.column(batch.schema.get_field_index("near")))
     a, b = np.flatnonzero(first), np.flatnonzero(~first)
-    if not len(b):  # a block with itself
+    own = not len(b)
+    if own:  # a block with itself
         b = a
-    lo, hi = lo.view(np.uint64), hi.view(np.uint64)
-    us, ws = [], []
-    for i in range(0, len(a), 512):
-        x = a[i : i + 512]
-        far = np.bitwise_count(lo[x][:, None] ^ lo[b][None]).astype(np.int64) + np.bitwise_count(hi[x][:, None] ^ hi[b][None])
-        m, n = np.nonzero((far <= CLOSE_BITS) & (comp[x][:, None] != comp[b][None]))
-        us.append(np.minimum(who[x[m]], who[b[n]]))
-        ws.append(np.maximum(who[x[m]], who[b[n]]))
-    if not sum(map(len, us)):
-        return None
-    u, w = np.unique(np.stack([np.concatenate(us), np.concatenate(ws)]), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(w)], ["a", "b"])
+    found = [(np.zeros(0, np.int64),) * 2]
+    for k in range(0, len(a), 64):
+        x = a[k : k + 64]
+        m, n = np.nonzero(comp[x][:, None] != comp[b][None])
+        i, j = x[m], b[n]
+        found.append(alike(lo, hi, near, *((i[i < j], j[i < j]) if own else (i, j))))
+    out = _named(who, *(np.concatenate([f[k] for f in found]) for k in (0, 1)))
+    return out if out.num_rows else None
 
 
 def _small_pairs(batches):
-    """Pairs of the rows (key, id, comp, lo, hi), sorted by key, that share a key, differ in component and are close."""
+    """Pairs of the rows (key, id, comp, lo, hi, near), sorted by key, that share a key, differ in component and are alike."""
 
-    def pairs(rows: np.ndarray) -> pa.RecordBatch:
+    def pairs(rows: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
         key, who, comp, lo, hi = rows
-        us, ws, d = [], [], 1
+        found, d = [(np.zeros(0, np.int64),) * 2], 1
         i = np.flatnonzero(key[1:] == key[:-1]) + 1
         while len(i):
             own = i[comp[i] != comp[i - d]]
-            far = np.bitwise_count((lo[own] ^ lo[own - d]).view(np.uint64)).astype(np.int64) + np.bitwise_count((hi[own] ^ hi[own - d]).view(np.uint64))
-            own = own[far <= CLOSE_BITS]
-            us.append(np.minimum(who[own], who[own - d]))
-            ws.append(np.maximum(who[own], who[own - d]))
+            found.append(alike(lo, hi, near, own, own - d))
             d += 1
             i = i[i >= d]
             i = i[key[i] == key[i - d]]
-        u, w = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, ws))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(w)], ["a", "b"])
+        return _named(who, *(np.concatenate([f[k] for f in found]) for k in (0, 1)))
 
-    held, n = [], 0
+    held, around, n = [], [], 0
     for b in batches:
-        held.append(np.stack([c.to_numpy() for c in b.columns]))
+        held.append(np.stack([c.to_numpy() for c in b.columns[:5]]))
+        around.append(_around(b.column(5)))
         n += b.num_rows
         if n >= RUN_ROWS:
-            rows = np.concatenate(held, axis=1)
+            rows, near = np.concatenate(held, axis=1), np.concatenate(around)
             whole = int(np.searchsorted(rows[0], rows[0, -1]))  # the last key may go on
-            yield pairs(rows[:, :whole])
-            held, n = [rows[:, whole:]], 0
+            yield pairs(rows[:, :whole], near[:whole])
+            held, around, n = [rows[:, whole:]], [near[whole:]], 0
     if held:
-        yield pairs(np.concatenate(held, axis=1))
+        yield pairs(np.concatenate(held, axis=1), np.concatenate(around))
 
 
 def crowded_pairs(images: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): pairs of different components that are close in a bucket.
+    """(a, b): pairs of different components that are alike in a narrow bucket.
 
-    images: (id, comp, bits). Blocks of a bucket that lie in one component are not compared with each other.
+    images: (id, comp, bits, points). Blocks of a bucket that lie in one component are not compared with each other.
     """
-    images = images.select("id", "comp", "bits")
+    images = images.select("id", "comp", "bits", "points")
     held = over_batches(images, _buckets, "key long, comp long")
     crowded = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     crowded = scratch.save(crowded.where(F.col("n") > SMALL).select("key", (F.col("lo") != F.col("hi")).alias("mixed")))
-    seen = over_batches(images, _descriptors, "key long, id long, comp long, lo long, hi long")
+    seen = over_batches(images, _descriptors, "key long, id long, comp long, lo long, hi long, near binary")
     few = join_checked(seen, crowded.select("key"), "key", "left_anti").repartition("key").sortWithinPartitions("key")
     few = few.mapInArrow(_small_pairs, "a long, b long")
     mixed = scratch.save(crowded.where("mixed").select("key"), files=8)
@@ -364,7 +444,7 @@ def crowded_pairs(images: DataFrame, scratch: Scratch) -> DataFrame:
         pairs.where(~own).select("key", "of2", "cut2", F.lit(False), "pair")
     )
     seen = join_checked(seen, mixed, "key", "left_semi").join(parts, ["key", "comp"]).withColumn("cut", F.when(F.col("of") == 0, F.col("at")).otherwise(F.pmod(F.xxhash64("id"), "cuts")).cast("int"))
-    dealt = seen.join(sides, ["key", "of", "cut"]).select("pair", "first", "id", "comp", "lo", "hi")
+    dealt = seen.join(sides, ["key", "of", "cut"]).select("pair", "first", "id", "comp", "lo", "hi", "near")
     return few.union(over_runs(dealt, ["pair"], _block_pairs, "a long, b long")).distinct()
 
 
@@ -394,21 +474,51 @@ def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.filter(pa.array(yes, pa.bool_())).select([0, 1])
 
 
-def image_copies(media: DataFrame) -> DataFrame:
+def audit(one: DataFrame, comp: DataFrame, sample: int = AUDIT) -> tuple[int, int]:
+    """Links of a hashed sample of images, found by brute force over all images, and how many of them lie in one component.
+
+    one: (id, points, bits); comp: (node, root).
+    """
+    asked = one.orderBy(F.xxhash64("id", F.lit(5))).limit(sample).collect()
+    got = one.sparkSession.sparkContext.broadcast([(r.id, bytes(r.points), bytes(r.bits)) for r in asked])
+
+    def brute(b: pa.RecordBatch) -> pa.RecordBatch:
+        read = lambda p, d: (np.frombuffer(p, np.float32).reshape(-1, 4), np.frombuffer(d, np.uint8).reshape(-1, TESTS // 8))
+        queries = [(i, *read(p, d)) for i, p, d in got.value]
+        u, w = [], []
+        for i, p, d in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            points, bits = read(p, d)
+            for j, q, e in queries:
+                if i != j and is_copy(q, e, points, bits):
+                    u.append(j)
+                    w.append(i)
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(w, pa.int64())], ["a", "b"])
+
+    links = over_batches(one.select("id", "points", "bits"), brute, "a long, b long")
+    x, y = (comp.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    held = links.join(x, "a", "left").join(y, "b", "left")
+    r = held.agg(F.count("*").alias("n"), F.sum((F.col("ra") == F.col("rb")).cast("int")).alias("same")).first()
+    return r["n"], r["same"] or 0
+
+
+def image_copies(media: DataFrame, decoder: Callable[[bytes], np.ndarray | None] = decode) -> DataFrame:
     """(media_id long, n_points long, component_id long, kept) per row of media (media_id, image, any other columns).
 
-    component_id is the smallest media_id that copies reach, the row's own included. Images that are null, unreadable,
-    small or flat have no points and are copies of images of equal pixels, or bytes, alone; null images of none. Rows
-    without media_id are copies of none and get null. Repeated rows come back as often as they are given. No rows, no result.
+    component_id is the smallest media_id that copies reach, the row's own included. decoder: grey levels (uint8, two
+    dimensions) of an image's bytes, None where it can't be read. Images that are null, unreadable, small or flat have no
+    points and are copies of images of equal pixels, or bytes, alone; null images of none. Rows without media_id are
+    copies of none and get null. Repeated rows come back as often as they are given. No rows, no result.
     """
     scratch = Scratch(media.sparkSession)
     given = media.select(F.col("media_id").cast("long"), "image")
-    found = scratch.save(over_batches(given, _described, "media_id long, k1 long, k2 long, n_points long, points binary, bits binary"))
+    described = over_batches(given, lambda b: _described(b, decoder), "media_id long, k1 long, k2 long, n_points long, points binary, bits binary")
+    found = scratch.save(described)
     images = found.where("k1 is not null")
     ids = images.select("media_id", "k1", "k2").distinct()
     one = images.groupBy("k1", "k2").agg(F.min("media_id").alias("least"), F.first("points").alias("points"), F.first("bits").alias("bits"), F.first("n_points").alias("n_points"))
     one = scratch.save(one.withColumn("id", F.xxhash64("k1", "k2", "least")))
-    held = scratch.save(over_batches(one.where("n_points > 0").select("id", "bits"), _keys, "key long, id long"))
+    pointed = one.where("n_points > 0")
+    held = scratch.save(over_batches(pointed.select("id", "bits"), _keys, "key long, id long"))
     rows = held.select("key", F.xxhash64(F.col("id"), F.lit(3)).alias("at"), "id")
     # dealt by ranges of key and hash: a key that many images share spreads over tasks
     dealt = rows.repartitionByRange("key", "at").sortWithinPartitions("key", "at")
@@ -423,10 +533,16 @@ def image_copies(media: DataFrame) -> DataFrame:
     near = verified(met)
     scratch.drop(held)
     comp = connected_components(near, scratch)
-    images = one.where("n_points > 0").join(comp, one.id == comp.node, "left").select("id", F.coalesce("root", "id").alias("comp"), "bits")
+    images = pointed.join(comp, one.id == comp.node, "left").select("id", F.coalesce("root", "id").alias("comp"), "bits", "points")
     more = verified(crowded_pairs(scratch.save(images), scratch))
     if not more.isEmpty():
         comp = connected_components(near.union(more), scratch)
+    n, same = audit(pointed, comp)
+    if same < MIN_RECALL * n:
+        told = f"components hold {same} of {n} links of a sample of images"
+        if n >= AUDIT_LINKS:
+            raise RuntimeError(told)
+        warnings.warn(told, stacklevel=2)
     of = one.join(comp, one.id == comp.node, "left").select("k1", "k2", "n_points", "least", F.coalesce("root", "id").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     of = of.join(least, "root").select("k1", "k2", "n_points", "component_id").join(ids, ["k1", "k2"])

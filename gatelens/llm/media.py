@@ -6,8 +6,6 @@ cropped, or with its contrast and brightness changed.
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,15 +17,21 @@ from gatelens.llm.imagedesc import pgm
 SIDE = 96
 
 
-@cache
+#: Textures by number; a plain table, as what functools caches travels to executors by name alone.
+_KNOWN: dict[int, np.ndarray] = {}
+
+
 def textures(n: int) -> np.ndarray:
+    if n in _KNOWN:
+        return _KNOWN[n]
     rng = np.random.default_rng(8)
     out = []
     for _ in range(n):
         coarse, fine = rng.standard_normal((21, 21)), rng.standard_normal((45, 45))
         big = [_enlarge(c, SIDE) for c in (coarse, fine)]
         out.append(big[0] + 0.8 * big[1])
-    return np.stack(out).reshape(n, -1)
+    _KNOWN[n] = np.stack(out).reshape(n, -1)
+    return _KNOWN[n]
 
 
 def _enlarge(x: np.ndarray, side: int) -> np.ndarray:

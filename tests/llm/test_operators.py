@@ -303,37 +303,109 @@ def test_images(spark):
 
 
 def test_crowded_image_buckets(spark, monkeypatch):
+    """The pairs of buckets cut into blocks are those of all buckets, compared one by one."""
     monkeypatch.setattr(imagedesc, "BLOCK", 8)
     monkeypatch.setattr(imagedesc, "SMALL", 6)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 256, (4, 16), np.uint8)
+    corners = np.array([[30, 30, 1, 0.1], [52, 31, 1, 0.5], [34, 55, 1, -0.4], [60, 58, 1, 1.0]], np.float32)
     images = []
     for i in range(90):
-        d = base[rng.permutation(4)[: 1 + i % 4]].copy()
+        own = rng.permutation(4)[: 2 + i % 3]
+        d = base[own].copy()
         d[:, 8:] ^= (rng.random((len(d), 8)) < 0.25).astype(np.uint8) << 3
         d[:, 12:] ^= 255 * (rng.random((len(d), 4)) < 0.3).astype(np.uint8)
-        images.append((i + 1, 1 if i < 50 else i // 3, d.tobytes()))
+        d[:, 0] ^= (rng.random(len(d)) < 0.5).astype(np.uint8)
+        images.append((i + 1, 1 if i < 50 else i // 3, d.tobytes(), (corners[own] + np.float32([i % 7, i % 5, 0, 0])).tobytes()))
+    monkeypatch.setattr(imagedesc, "COMMON", 1)
     read = lambda raw: np.frombuffer(raw, np.uint8).reshape(-1, 16)
     want, holders = set(), {}
-    for i, _, raw in images:
-        for band in range(4):
-            for key in imagedesc._band(read(raw), band).tolist():
-                holders.setdefault(key, set()).add(i)
-    by_id = {i: (c, read(raw)) for i, c, raw in images}
-    for key, ids in holders.items():
-        for a in ids:
-            for b in ids:
-                if a < b and by_id[a][0] != by_id[b][0]:
-                    x, y = ([r for r in by_id[k][1] if key in [imagedesc._band(r[None], n)[0] for n in range(4)]] for k in (a, b))
-                    if any(np.bitwise_count(r ^ t).sum() <= imagedesc.CLOSE_BITS for r in x for t in y):
-                        want.add((a, b))
-    df = spark.createDataFrame(images, "id long, comp long, bits binary")
+    for i, comp, raw, points in images:
+        d, p = read(raw), np.frombuffer(points, np.float32).reshape(-1, 4).astype(float)
+        for k in range(len(d)):
+            for band in range(4):
+                holders.setdefault((band, d[k, 3 * band : 3 * band + 3].tobytes()), []).append((i, comp, d, p, k))
+
+    def seen(p, d, k):
+        """Neighbours of a corner as the corner sees them."""
+        for j in range(len(p)):
+            if j != k:
+                x, y = p[j, :2] - p[k, :2]
+                c, s = np.cos(p[k, 3]), np.sin(p[k, 3])
+                yield int.from_bytes(d[j, :4].tobytes(), "little"), round(c * x + s * y), round(c * y - s * x), p[j, 3] - p[k, 3]
+
+    def common(u, v):
+        (b, x, y, t), (c, z, w, r) = u, v
+        return (b ^ c).bit_count() <= 7 and np.hypot(x - z, y - w) <= 2.5 + 0.15 * np.hypot(x, y) and abs((t - r + np.pi) % (2 * np.pi) - np.pi) <= 0.5
+
+    for own in holders.values():
+        for (i, ci, d, p, k), (j, cj, e, q, m) in itertools.combinations(own, 2):
+            if ci != cj and np.bitwise_count(d[k] ^ e[m]).sum() <= 28 and any(common(u, v) for u in seen(p, d, k) for v in seen(q, e, m)):
+                want.add((min(i, j), max(i, j)))
+    df = spark.createDataFrame(images, "id long, comp long, bits binary, points binary")
     got = [tuple(r) for r in imagedesc.crowded_pairs(df, imagedesc.Scratch(spark)).collect()]
-    sizes = [len(ids) for ids in holders.values()]
+    sizes = [len({i for i, *_ in own}) for own in holders.values()]
     assert min(sizes) <= 6 < max(sizes)  # both ways are taken
     assert want and len(got) == len(set(got)) and set(got) == want
 
 
+def edited(rng, x, e):
+    """A crop, other tones, a turn or another size, with noise."""
+    h, w = x.shape
+    c = rng.integers(0, 14, 4)
+    if e % 3 == 1:
+        x = x[c[0] : h - c[1], c[2] : w - c[3]]
+    if e % 3 == 2:
+        x = (x - 128) * rng.uniform(0.6, 1.2) + 128 + rng.uniform(-15, 15)
+    if e >= 4:
+        t, zoom = (rng.uniform(-0.4, 0.4), 1.0) if e == 4 else (0.0, rng.uniform(0.85, 1.2))
+        yy, xx = np.mgrid[0 : x.shape[0], 0 : x.shape[1]] - np.array(x.shape)[:, None, None] / 2
+        u = np.clip((xx * np.cos(t) + yy * np.sin(t)) / zoom + x.shape[1] / 2, 0, x.shape[1] - 1.01)
+        v = np.clip((yy * np.cos(t) - xx * np.sin(t)) / zoom + x.shape[0] / 2, 0, x.shape[0] - 1.01)
+        i, j = v.astype(int), u.astype(int)
+        f, g = v - i, u - j
+        x = x[i, j] * (1 - f) * (1 - g) + x[i + 1, j] * f * (1 - g) + x[i, j + 1] * (1 - f) * g + x[i + 1, j + 1] * f * g
+    return np.clip(np.rint(x + rng.normal(0, rng.uniform(2, 12), x.shape)), 0, 255).astype(np.uint8)
+
+
+def test_image_recall_against_all_pairs(spark):
+    """Images that no generator of the query made, edited six ways: of all pairs that verification takes for copies, at least 0.9 lie in one component."""
+    rng = np.random.default_rng(17)
+    images = []
+    for k in range(25):
+        base = sum(a * media._enlarge(rng.standard_normal((n, n)), 110) for n, a in ((12, 25), (27, 25), (56, 15))) + 128
+        images += [(10 * k + e, imagedesc.pgm(edited(rng, base, e))) for e in range(6)]
+    found = {i: imagedesc.describe(imagedesc.decode(b)) for i, b in images}
+    copies = [(a, b) for a, b in itertools.combinations(sorted(found), 2) if imagedesc.is_copy(*found[a], *found[b])]
+    assert len(copies) > 200 and all(a // 10 == b // 10 for a, b in copies)
+    out = {r.media_id: r.component_id for r in imagedesc.image_copies(spark.createDataFrame(images, "media_id long, image binary")).collect()}
+    assert sum(out[a] == out[b] for a, b in copies) >= 0.9 * len(copies)
+    assert all(out[i] // 10 == i // 10 for i in out)
+
+
+def test_png_filters():
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(2)
+    for kind, k in ((0, 1), (2, 3), (6, 4)):
+        x = rng.integers(0, 256, (11, 13, k)).astype(int)
+        lines = []
+        for r in range(11):
+            f = r % 5
+            flat, up = x[r].ravel(), x[r - 1].ravel() if r else np.zeros(13 * k, int)
+            left, corner = np.concatenate([np.zeros(k, int), flat[:-k]]), np.concatenate([np.zeros(k, int), up[:-k]])
+            p = left + up - corner
+            da, db, dc = abs(p - left), abs(p - up), abs(p - corner)
+            paeth = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up, corner))
+            lines.append(bytes([f]) + ((flat - [0, left, up, (left + up) // 2, paeth][f]) & 255).astype(np.uint8).tobytes())
+        chunk = lambda n, b: struct.pack(">I", len(b)) + n + b + b"\0\0\0\0"
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 13, 11, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines)))
+        got = imagedesc.decode(png)
+        assert (got == (x[:, :, 0] if k == 1 else imagedesc._grey(x.astype(np.uint8)))).all()
+    assert imagedesc.decode(png[:60]) is None and imagedesc.decode(b"P5 99999999 99999999 255\n") is None
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
