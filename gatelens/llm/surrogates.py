@@ -36,7 +36,7 @@ DENSE = 1 / 8
 PERMUTED = -1
 FEISTEL_ROUNDS = 8
 #: Rows of the table of later attempts that may be broadcast.
-EXCEPTIONS = 200_000
+EXCEPTIONS = 50_000
 
 # Given names by script and gender, titles by gender.
 GIVEN = {
