@@ -153,11 +153,11 @@ def guarded_mean(pairs: list[tuple[Column, float]], margin: float) -> Column:
 
 
 def confidence_colour(conf) -> Column:
-    """Red over yellow to green for 0 to 5."""
-    t = clip(col(conf) / 5)
-    red = F.when(t < 0.5, 220.0).otherwise(220 - (t - 0.5) * 2 * 180)
-    green = F.when(t < 0.5, 60 + t * 2 * 120).otherwise(180.0)
-    return F.format_string("#%02x%02x%02x", F.rint(red).cast("int"), F.rint(green).cast("int"), F.lit(60))
+    """Red over yellow to green for 0 to 5; grey for no value."""
+    t = clip(finite(conf) / 5)
+    red, green = F.when(t <= 0.5, 255.0).otherwise(255 * (1 - (t - 0.5) / 0.5)), F.when(t <= 0.5, 255 * t / 0.5).otherwise(255.0)
+    colour = F.format_string("#%02x%02x00", F.rint(red).cast("int"), F.rint(green).cast("int"))
+    return F.when(finite(conf).isNull(), "#9ca3af").otherwise(colour)
 
 
 def k_threshold(median, sigma, k: float, direction: str = "upper") -> Column:

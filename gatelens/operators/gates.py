@@ -153,12 +153,12 @@ def _capitals(t: Column, capital_frequency: int, capital_relation: str = "at lea
 
 @instruction("change_case:english_capital")
 def _upper(t: Column) -> Column:
-    return (F.upper(t) == t) & t.rlike(r"\p{Lu}")
+    return (F.upper(t) == t) & t.rlike(r"\p{Lu}") & F.coalesce(language(t) == "en", F.lit(True))
 
 
 @instruction("change_case:english_lowercase")
 def _lower(t: Column) -> Column:
-    return (F.lower(t) == t) & t.rlike(r"\p{Ll}")
+    return (F.lower(t) == t) & t.rlike(r"\p{Ll}") & F.coalesce(language(t) == "en", F.lit(True))
 
 
 @instruction("punctuation:no_comma")
@@ -303,7 +303,7 @@ def _problems(value, spec, path: str, strict: bool, extra: bool) -> list[str]:
     if isinstance(spec, (list, tuple)):
         ok = str(value) in [str(s) for s in spec]
     elif spec == "text":
-        ok = isinstance(value, str) and bool(value.strip())
+        ok = isinstance(value, str) and bool(value)
     elif spec == "integer":
         ok = isinstance(value, int) and not isinstance(value, bool)
     elif spec == "number":

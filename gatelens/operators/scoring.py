@@ -60,11 +60,23 @@ def diagnostic_quadrants(df: DataFrame, by: list[str], a: str, b: str) -> DataFr
     return g.withColumn("risk", noisy_or([(F.col("rate"), W_RATE / 0.85), (F.col("mass"), W_MASS / 0.85)]))
 
 
-def confidence(df: DataFrame, by: list[str], signal: str, available: str, support: int = 8) -> DataFrame:
-    """by, n_valid, confidence 0 to 5: the least of the finite, the available and the support share; 0 below `support` rows."""
+def confidence(df: DataFrame, by: list[str], signal: str, available: str, support: int = 8, method: str | None = None, source: str | None = None, flat: str | None = None, operation: float = 1.0) -> DataFrame:
+    """by, n_valid, conf_data, conf_calc, conf_th, confidence 0 to 5: the least of the parts, times the operational share.
+
+    Data: valid rows over the support, held to 1, and 0 below eight; calculation: the lesser of the finite and the available
+    share; threshold: 1 if every rule names a method and a source (columns) and none has a flat scale.
+    """
     ok = finite(signal).isNotNull()
-    g = df.groupBy(*by).agg(F.count_if(ok & F.col(available)).alias("n_valid"), F.avg(ok.cast("double")).alias("_f"), F.avg(F.col(available).cast("double")).alias("_a"))
-    return g.select(*by, "n_valid", F.when(F.col("n_valid") < support, 0.0).otherwise(5 * F.least(F.col("_f"), F.col("_a"), F.col("n_valid") / (F.col("n_valid") + support))).alias("confidence"))
+    named = lambda c: ~F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))).isin("", "missing", "na")
+    parts = [named(c) for c in (method, source) if c] + ([~F.coalesce(F.col(flat), F.lit(False))] if flat else [])
+    sound = F.lit(True)
+    for p in parts:
+        sound = sound & p
+    g = df.groupBy(*by).agg(
+        F.count_if(ok & F.col(available)).alias("n_valid"), F.avg(ok.cast("double")).alias("_f"), F.avg(F.col(available).cast("double")).alias("_a"), F.bool_and(sound).cast("double").alias("conf_th"),
+    )
+    g = g.withColumn("conf_data", F.when(F.col("n_valid") < 8, 0.0).otherwise(clip(F.col("n_valid") / max(1, support)))).withColumn("conf_calc", clip(F.least("_f", "_a")))
+    return g.select(*by, "n_valid", "conf_data", "conf_calc", "conf_th", (5 * clip(F.least("conf_data", "conf_calc", "conf_th") * clip(F.lit(operation)))).alias("confidence"))
 
 
 def coverage(df: DataFrame, by: list[str], gate: str, signals: list[str]) -> DataFrame:

@@ -190,23 +190,22 @@ def local_mahalanobis(edges: DataFrame, rows: DataFrame, key: str, shrink: float
     return rows.join(e, key).select(key, distance("d", "_near").alias("diff_residual"))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def hash_embed_768(texts: pd.Series) -> pd.Series:
-    """Signed feature hashing of lower-case words into 768 cells, weights 1 + log of the count."""
+def hash_vector(t: str | None, dim: int = 768) -> list[float]:
+    """Signed feature hashing of lower-case words, weights 1 + log of the count; the sign is the hash's top bit."""
     import hashlib
     import re
     from collections import Counter
 
-    word = re.compile(r"\w+")
+    v = np.zeros(dim, np.float32)
+    for w, n in Counter(re.findall(r"\w+", (t or "").lower())).items():
+        h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "ignore"), digest_size=8).digest(), "little")
+        v[h % dim] += (-1 if h >> 63 else 1) * (1 + math.log(n))
+    return v.tolist()
 
-    def of(t) -> list[float]:
-        v = np.zeros(768, np.float32)
-        for w, n in Counter(word.findall((t or "").lower())).items():
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-            v[h % 768] += (1 if h >> 63 else -1) * (1 + math.log(n))
-        return v.tolist()
 
-    return texts.map(of)
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def hash_embed_768(texts: pd.Series) -> pd.Series:
+    return texts.map(hash_vector)
 
 
 def pca(df: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelens.functions.scalar import finite
+from gatelens.sources.scratch import with_group
 
 MAD_SCALE = 1.4826
 EPS = 1e-9
@@ -28,14 +29,22 @@ def center(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def robust_z(df: DataFrame, by: list[str], value: str, reference: Column | None = None) -> DataFrame:
     """df with z of value against the median and MAD of its group's reference rows, or of all if none are."""
-    w = Window.partitionBy(*by)
     x = finite(value)
     ref = F.lit(True) if reference is None else reference
-    med = F.coalesce(F.median(F.when(ref, x)).over(w), F.median(x).over(w))
-    out = df.withColumn("_med", med)
+    med = df.groupBy(*by).agg(F.coalesce(F.median(F.when(ref, x)), F.median(x)).alias("_med"))
+    out = with_group(df, med, by)
     dev = F.abs(x - F.col("_med"))
-    mad = F.coalesce(F.median(F.when(ref, dev)).over(w), F.median(dev).over(w))
-    return out.withColumn("_mad", mad).withColumn("z", (x - F.col("_med")) / (MAD_SCALE * F.col("_mad") + EPS)).drop("_med", "_mad")
+    mad = out.groupBy(*by).agg(F.coalesce(F.median(F.when(ref, dev)), F.median(dev)).alias("_mad"))
+    return with_group(out, mad, by).withColumn("z", (x - F.col("_med")) / (MAD_SCALE * F.col("_mad") + EPS)).drop("_med", "_mad")
+
+
+def robust_sigma(df: DataFrame, by: list[str], value: str, eps: float = 1e-12) -> DataFrame:
+    """by, median, sigma: MAD, IQR, or the 10-90 span, the first that is positive; null if none is."""
+    x = df.withColumn("_x", finite(value)).where("_x is not null")
+    q = x.groupBy(*by).agg(F.percentile("_x", F.array(*[F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)])).alias("_q"))
+    d = with_group(x.select(*by, "_x"), q, by).groupBy(*by, "_q").agg(F.median(F.abs(F.col("_x") - F.col("_q")[2])).alias("_mad"))
+    steps = (MAD_SCALE * F.col("_mad"), (F.col("_q")[3] - F.col("_q")[1]) / 1.349, 0.7413 * (F.col("_q")[4] - F.col("_q")[0]))
+    return d.select(*by, F.col("_q")[2].alias("median"), F.coalesce(*[F.when(s > eps, s) for s in steps]).alias("sigma"))
 
 
 def scale_ladder(df: DataFrame, by: list[str], value: str, eps: float = 1e-12) -> DataFrame:
@@ -66,11 +75,11 @@ def scale_ladder(df: DataFrame, by: list[str], value: str, eps: float = 1e-12) -
 
 def weighted_quantile(df: DataFrame, by: list[str], value: str, weight: str, qs: list[float], order: str) -> DataFrame:
     """by, q, value: interpolated on the midpoint CDF (cumulated weight less half its own, over all), held at the ends."""
+    from gatelens.operators.windows import ordered
+
     x = df.withColumn("_x", finite(value)).withColumn("_w", finite(weight)).where("_x is not null and _w > 0")
-    w = Window.partitionBy(*by)
-    run = w.orderBy("_x", order).rowsBetween(Window.unboundedPreceding, 0)
-    c = (F.sum("_w").over(run) - F.col("_w") / 2) / F.sum("_w").over(w)
-    x = x.withColumn("_c", c).withColumn("q", F.explode(F.array(*map(F.lit, qs))))
+    x = ordered(x.select(*by, "_x", "_w", order), by, "_x", order, "_w")
+    x = x.withColumn("_c", (F.col("_run") - F.col("_w") / 2) / F.col("_total")).withColumn("q", F.explode(F.array(*map(F.lit, qs))))
     at = F.struct("_c", "_x")
     g = x.groupBy(*by, "q").agg(F.max(F.when(F.col("_c") <= F.col("q"), at)).alias("lo"), F.min(F.when(F.col("_c") >= F.col("q"), at)).alias("hi"))
     span = F.col("hi._c") - F.col("lo._c")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gatelens.functions.scalar import finite, tail_trigger
 from gatelens.operators import stats, windows
+from gatelens.sources.scratch import saved, with_group
 
 ROBUST_K, MAX_K, FLOOR_K = 3.5, 8.0, 0.5
 
@@ -22,15 +23,20 @@ def quantile_tail_policy(df: DataFrame, by: list[str], value: str, q: float = 0.
     return x.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("_x", F.lit(1 - q)).alias("threshold"))
 
 
-def tail_start_policy(df: DataFrame, by: list[str], value: str, order: str, k: float = ROBUST_K, floor: float = FLOOR_K, most: float = MAX_K) -> DataFrame:
-    """by, median, sigma, knee, jump, gap_z, k, threshold: a strong gap, else the larger of bend and gap, within bounds; else k."""
-    s = stats.scale_ladder(df, by, value).select(*by, "median", "sigma")
-    z = df.join(s, by).withColumn("_zz", (finite(value) - F.col("median")) / F.col("sigma")).where("sigma > 0")
+def tail_start_policy(df: DataFrame, by: list[str], value: str, order: str, k: float = ROBUST_K, floor: float = FLOOR_K, most: float | None = MAX_K) -> DataFrame:
+    """by, median, sigma, knee, jump, gap_z, k, threshold: a strong gap, else the larger of bend and gap, within bounds; else k.
+
+    The bend's window of survival reaches to the share of positive z and 0.05, as the gap's does. Flat groups have no threshold.
+    """
+    s = saved(stats.scale_ladder(df, by, value).select(*by, "median", "sigma"))
+    z = with_group(df.select(*by, value, order), s, by, "inner").withColumn("_zz", (finite(value) - F.col("median")) / F.col("sigma")).where("sigma > 0")
+    z = saved(z.select(*by, "_zz", order).where("_zz >= 0"))
     gap = windows.gap_jump(z, by, "_zz", order).select(*by, "jump", "gap_z", "kind")
-    knee = windows.tail_start(z, by, "_zz").select(*by, "knee")
-    out = s.join(gap, by, "left").join(knee, by, "left")
+    knee = windows.tail_start(z, by, "_zz", raise_most=True).select(*by, "knee")
+    out = with_group(with_group(s, gap, by), knee, by)
     pick = F.when(F.col("kind") == "strong_first", F.col("jump")).otherwise(F.greatest("knee", "jump"))
-    out = out.withColumn("k", F.coalesce(F.least(F.lit(most), F.greatest(F.lit(floor), pick)), F.lit(k)))
+    bounded = F.greatest(F.lit(floor), pick) if most is None else F.least(F.lit(most), F.greatest(F.lit(floor), pick))
+    out = out.withColumn("k", F.coalesce(F.when(pick.isNotNull(), bounded), F.lit(k)))
     return out.withColumn("threshold", F.when(F.col("sigma") > 0, F.col("median") + F.col("k") * F.col("sigma"))).drop("kind")
 
 
@@ -44,18 +50,36 @@ def core_thresholds(df: DataFrame, by: list[str], value: str, tails: DataFrame,
     return d.select(*by, "core_median", F.least(core, F.col("_t")).alias("core"), s.alias("core_sigma"))
 
 
-def exceptional(df: DataFrame, by: list[str], value: str, tails: DataFrame, least: int = 24, points: int = 140, q: float = 0.90, delta: float = 0.05) -> DataFrame:
-    """by, exceptional: where the log-survival of the tail has become flat; a quantile of the tail without such a run."""
-    x = df.join(tails.select(*by, F.col("threshold").alias("_t")), by).withColumn("_x", finite(value)).where("_x >= _t")
-    g = windows.log_survival(x, by, "_x", points, F.min("_t"), F.percentile("_v", F.lit(0.999)))
-    w = Window.partitionBy(*by)
-    g = g.withColumn("_s1", F.stddev_pop("d1").over(w)).withColumn("_s2", F.stddev_pop("d2").over(w))
-    ends = x.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_t").alias("_lo"), F.max("_x").alias("_hi"), F.percentile("_x", F.lit(q)).alias("_q"))
-    g = g.join(ends, by)
-    flat = (F.abs("d1") <= F.col("_s1")) & (F.abs("d2") <= F.col("_s2")) & (F.col("x") >= F.col("_lo") + delta * (F.col("_hi") - F.col("_lo")))
+def exceptional(df: DataFrame, by: list[str], value: str, tails: DataFrame, least: int = 24, points: int = 140, q: float = 0.90, delta: float = 0.05, eps: float = 1e-12) -> DataFrame:
+    """by, tail_rows, exceptional: where the log-survival of the tail has become flat; a quantile of the tail without such a run.
+
+    Flat: first and second differences within a robust deviation of those of the grid points held by more than one row and
+    less than 0.8 of them; all points count where fewer than eight are. Null where the tail has no extent.
+    """
+    x = with_group(df, tails.select(*by, F.col("threshold").alias("_t")), by, "inner").withColumn("_x", finite(value)).where("_x >= _t").select(*by, "_x", "_t")
+    ends = x.groupBy(*by).agg(F.count("*").alias("_rows"), F.min("_t").alias("_low"), F.max("_x").alias("_max"), F.percentile("_x", F.array(F.lit(q), F.lit(0.999))).alias("_qs"))
+    ends = saved(ends.withColumn("_high", F.when(F.col("_qs")[1] > F.col("_low") + eps, F.col("_qs")[1]).otherwise(F.col("_max"))))
+    big = with_group(x.select(*by, "_x"), ends, by, "inner").where((F.col("_rows") >= max(8, least)) & (F.col("_high") > F.col("_low") + eps))
+    g = with_group(windows.log_survival(big, by, "_x", points, F.min("_low"), F.max("_high")), ends, by)
+    g = saved(g.withColumn("_in", (F.col("survival") > 1 / F.col("_rows")) & (F.col("survival") < 0.8)))
+    some = g.groupBy(*by).agg((F.count_if("_in") >= 8).alias("_own"))
+    valid = with_group(g, some, by).where(F.col("_in") | ~F.col("_own"))
+    spread = None
+    for d in ("d1", "d2"):
+        m = valid.groupBy(*by).agg(F.median(d).alias("_m"), F.stddev_pop(d).alias("_sd"))
+        s = with_group(valid, m, by).groupBy(*by).agg(F.median(F.abs(F.col(d) - F.col("_m"))).alias("_mad"), F.max("_sd").alias("_sd"))
+        s = s.select(*by, F.when(1.4826 * F.col("_mad") > eps, 1.4826 * F.col("_mad")).otherwise(F.col("_sd")).alias(f"_{d}"))
+        spread = s if spread is None else with_group(spread, s, by)
+    g = with_group(g, spread, by)
+    span = F.greatest(F.col("_high") - F.col("_low"), F.lit(eps))
+    flat = (F.abs("d1") <= F.col("_d1")) & (F.abs("d2") <= F.col("_d2")) & (F.col("x") >= F.col("_low") + delta * span) & (F.col("_d1") > eps) & (F.col("_d2") > eps)
     run = windows.first_flat_run(g, by, flat).select(*by, F.col("x").alias("_run"))
-    fallback = F.least(F.greatest(F.col("_lo") + delta * (F.col("_hi") - F.col("_lo")), F.col("_q")), F.col("_hi"))
-    return ends.join(run, by, "left").select(*by, F.col("_n").alias("tail_rows"), F.when(F.col("_n") >= least, F.coalesce("_run", fallback)).otherwise(fallback).alias("exceptional"))
+    far = F.when(F.col("_rows") >= max(8, least), F.col("_high")).otherwise(F.col("_max"))
+    fallback = F.least(F.greatest(F.col("_low") + delta * F.greatest(far - F.col("_low"), F.lit(eps)), F.col("_qs")[0]), far)
+    out = with_group(with_group(ends, run, by), spread, by)
+    broken = (F.col("_rows") >= max(8, least)) & ~F.coalesce((F.col("_d1") > eps) & (F.col("_d2") > eps), F.lit(False))
+    value_ = F.when(broken, None).otherwise(F.coalesce("_run", fallback))
+    return out.select(*by, F.col("_rows").alias("tail_rows"), F.when(value_ > F.col("_low") + eps, value_).alias("exceptional"))
 
 
 def stability_cuts(df: DataFrame, by: list[str], value: str, features: list[str], shares: list[float]) -> DataFrame:
@@ -63,7 +87,7 @@ def stability_cuts(df: DataFrame, by: list[str], value: str, features: list[str]
     x = df.withColumn("_x", finite(value)).where("_x is not null")
     cuts = x.groupBy(*by).agg(F.percentile("_x", F.array(*[F.lit(1 - s) for s in shares])).alias("_c"))
     cuts = cuts.select(*by, F.posexplode("_c").alias("_i", "cut")).withColumn("share", F.element_at(F.array(*map(F.lit, shares)), F.col("_i") + 1)).drop("_i")
-    j = x.join(F.broadcast(cuts), by).where(F.col("_x") >= F.col("cut"))  # a row per group and share
+    j = with_group(x, cuts, by, "inner").where(F.col("_x") >= F.col("cut"))
     return j.groupBy(*by, "share", "cut").agg(F.count("*").alias("flagged"), *[F.var_pop(f).alias(f"var_{f}") for f in features])
 
 
@@ -95,7 +119,7 @@ def hybrid(df: DataFrame, by: list[str], value: str, order: str, least: int = 8,
     t = t.join(n, by)
     ok = (F.col("_n") >= least) & F.col("threshold").isNotNull() & F.coalesce("knee", "jump").isNotNull()
     t = t.withColumn("source", F.when(ok, "tail_start").otherwise("quantile_guard")).withColumn("threshold", F.when(ok, F.col("threshold")).otherwise(F.col("_q")))
-    t = t.select(*by, "threshold", "source")
+    t = saved(t.select(*by, "threshold", "source"))  # a row per group, read by what builds on the tail
     core, exc = core_thresholds(df, by, value, t), exceptional(df, by, value, t)
     out = t.join(core, by, "left").join(exc.select(*by, "exceptional"), by, "left")
     far = F.col("threshold") + 1.2 * F.abs(F.col("threshold") - F.col("core_median"))
@@ -109,7 +133,7 @@ def apply_states(df: DataFrame, thresholds: DataFrame, by: list[str], value: str
     """df with state by hybrid thresholds; warn is outside the core band on either side."""
     x = finite(value)
     ok = x.isNotNull() if base is None else base & x.isNotNull()
-    j = df.join(F.broadcast(thresholds), by, "left") if by else df.crossJoin(F.broadcast(thresholds))  # a row per group and rule
+    j = with_group(df, thresholds, by)
     state = F.when(~ok, "na").when(x >= F.col("hard"), "hard_fail").when(x >= F.col("fail"), "fail").when((x > F.col("warn")) | (x < F.col("warn_low")), "warn").otherwise("pass")
     return j.withColumn("state", state).drop("warn_low", "warn", "fail", "hard", "source")
 

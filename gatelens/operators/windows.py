@@ -6,11 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelens.functions.scalar import clip, finite
+from gatelens.operators.stats import robust_sigma
+from gatelens.sources.scratch import saved, with_group
+
+
+def ordered(df: DataFrame, by: list[str], value: str, order: str, weight: str | None = None) -> DataFrame:
+    """df with _i (place in its group in the order of value and order, from 1), _n (rows of the group) and _next (the next value).
+
+    With a weight, also _run (weights up to the row) and _total. Rows are dealt by ranges, so a group spreads over tasks; the
+    ranges meet through their counts and first values alone.
+    """
+    keys = [*by, value, order]
+    x = saved(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()))
+    w = Window.partitionBy("_p", *by).orderBy(value, order)
+    sums = [F.sum(weight).alias("_w")] if weight else []
+    edges = x.groupBy("_p", *by).agg(F.count("*").alias("_c"), F.min(value).alias("_first"), *sums)
+    g, before = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per range and group
+    cols = [F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_ahead"), F.sum("_c").over(g).alias("_n"), F.lead("_first").over(g.orderBy("_p")).alias("_after")]
+    if weight:
+        cols += [F.coalesce(F.sum("_w").over(before), F.lit(0.0)).alias("_w_ahead"), F.sum("_w").over(g).alias("_total")]
+    x = with_group(x.withColumn("_i", F.row_number().over(w)).withColumn("_next", F.lead(value).over(w)), edges.select("_p", *by, *cols), ["_p", *by])
+    x = x.withColumn("_i", F.col("_i") + F.col("_ahead")).withColumn("_next", F.coalesce("_next", "_after"))
+    if weight:
+        x = x.withColumn("_run", F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_w_ahead")).drop("_w_ahead")
+    return x.drop("_p", "_ahead", "_after")
 
 
 def rank_share(df: DataFrame, by: list[str], value: str, order: str, name: str = "rank") -> DataFrame:
-    w = Window.partitionBy(*by)
-    return df.withColumn(name, F.row_number().over(w.orderBy(F.col(value), F.col(order))) / F.count("*").over(w))
+    return ordered(df, by, value, order).withColumn(name, F.col("_i") / F.col("_n")).drop("_i", "_n", "_next")
 
 
 def soft_weights(df: DataFrame, by: list[str], risk: str, order: str, start: float = 0.90, alpha: float = 6.0, least: float = 0.05) -> DataFrame:
@@ -19,41 +42,46 @@ def soft_weights(df: DataFrame, by: list[str], risk: str, order: str, start: flo
     return out.withColumn("weight", clip(F.exp(-alpha * F.greatest(F.col("_rank") - start, F.lit(0.0))), least, 1.0)).drop("_rank")
 
 
-def gap_jump(df: DataFrame, by: list[str], z: str, order: str, least: float = 0.005, most: float = 0.30, strong: float = 4.0, weak: float = 2.5, rows: int = 40) -> DataFrame:
-    """by, jump, gap_z, kind: the first gap of the sorted positive z, in a window of survival, whose robust z is strong; else the largest weak one."""
-    w = Window.partitionBy(*by).orderBy("_z", order)
-    x = df.withColumn("_z", finite(z)).where("_z >= 0")
-    n = F.count("*").over(Window.partitionBy(*by))
-    x = x.withColumn("_n", n).withColumn("_i", F.row_number().over(w)).withColumn("_next", F.lead("_z").over(w)).where(F.col("_n") >= rows)
-    x = x.withColumn("_gap", F.col("_next") - F.col("_z")).withColumn("_s", (F.col("_n") - F.col("_i")) / F.col("_n"))
-    x = x.where((F.col("_gap") > 0) & F.col("_s").between(least, most))
-    g = Window.partitionBy(*by)
-    x = x.withColumn("_m", F.median("_gap").over(g)).withColumn("_d", F.median(F.abs(F.col("_gap") - F.col("_m"))).over(g))
-    x = x.withColumn("gz", (F.col("_gap") - F.col("_m")) / (1.4826 * F.col("_d") + 1e-12))
-    pick = F.struct("_i", "_next", "gz")
-    top = F.struct("gz", (-F.col("_i")).alias("_o"), "_next")
-    r = x.groupBy(*by).agg(F.min(F.when(F.col("gz") >= strong, pick)).alias("s"), F.max(F.when(F.col("gz") >= weak, top)).alias("t"))
-    kind = F.when(F.col("s").isNotNull(), "strong_first").when(F.col("t").isNotNull(), "weak_max").otherwise("none")
-    return r.select(*by, F.coalesce("s._next", "t._next").alias("jump"), F.coalesce("s.gz", "t.gz").alias("gap_z"), kind.alias("kind"))
+def gap_jump(df: DataFrame, by: list[str], z: str, order: str, least: float = 0.005, most: float = 0.30, strong: float = 4.0, weak: float = 2.5, rows: int = 40, eps: float = 1e-12) -> DataFrame:
+    """by, jump, gap_z, kind: the first gap of the sorted z >= 0, in a window of survival, whose robust z is strong; else the largest weak one.
+
+    The window reaches to the share of positive z and 0.05, at most 0.95; one without five gaps is widened once. Null
+    without five gaps, or with flat ones.
+    """
+    x = ordered(df.withColumn("_z", finite(z)).where("_z >= 0").select(*by, "_z", order), by, "_z", order).where(F.col("_n") >= rows)
+    positive = x.groupBy(*by).agg(F.avg((F.col("_z") > 0).cast("double")).alias("_mass"))
+    x = x.withColumn("_gap", F.col("_next") - F.col("_z")).withColumn("_s", (F.col("_n") - F.col("_i")) / F.col("_n")).where("_gap > 0")
+    x = with_group(x, positive, by)
+    to = F.least(F.lit(0.95), F.greatest(F.lit(most), F.col("_mass") + 0.05))
+    x = saved(x.withColumn("_in", F.col("_s").between(least, to)).withColumn("_near", F.col("_s").between(max(1e-5, least / 2), F.least(F.lit(0.98), to + 0.1))))
+    enough = x.groupBy(*by).agg((F.count_if("_in") >= 5).alias("_first"), (F.count_if("_near") >= 5).alias("_second"))
+    x = with_group(x, enough, by).where((F.col("_first") & F.col("_in")) | (~F.col("_first") & F.col("_second") & F.col("_near")))
+    x = with_group(x, robust_sigma(x, by, "_gap", eps), by).where("sigma is not null").withColumn("gz", (F.col("_gap") - F.col("median")) / F.col("sigma"))
+    pick, top = F.struct("_i", "_next", "gz"), F.struct("gz", (-F.col("_i")).alias("_o"), "_next")
+    r = x.groupBy(*by).agg(F.min(F.when(F.col("gz") >= strong, pick)).alias("s"), F.max(top).alias("t"))
+    some = F.col("t.gz") >= weak
+    kind = F.when(F.col("s").isNotNull(), "strong_first").when(some, "weak_max").otherwise("none")
+    return r.select(*by, F.coalesce("s._next", F.when(some, F.col("t._next"))).alias("jump"), F.coalesce("s.gz", "t.gz").alias("gap_z"), kind.alias("kind"))
 
 
 def log_survival(df: DataFrame, by: list[str], value: str, points: int, low: Column, high: Column) -> DataFrame:
-    """by, i, x, survival, smooth, d1, d2 on an even grid: log of the share of values above, smoothed by 1 2 3 2 1, differences."""
+    """by, i, x, survival, smooth, d1, d2 on an even grid: log of the share of values at or above, smoothed by 1 2 3 2 1, differences."""
     x = df.withColumn("_v", finite(value)).where("_v is not null")
     ends = x.groupBy(*by).agg(low.alias("_lo"), high.alias("_hi"), F.count("*").alias("_n"))
-    step = (F.col("_hi") - F.col("_lo")) / (points - 1)
-    grid = ends.select(*by, "_lo", "_n", step.alias("_step"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-    # counts per grid cell, summed from the right: no row meets more than one grid point
-    cell = F.when(F.col("_hi") > F.col("_lo"), F.ceil((F.col("_v") - F.col("_lo")) / step)).otherwise(0)
-    counts = x.join(ends, by).groupBy(*by, F.least(F.greatest(cell, F.lit(0)), F.lit(points)).cast("int").alias("i")).agg(F.count("*").alias("_c"))
-    # a value above grid point i - 1 and up to point i is above points 0 to i - 1
-    above = counts.select(*by, (F.col("i") - 1).alias("i"), "_c").where("i >= 0")
-    g = grid.join(above, [*by, "i"], "left")
-    w = Window.partitionBy(*by).orderBy("i")
+    ends = ends.withColumn("_step", (F.col("_hi") - F.col("_lo")) / (points - 1))
+    grid = ends.select(*by, "_lo", "_n", "_step", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    # counts per grid cell, summed from the right: no row meets more than one grid point; a value counts at points 0 to its cell
+    at = lambda k: F.col("_lo") + k * F.col("_step")
+    cell = F.when(F.col("_step") > 0, F.floor((F.col("_v") - F.col("_lo")) / F.col("_step"))).otherwise(points - 1)
+    x = with_group(x, ends, by, "inner").withColumn("_k", cell)
+    exact = F.when(at(F.col("_k")) > F.col("_v"), F.col("_k") - 1).when(at(F.col("_k") + 1) <= F.col("_v"), F.col("_k") + 1).otherwise(F.col("_k"))
+    counts = x.where(F.col("_v") >= F.col("_lo")).groupBy(*by, F.least(exact, F.lit(points - 1)).cast("int").alias("i")).agg(F.count("*").alias("_c"))
+    g = with_group(grid, counts, [*by, "i"])
+    w = Window.partitionBy(*by).orderBy("i")  # a row per group and grid point
     s = F.coalesce(F.sum("_c").over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(0)) / F.col("_n")
     g = g.withColumn("survival", s).withColumn("_l", F.log(F.greatest(F.col("survival"), F.lit(1e-12))))
-    at = lambda c, k: F.coalesce(F.lag(c, -k).over(w), F.lit(0.0))
-    g = g.withColumn("smooth", (at("_l", -2) + 2 * at("_l", -1) + 3 * F.col("_l") + 2 * at("_l", 1) + at("_l", 2)) / 9)
+    near = lambda c, k: F.coalesce(F.lag(c, -k).over(w), F.lit(0.0))
+    g = g.withColumn("smooth", (near("_l", -2) + 2 * near("_l", -1) + 3 * F.col("_l") + 2 * near("_l", 1) + near("_l", 2)) / 9)
 
     def gradient(c: str) -> Column:
         before, after = F.lag(c).over(w), F.lead(c).over(w)
@@ -63,13 +91,22 @@ def log_survival(df: DataFrame, by: list[str], value: str, points: int, low: Col
     return g.withColumn("d2", gradient("d1")).select(*by, "i", (F.col("_lo") + F.col("i") * F.col("_step")).alias("x"), "survival", "smooth", "d1", "d2")
 
 
-def tail_start(df: DataFrame, by: list[str], z: str, least: float = 0.005, most: float = 0.30, floor: float = 0.5, points: int = 160) -> DataFrame:
-    """by, knee: the grid point of sharpest bend of the log-survival curve of positive z in a window of survival."""
-    x = df.withColumn("_z", finite(z)).where("_z >= 0")
-    g = log_survival(x, by, "_z", points, F.lit(0.0), F.percentile("_v", F.lit(0.995)))
-    ok = g.where(F.col("survival").between(least, most) & (F.col("x") >= floor))
-    r = ok.groupBy(*by).agg(F.count("*").alias("points"), F.min(F.struct("d2", "i", "x")).alias("m"))
-    return r.select(*by, "points", F.when(F.col("points") >= 5, F.col("m.x")).alias("knee"))
+def tail_start(df: DataFrame, by: list[str], z: str, least: float = 0.005, most: float = 0.30, floor: float = 0.5, points: int = 160, rows: int = 40, raise_most: bool = False) -> DataFrame:
+    """by, points, knee: the grid point of sharpest bend of the log-survival curve of z >= 0 in a window of survival.
+
+    raise_most: the window reaches to the share of positive z and 0.05, at most 0.95. One of fewer than five points is widened once. Groups of fewer than `rows` such z, or without a positive one, have none.
+    """
+    x = df.withColumn("_z", finite(z)).where("_z >= 0").select(*by, "_z")
+    mass = F.avg((F.col("_z") > 0).cast("double"))
+    to = F.least(F.lit(0.95), F.greatest(F.lit(most), mass + 0.05)) if raise_most else F.lit(most)
+    enough = saved(x.groupBy(*by).agg(F.count("*").alias("_rows"), F.percentile("_z", F.lit(0.995)).alias("_top"), to.alias("_to")))
+    x = with_group(x, enough, by, "inner").where((F.col("_rows") >= rows) & (F.col("_top") > 0))
+    g = with_group(log_survival(x, by, "_z", points, F.lit(0.0), F.max("_top")).where(F.col("x") >= floor), enough.select(*by, "_to"), by)
+    g = g.withColumn("_in", F.col("survival").between(F.lit(least), F.col("_to"))).withColumn("_near", F.col("survival").between(F.lit(max(1e-5, least / 2)), F.least(F.lit(0.95), F.greatest(F.col("_to"), F.lit(0.5)))))
+    m = F.struct(F.round("d2", 12).alias("d2"), "i", "x")
+    r = g.groupBy(*by).agg(F.count_if("_in").alias("_a"), F.count_if("_near").alias("_b"), F.min(F.when(F.col("_in"), m)).alias("_m"), F.min(F.when(F.col("_near"), m)).alias("_k"))
+    own = F.col("_a") >= 5
+    return r.select(*by, F.when(own, F.col("_a")).otherwise(F.col("_b")).alias("points"), F.when(own, F.col("_m.x")).when(F.col("_b") >= 5, F.col("_k.x")).alias("knee"))
 
 
 def first_flat_run(g: DataFrame, by: list[str], flat: Column, length: int = 4) -> DataFrame:
@@ -94,13 +131,14 @@ def neighbour_of_zero(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def folds(df: DataFrame, label: str, order: str, k: int = 5) -> DataFrame:
     """df with a fold, dealt in turn within each label, in the order of a hash of the id."""
-    w = Window.partitionBy(label).orderBy(F.md5(F.col(order).cast("string")), F.col(order))
-    return df.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    x = ordered(df.withColumn("_h", F.md5(F.col(order).cast("string"))), [label], "_h", order)
+    return x.withColumn("fold", (F.col("_i") - 1) % k).drop("_h", "_i", "_n", "_next")
 
 
 def group_ids(df: DataFrame, group: str, order: str) -> DataFrame:
     """df with group_id g0000, g0001, ... by first appearance; null groups are one."""
     key = F.coalesce(F.col(group).cast("string"), F.lit("__MISSING__"))
     first = df.groupBy(key.alias("_k")).agg(F.min(order).alias("_first"), F.count("*").alias("group_size"))
-    ids = first.withColumn("group_id", F.format_string("g%04d", F.row_number().over(Window.orderBy("_first")) - 1))  # one row per group
-    return df.withColumn("_k", key).join(ids.drop("_first"), "_k").drop("_k")
+    ids = ordered(first.withColumn("_all", F.lit(0)), ["_all"], "_first", "_k")
+    ids = ids.select("_k", "group_size", F.format_string("g%04d", F.col("_i") - 1).alias("group_id"))
+    return df.withColumn("_k", key).join(ids, "_k").drop("_k")

@@ -201,9 +201,9 @@ def row_positions(spark, d):
 # predicates, maps, states ---------------------------------------------------------------------------------------------
 @query
 def lenient_labels(spark, d):
-    x = T(spark, d, "lineitem").where("l_linenumber = 1")
+    x = T(spark, d, "lineitem")
     flag = F.concat(F.lit(" "), F.element_at(F.array(*map(F.lit, ("TRUE", "yes", "1", "no", "Y", "maybe"))), (F.pmod("l_orderkey", F.lit(6)) + 1).cast("int")), F.lit(" "))
-    return x.select("l_orderkey", S.lenient_bool(flag).alias("strict_flag"), S.lenient_bool(flag, S.TRUE_WORDS_YN).alias("yn_flag"), S.label_value(flag, ("true", "yes"), ("no",)).alias("label"), S.is_bad(flag, "no").alias("bad"))
+    return x.select("l_orderkey", "l_linenumber", S.lenient_bool(flag).alias("strict_flag"), S.lenient_bool(flag, S.TRUE_WORDS_YN).alias("yn_flag"), S.label_value(flag, ("true", "yes"), ("no",)).alias("label"), S.is_bad(flag, "no").alias("bad"))
 
 
 @query
@@ -216,7 +216,7 @@ def scoring_maps(spark, d):
         r(S.noisy_or([(x, 0.5), (F.when(F.col("event_type") != "click", p), 0.3), (p * p, 0.2)]), "noisy"), r(S.hard_tail_penalty(p, x), "penalty"), S.score(x * 6 - 0.5).alias("score"), S.bucket(p, S.PASS_RATE).alias("pass_bucket"),
         S.bucket(p, S.RELAXED).alias("relaxed_bucket"), S.bucket(p, S.GOOD_RATIO).alias("good_bucket"), S.bucket(p, S.HARD_GATE).alias("gate_score"), S.inverse_bucket(p, (0.02, 0.05, 0.1, 0.2, 0.4)).alias("inverse"), r(S.rate(v), "rate"),
         r(S.guard_catastrophic(F.lit(4.0), p), "guarded"), r(S.weighted_mean([(x, 0.7), (F.when(p > 0.5, p), 0.3)]), "wmean"), r(S.min_plus_consistency([x * 5, p * 5]), "minplus"), r(S.zero_penalty([x * 5, p * 5], 0.5), "zeropen"),
-        r(S.guarded_mean([(x * 5, 0.6), (p * 5, 0.4)], 1.0), "gmean"), S.confidence_colour(p * 5).alias("colour"), r(S.k_threshold(v, x, 3.5), "k_up"),
+        r(S.guarded_mean([(x * 5, 0.6), (p * 5, 0.4)], 1.0), "gmean"), S.confidence_colour(F.when(F.col("event_type") != "click", p * 5)).alias("colour"), r(S.k_threshold(v, x, 3.5), "k_up"),
     )
 
 
@@ -323,7 +323,7 @@ def token_stats(spark, d):
 
 @query
 def ngram_templates(spark, d):
-    x = T(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(F.array_distinct(S.ngrams("text", 3))).alias("gram"))
+    x = T(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(S.ngrams("text", 3))).alias("gram"))
     return x.groupBy("gram").agg(F.count("*").alias("docs")).where("docs >= 12")
 
 
@@ -354,7 +354,7 @@ def trace_messages(spark, d):
 @query
 def nested_bundles(spark, d):
     """Leaf paths of nested JSON made from two tables."""
-    o = T(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.to_json(F.struct(F.struct("o_orderstatus", "o_custkey").alias("a"), F.array("o_orderpriority", F.lit("x")).alias("b"))).alias("j"))
+    o = T(spark, d, "orders").select("o_orderkey", F.to_json(F.struct(F.struct("o_orderstatus", "o_custkey").alias("a"), F.array("o_orderpriority", F.lit("x")).alias("b"))).alias("j"))
     return gates.leaves(o, ["o_orderkey"], "j")
 
 
@@ -627,8 +627,8 @@ def diag_quadrants(spark, d):
 
 @query
 def confidence(spark, d):
-    x = T(spark, d, "events").withColumn("a", F.col("value") > 3)
-    return scoring.confidence(x, ["event_type"], "value", "a").select("event_type", "n_valid", r("confidence"))
+    x = T(spark, d, "events").withColumn("a", F.col("value") > 3).withColumn("m", F.when(F.pmod("event_id", F.lit(50000)) == 7, " NA ").otherwise("tail_start"))
+    return scoring.confidence(x, ["event_type"], "value", "a", 3000, "m").select("event_type", "n_valid", r("conf_data"), r("conf_calc"), r("conf_th"), r("confidence"))
 
 
 @query

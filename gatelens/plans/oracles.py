@@ -56,6 +56,42 @@ scale AS (SELECT id, tau, sqrt(least(greatest(tau / (median(tau) OVER () + 1e-9)
 signals AS (SELECT id, abs(tau - m) / (1.4826 * s + 1e-6) AS length, own / (usual + 1e-6) AS direction, scale FROM scale JOIN spread USING (id) JOIN turn USING (id))"""
 
 
+def gaps(table: str, z: str, key: str) -> str:
+    """CTEs up to jumps (event_type, jump, gap_z, kind): gaps of the sorted z >= 0 in a window of survival, and the one that counts."""
+    return f"""gp AS (SELECT event_type, {z} AS z, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER o AS i, lead({z}) OVER o AS nx FROM {table} WHERE {z} >= 0 WINDOW o AS (PARTITION BY event_type ORDER BY {z}, {key})),
+gm AS (SELECT event_type, avg((z > 0)::INT) AS mass FROM gp GROUP BY 1),
+gg AS (SELECT gp.*, nx - z AS gap, (n - i) / n AS s, least(0.95, greatest(0.30, mass + 0.05)) AS hi FROM gp JOIN gm USING (event_type) WHERE n >= 40 AND nx > z),
+gc AS (SELECT event_type, count(*) FILTER (s BETWEEN 0.005 AND hi) AS a, count(*) FILTER (s BETWEEN 0.0025 AND least(0.98, hi + 0.1)) AS b FROM gg GROUP BY 1),
+gv AS (SELECT gg.* FROM gg JOIN gc USING (event_type) WHERE (a >= 5 AND s BETWEEN 0.005 AND hi) OR (a < 5 AND b >= 5 AND s BETWEEN 0.0025 AND least(0.98, hi + 0.1))),
+gq AS (SELECT event_type, median(gap) AS m, quantile_cont(gap, [0.1, 0.25, 0.75, 0.9]) AS q FROM gv GROUP BY 1),
+gs AS (SELECT event_type, any_value(m) AS m, any_value(q) AS q, 1.4826 * median(abs(gap - m)) AS mad FROM gv JOIN gq USING (event_type) GROUP BY 1),
+gz AS (SELECT gv.event_type, i, nx, (gap - m) / CASE WHEN mad > 1e-12 THEN mad WHEN (q[3] - q[2]) / 1.349 > 1e-12 THEN (q[3] - q[2]) / 1.349 WHEN 0.7413 * (q[4] - q[1]) > 1e-12 THEN 0.7413 * (q[4] - q[1]) END AS gz FROM gv JOIN gs USING (event_type)),
+ga AS (SELECT event_type, arg_min(nx, i) FILTER (gz >= 4) AS sj, arg_min(gz, i) FILTER (gz >= 4) AS sg, arg_max(nx, gz) AS wj, max(gz) AS wg FROM gz WHERE gz IS NOT NULL GROUP BY 1),
+jumps AS (SELECT event_type, coalesce(sj, CASE WHEN wg >= 2.5 THEN wj END) AS jump, coalesce(sg, wg) AS gap_z, CASE WHEN sj IS NOT NULL THEN 'strong_first' WHEN wg >= 2.5 THEN 'weak_max' ELSE 'none' END AS kind FROM ga)"""
+
+
+def survival(table: str, v: str, points: int, low: str, high: str, prefix: str = "") -> str:
+    """CTEs up to curve (event_type, i, x, survival, smooth, d1, d2) of a column over an even grid."""
+    c = prefix
+    return f"""{c}sv AS (SELECT event_type, {v} AS v FROM {table}), {c}se AS (SELECT event_type, {low} AS lo, {high} AS hi, count(*) AS n FROM {c}sv GROUP BY 1),
+{c}sg AS (SELECT event_type, i::INT AS i, lo + i * ((hi - lo) / {points - 1}) AS x, n FROM {c}se, range({points}) t(i)),
+{c}sc AS (SELECT g.event_type, g.i, any_value(x) AS x, any_value(n) AS n, count(s.v) AS k FROM {c}sg g LEFT JOIN {c}sv s ON s.event_type = g.event_type AND s.v >= g.x GROUP BY 1, 2),
+{c}sl AS (SELECT *, k / n AS survival, ln(greatest(k / n, 1e-12)) AS l FROM {c}sc),
+{c}sm AS (SELECT *, (coalesce(lag(l, 2) OVER w, 0) + 2 * coalesce(lag(l) OVER w, 0) + 3 * l + 2 * coalesce(lead(l) OVER w, 0) + coalesce(lead(l, 2) OVER w, 0)) / 9 AS smooth FROM {c}sl WINDOW w AS (PARTITION BY event_type ORDER BY i)),
+{c}s1 AS (SELECT *, CASE WHEN lag(i) OVER w IS NULL THEN lead(smooth) OVER w - smooth WHEN lead(i) OVER w IS NULL THEN smooth - lag(smooth) OVER w ELSE (lead(smooth) OVER w - lag(smooth) OVER w) / 2 END AS d1 FROM {c}sm WINDOW w AS (PARTITION BY event_type ORDER BY i)),
+{c}curve AS (SELECT *, CASE WHEN lag(i) OVER w IS NULL THEN lead(d1) OVER w - d1 WHEN lead(i) OVER w IS NULL THEN d1 - lag(d1) OVER w ELSE (lead(d1) OVER w - lag(d1) OVER w) / 2 END AS d2 FROM {c}s1 WINDOW w AS (PARTITION BY event_type ORDER BY i))"""
+
+
+def bends(table: str, z: str, most: str) -> str:
+    """CTEs up to bends (event_type, points, knee): the sharpest bend of the log-survival of z >= 0 in a window of survival."""
+    return f"""bz AS (SELECT event_type, {z} AS z FROM {table} WHERE {z} >= 0), be AS (SELECT event_type, count(*) AS rows_, quantile_cont(z, 0.995) AS top, avg((z > 0)::INT) AS mass FROM bz GROUP BY 1),
+bk AS (SELECT event_type, z, top FROM bz JOIN be USING (event_type) WHERE rows_ >= 40 AND top > 0), bt AS (SELECT event_type, {most} AS hi FROM be),
+{survival('(SELECT event_type, {top: top, z: z} AS z FROM bk)', 'z', 160, '0.0', 'max(v.top)', 'b').replace('s.v >= g.x', 's.v.z >= g.x').replace('count(s.v)', 'count(s.v.z)')},
+bp AS (SELECT c.*, survival BETWEEN 0.005 AND hi AS a, survival BETWEEN 0.0025 AND least(0.95, greatest(hi, 0.5)) AS b FROM bcurve c JOIN bt USING (event_type) WHERE x >= 0.5),
+bends AS (SELECT event_type, CASE WHEN count(*) FILTER (a) >= 5 THEN count(*) FILTER (a) ELSE count(*) FILTER (b) END AS points,
+  CASE WHEN count(*) FILTER (a) >= 5 THEN arg_min(x, [round(d2, 12), i]) FILTER (a) WHEN count(*) FILTER (b) >= 5 THEN arg_min(x, [round(d2, 12), i]) FILTER (b) END AS knee FROM bp GROUP BY 1)"""
+
+
 ORACLES: dict[str, str] = {
     "robust_z_events": f"""WITH {Z}, m AS (SELECT event_type, median(value) AS med FROM events GROUP BY 1),
 s AS (SELECT event_type, count(*) AS n, med, median(abs(value - med)) AS mad FROM events JOIN m USING (event_type) GROUP BY 1, 3)
@@ -94,12 +130,14 @@ SELECT user_id, count(*) AS kinds, {r('CASE WHEN count(*) > 1 THEN -sum(p * ln(p
     "min_max_scale": f"SELECT event_id, {r('CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0.5 END', 'scaled')} FROM events WINDOW w AS (PARTITION BY event_type)",
     "soft_weights": f"""WITH x AS (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) / count(*) OVER (PARTITION BY event_type) AS k FROM events)
 SELECT event_id, {r('least(1.0, greatest(0.05, exp(-6 * greatest(0.0, k - 0.9))))', 'weight')} FROM x""",
-    "gap_jump": f"""WITH {Z}, p AS (SELECT event_type, z, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER o AS i, lead(z) OVER o AS nx FROM zs WHERE z >= 0 WINDOW o AS (PARTITION BY event_type ORDER BY z, event_id)),
-g AS (SELECT *, nx - z AS gap FROM p WHERE n >= 40 AND nx - z > 0 AND (n - i) / n BETWEEN 0.005 AND 0.30),
-m AS (SELECT event_type, median(gap) AS m FROM g GROUP BY 1), s AS (SELECT event_type, m, median(abs(gap - m)) AS d FROM g JOIN m USING (event_type) GROUP BY 1, 2),
-k AS (SELECT g.event_type, i, nx, (gap - m) / (1.4826 * d + 1e-12) AS gz FROM g JOIN s USING (event_type)),
-a AS (SELECT event_type, arg_min(nx, i) FILTER (gz >= 4) AS sj, arg_min(gz, i) FILTER (gz >= 4) AS sg, arg_max(nx, gz) FILTER (gz >= 2.5) AS wj, max(gz) FILTER (gz >= 2.5) AS wg FROM k GROUP BY 1)
-SELECT event_type, {r('coalesce(sj, wj)', 'jump')}, {r('coalesce(sg, wg)', 'gap_z')}, CASE WHEN sj IS NOT NULL THEN 'strong_first' WHEN wj IS NOT NULL THEN 'weak_max' ELSE 'none' END AS kind FROM a""",
+    "gap_jump": f"""WITH {Z}, {gaps('zs', 'z', 'event_id')} SELECT event_type, {r('jump', 'jump')}, {r('gap_z', 'gap_z')}, kind FROM jumps""",
+    "tail_start_curvature": f"""WITH {Z}, {bends('zs', 'z', '0.30')} SELECT event_type, points, {r('knee', 'knee')} FROM bends""",
+    "log_survival_grid": f"""WITH {Z}, {survival('zs', 'z', 40, 'min(v)', 'max(v)')} SELECT event_type, i, {r('x', 'x')}, {r('survival', 'survival')}, {r('smooth', 'smooth')}, {r('d1', 'd1')}, {r('d2', 'd2')} FROM curve""",
+    "tail_start_policy": f"""WITH lad AS ({ladder('events', 'event_type', 'value')} SELECT event_type, q[3] AS median, {LADDER_OUT} AS sigma FROM l),
+zt AS (SELECT e.event_type, e.event_id, (value - median) / sigma AS z FROM events e JOIN lad USING (event_type) WHERE sigma > 0), {gaps('zt', 'z', 'event_id')}, {bends('zt', 'z', 'least(0.95, greatest(0.30, mass + 0.05))')},
+p AS (SELECT event_type, median, sigma, knee, jump, gap_z, CASE WHEN kind = 'strong_first' THEN jump ELSE greatest(knee, jump) END AS pick FROM lad LEFT JOIN jumps USING (event_type) LEFT JOIN bends USING (event_type)),
+k AS (SELECT *, CASE WHEN pick IS NULL THEN 3.5 ELSE least(8.0, greatest(0.5, pick)) END AS k FROM p)
+SELECT event_type, {r('median', 'median')}, {r('sigma', 'sigma')}, {r('knee', 'knee')}, {r('jump', 'jump')}, {r('gap_z', 'gap_z')}, {r('k', 'k')}, {r('CASE WHEN sigma > 0 THEN median + k * sigma END', 'threshold')} FROM k""",
     "flat_runs": """WITH x AS (SELECT user_id, floor((epoch(ts) - 1704067200) / 86400)::INT AS day, sum(value) AS v FROM events GROUP BY 1, 2),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS i FROM x),
 f AS (SELECT *, sum((v < 120)::INT) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS k FROM n)
@@ -113,8 +151,8 @@ SELECT event_type, day AS at, {r('d', 'rise')} FROM (SELECT *, row_number() OVER
     "group_ordinals": """WITH f AS (SELECT o_orderpriority, min(o_orderkey) AS k, count(*) AS group_size FROM orders GROUP BY 1), i AS (SELECT *, printf('g%04d', row_number() OVER (ORDER BY k) - 1) AS group_id FROM f)
 SELECT o_orderkey, group_id, group_size FROM orders JOIN i USING (o_orderpriority)""",
     "row_positions": "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS row_index FROM customer",
-    "lenient_labels": """WITH x AS (SELECT l_orderkey, lower(['TRUE', 'yes', '1', 'no', 'Y', 'maybe'][(l_orderkey % 6 + 1)::INT]) AS f FROM lineitem WHERE l_linenumber = 1)
-SELECT l_orderkey, f IN ('true', '1', 'yes') AS strict_flag, f IN ('true', '1', 'yes', 'y', 't') AS yn_flag, CASE WHEN f IN ('true', 'yes') THEN 1.0::DOUBLE WHEN f = 'no' THEN 0.0::DOUBLE END AS label, f = 'no' AS bad FROM x""",
+    "lenient_labels": """WITH x AS (SELECT l_orderkey, l_linenumber, lower(['TRUE', 'yes', '1', 'no', 'Y', 'maybe'][(l_orderkey % 6 + 1)::INT]) AS f FROM lineitem)
+SELECT l_orderkey, l_linenumber, f IN ('true', '1', 'yes') AS strict_flag, f IN ('true', '1', 'yes', 'y', 't') AS yn_flag, CASE WHEN f IN ('true', 'yes') THEN 1.0::DOUBLE WHEN f = 'no' THEN 0.0::DOUBLE END AS label, f = 'no' AS bad FROM x""",
     "tail_triggers": f"""WITH {Z} SELECT event_type, count(*) FILTER (z >= 2.5) AS upper, count(*) FILTER (z <= -0.6) AS lower, count(*) FILTER (z >= 2.5 OR z <= -0.6) AS two_sided, count(*) FILTER (NOT value > 5 OR z <= 1) AS passes FROM zs GROUP BY 1""",
     "state_machine_events": f"WITH {Z} SELECT event_type, CASE WHEN user_id % 7 = 0 THEN 'na' ELSE {STATE} END AS state, count(*) AS n FROM zs GROUP BY 1, 2",
     "distribution_rollup": f"""WITH {Z}, s AS (SELECT user_id, CASE WHEN z >= 4 THEN 2 WHEN z >= 2 THEN 1 ELSE 0 END AS st FROM zs),
@@ -137,13 +175,13 @@ SELECT path, c AS n, {r('m * 0.3', 'threshold')} FROM g, n WHERE c >= greatest(3
 f AS (SELECT conv_id, c.role, trim(text) <> '' AND length(trim(text)) <= t AS bad FROM conversations c LEFT JOIN g ON c.role = g.role)
 SELECT conv_id, coalesce(string_agg(DISTINCT role, '|' ORDER BY role) FILTER (bad), '') AS failed, count(*) FILTER (bad) = 0 AS textlen_pass FROM f GROUP BY 1""",
     "token_stats": f"""WITH x AS (SELECT lang, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS k FROM documents) SELECT lang, count(*) AS n, sum(k)::BIGINT AS tokens, {r('median(k)', 'median_tokens')} FROM x GROUP BY 1""",
-    "ngram_templates": """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE lang = 'en'),
+    "ngram_templates": """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i+2], ' '))) AS gram FROM w WHERE len(w) >= 3)
 SELECT gram, count(*) AS docs FROM g GROUP BY 1 HAVING count(*) >= 12""",
     "normal_ids": """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE '''' || c_name END AS id, CASE WHEN c_custkey % 5 = 0 THEN c_custkey::VARCHAR ELSE c_name END AS id_or_position FROM customer""",
     "trace_pairs": """WITH x AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nr, lead(text) OVER w AS output, max(text) FILTER (role = 'system') OVER (PARTITION BY conv_id) AS p FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id, turn, coalesce(p, '__all__') AS prompt, text AS input, output FROM x WHERE role = 'user' AND nr = 'assistant'""",
-    "nested_bundles": """WITH o AS (SELECT * FROM orders WHERE o_orderkey % 10 = 0)
+    "nested_bundles": """WITH o AS (SELECT * FROM orders)
 SELECT o_orderkey, 'a.o_orderstatus' AS path, o_orderstatus AS leaf FROM o UNION ALL SELECT o_orderkey, 'a.o_custkey', o_custkey::VARCHAR FROM o UNION ALL SELECT o_orderkey, 'b[0]', o_orderpriority FROM o UNION ALL SELECT o_orderkey, 'b[1]', 'x' FROM o""",
     "hard_gate_score": f"""WITH x AS (SELECT lang, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) >= 40 AS ok FROM documents), g AS (SELECT lang, count(*) AS n, avg(ok::INT) AS p FROM x GROUP BY 1)
 SELECT lang, n, {r('p', 'pass_rate')}, CASE WHEN p >= 1 THEN 5 WHEN p >= 0.9 THEN 4 WHEN p >= 0.8 THEN 3 WHEN p >= 0.7 THEN 2 WHEN p >= 0.6 THEN 1 ELSE 0 END AS score FROM g""",
@@ -186,7 +224,9 @@ SELECT {r('q', 'q')}, tp, fp, fn, tn, {r('pr', 'precision')}, {r('re', 'recall')
     "targets_met": f"""WITH {Z}, s AS (SELECT event_type, {STATE} AS s, user_id % 3 = 0 AS y FROM zs), g AS (SELECT event_type, count(*) FILTER (s = 'hard_fail' AND y) / nullif(count(*) FILTER (s = 'hard_fail'), 0) AS h, count(*) FILTER (s IN ('fail', 'hard_fail') AND y) / nullif(count(*) FILTER (s IN ('fail', 'hard_fail')), 0) AS f,
  count(*) FILTER (s = 'warn' AND NOT y) / nullif(count(*) FILTER (s = 'warn'), 0) AS w FROM s GROUP BY 1) SELECT event_type, {r('h', 'hard_precision')}, {r('f', 'fail_precision')}, {r('w', 'warn_good')}, coalesce(h >= 1, true) AND coalesce(f >= 0.88, true) AND coalesce(w < 0.3, true) AS met FROM g""",
     "tail_metrics": f"""WITH {Z} SELECT event_type, count(*) AS n, {r('avg((z >= 2)::INT)', 'p_fail')}, {r('avg((z >= 3.5)::INT)', 'p_hard')}, {r('least(12, avg(greatest(0, z - 2)) + 3 * avg(greatest(0, z - 3.5)))', 'mass')} FROM zs GROUP BY 1""",
-    "confidence": f"""WITH g AS (SELECT event_type, count(*) FILTER (value > 3) AS n, avg((value > 3)::INT) AS a FROM events GROUP BY 1) SELECT event_type, n AS n_valid, {r('CASE WHEN n < 8 THEN 0 ELSE 5 * least(1.0, a, n / (n + 8)) END', 'confidence')} FROM g""",
+    "confidence": f"""WITH g AS (SELECT event_type, count(*) FILTER (value > 3) AS n, avg((value > 3)::INT) AS a, bool_and(event_id % 50000 <> 7) AS th FROM events GROUP BY 1),
+p AS (SELECT event_type, n AS n_valid, CASE WHEN n < 8 THEN 0 ELSE least(1.0, n / 3000) END AS d, least(1.0, a) AS c, th::INT AS t FROM g)
+SELECT event_type, n_valid, {r('d', 'conf_data')}, {r('c', 'conf_calc')}, {r('t', 'conf_th')}, {r('5 * least(d, c, t)', 'confidence')} FROM p""",
     "coverage": f"SELECT event_type, {r('5 * avg((value > 3 AND user_id % 4 <> 0)::INT)', 'coverage')} FROM events GROUP BY 1",
     "window_rates": f"WITH {Z} SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, {r('avg((z >= 2)::INT)', 'fail_rate')} FROM zs GROUP BY 1, 2",
     "user_sessions": """WITH x AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x), c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY 1, 2)
@@ -205,7 +245,7 @@ SELECT event_id, {r('1 / (1 + exp(-least(60.0, greatest(-60.0, (v - 100) / 20)))
  CASE WHEN p <= 0.02 THEN 5 WHEN p <= 0.05 THEN 4 WHEN p <= 0.1 THEN 3 WHEN p <= 0.2 THEN 2 WHEN p <= 0.4 THEN 1 ELSE 0 END AS inverse, {r('CASE WHEN v BETWEEN 0 AND 1 THEN v WHEN v > 1 AND v <= 100 THEN v / 100 END', 'rate')},
  {r('CASE WHEN p >= 0.05 THEN 0 WHEN p >= 0.02 THEN 1 ELSE 4 END', 'guarded')}, {r('CASE WHEN p > 0.5 THEN 0.7 * x + 0.3 * p ELSE x END', 'wmean')}, {r('least(5, greatest(0, CASE WHEN abs(5 * x - 5 * p) <= 1 THEN least(5 * x, 5 * p) + 1 ELSE least(5 * x, 5 * p) END))', 'minplus')},
  {r('least(5, greatest(0, (5 * x + 5 * p) / 2 - least(5, 0.5 * ((x <= 0)::INT + (p <= 0)::INT))))', 'zeropen')}, {r('least(0.6 * 5 * x + 0.4 * 5 * p, least(5 * x, 5 * p) + 1)', 'gmean')},
- printf('#%02x%02x%02x', round_even(CASE WHEN p < 0.5 THEN 220 ELSE 220 - (p - 0.5) * 360 END, 0)::INT, round_even(CASE WHEN p < 0.5 THEN 60 + p * 240 ELSE 180 END, 0)::INT, 60) AS colour, {r('v + 3.5 * x', 'k_up')} FROM t""",
+ CASE WHEN p2 IS NULL THEN '#9ca3af' ELSE printf('#%02x%02x00', round_even(CASE WHEN p <= 0.5 THEN 255 ELSE 255 * (1 - (p - 0.5) / 0.5) END, 0)::INT, round_even(CASE WHEN p <= 0.5 THEN 255 * p / 0.5 ELSE 255 END, 0)::INT) END AS colour, {r('v + 3.5 * x', 'k_up')} FROM t""",
 }
 
 
@@ -259,6 +299,15 @@ SELECT event_type, n, {', '.join(r(c, c) for c in ('p_fail', 'p_hard', 'r_rate',
 
 # Instruction checks: a blank response follows none.
 _W = "[\\p{L}\\p{N}_]+"
+def language(t: str) -> str:
+    """The language most of whose frequent words a text holds; ties go to the later code."""
+    from gatelens.operators.gates import STOP_WORDS
+
+    words = f"list_distinct(regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+'))"
+    held = ", ".join(f"{{'n': len(list_intersect({words}, [{', '.join(repr(w) for w in sorted(set(ws)))}])), 'k': '{k}'}}" for k, ws in STOP_WORDS.items())
+    return f"list_max([{held}])"
+
+
 _COUNT = "len(regexp_extract_all(text, '{}'))"
 _CHECKS = {
     "instr_keyword_existence": "regexp_matches(lower(text), 'the') AND regexp_matches(lower(text), 'and')",
@@ -269,8 +318,9 @@ _CHECKS = {
     "instr_sections": f"{_COUNT.format('555-[0-9]+')} >= 1",
     "instr_repeat_prompt": "starts_with(lower(trim(text)), 'the')",
     "instr_end": "ends_with(lower(regexp_replace(trim(text), '^\"+|\"+$', '', 'g')), 'the.')",
-    "instr_upper": "upper(text) = text AND regexp_matches(text, '\\p{Lu}')",
-    "instr_lower": "lower(text) = text AND regexp_matches(text, '\\p{Ll}')",
+    "instr_upper": f"upper(text) = text AND regexp_matches(text, '\\p{{Lu}}') AND ({language('text')}.n = 0 OR {language('text')}.k = 'en')",
+    "instr_lower": f"lower(text) = text AND regexp_matches(text, '\\p{{Ll}}') AND ({language('text')}.n = 0 OR {language('text')}.k = 'en')",
+    "instr_language": f"{language('text')}.n = 0 OR {language('text')}.k = 'en'",
     "instr_no_comma": "NOT contains(text, ',')",
     "instr_quotation": "length(trim(text)) > 1 AND starts_with(trim(text), '\"') AND ends_with(trim(text), '\"')",
     "instr_placeholders": f"{_COUNT.format('\\[[^\\n]*?\\]')} >= 1",
