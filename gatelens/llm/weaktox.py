@@ -252,13 +252,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     width = voters.width
 
     def posterior(b: pa.RecordBatch) -> pa.RecordBatch:
-        v, _ = _read_votes(b, m)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(model.posterior(v))], ["votes", "y"])
+        v, n = _read_votes(b.select(["votes", "n"]), m)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(model.posterior(v)), pa.array(n)], ["x", "y", "n"])
 
-    labelled = over_batches(patterns.select("votes", "n"), posterior, "votes string, y double")
-    soft = table.join(labelled, "votes").select("x", "y", F.lit(1.0).alias("n"))
-    # rows with the same features share one
-    soft = scratch.save(soft.groupBy("x", "y").agg(F.sum("n").alias("n")))
+    # rows with the same features share one; what the model says of their votes needs no table
+    same = table.groupBy("x").agg(F.first("votes").alias("votes"), F.count("*").alias("n"))
+    soft = scratch.save(over_batches(same, posterior, "x array<float>, y double, n double"))
     w = soft_logistic(soft, width)
 
     def score(b: pa.RecordBatch) -> pa.RecordBatch:
