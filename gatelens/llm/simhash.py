@@ -62,10 +62,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def with_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """The rows with their fingerprint as _key."""
+    """The rows (row, with a text) with the text's fingerprint as _key."""
+    at = docs.columns.index("row")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t, words) for t in texts(b)], dtype=np.uint64).view(np.int64)
+        fps = np.array([fingerprint(t, words) for t in b.column(at).field("text").to_pylist()], dtype=np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], [*b.schema.names, "_key"])
 
     return over_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("_key", T.LongType())]))
@@ -153,8 +154,10 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float | None = Non
     Rows without doc_id stay only if their component has no row with one, and then all of them stay.
     """
     scratch = Scratch(docs.sparkSession)
+    # the columns of docs travel in one struct, so that none can clash
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
     rows = scratch.save(shingles.keyed(docs, words) if similarity is not None else with_fingerprints(docs, words))
-    classes = scratch.save(rows.groupBy("_key").agg(F.min(F.col("doc_id").cast("long")).alias("first")))
+    classes = scratch.save(rows.groupBy("_key").agg(F.min("id").alias("first")))
     edges = shingles.links(rows, words, similarity, scratch) if similarity is not None else links(classes.select(F.col("_key").alias("fp")), scratch)
     comp = connected_components(edges, scratch)
     of = scratch.save(classes.join(comp, classes._key == comp.node, "left").select("_key", "first", F.coalesce("root", "_key").alias("root")))
@@ -162,5 +165,5 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float | None = Non
     best = of.groupBy("root").agg(F.min(F.when(F.col("first").isNotNull(), F.struct("first", "_key"))).alias("best"))
     stay = scratch.save(of.join(best, "root").where("best is null or best._key = _key").select("_key", F.col("best.first").alias("_id")))
     kept = join_checked(rows, stay, "_key", "inner")
-    named = kept.where(F.col("doc_id").cast("long") == F.col("_id")).dropDuplicates(["_key"])
-    return named.select(docs.columns).union(kept.where("_id is null").select(docs.columns))
+    named = kept.where(F.col("id") == F.col("_id")).dropDuplicates(["_key"])
+    return named.select("row.*").union(kept.where("_id is null").select("row.*"))

@@ -34,9 +34,10 @@ def by_hand(rows):
     return sorted(out, key=repr), root
 
 
-@pytest.mark.parametrize("small", [64, 3])  # 3: shingles of many classes take the second way
-def test_stage_is_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(shingles, "SMALL", small)
+@pytest.mark.parametrize("hubs", [4, 1])
+def test_stage_is_brute_force(spark, monkeypatch, hubs):
+    monkeypatch.setattr(shingles, "HUBS", hubs)
+    monkeypatch.setattr(shingles, "BLOCK", 16)
     rng = np.random.default_rng(8)
     vocabulary = [f"w{i}" for i in range(300)]
     rows = []
@@ -51,7 +52,7 @@ def test_stage_is_brute_force(spark, monkeypatch, small):
     opening = "the same opening words of a letter to you all " * 2
     rows += [(len(rows) + k, opening + " ".join(rng.choice(vocabulary, 12))) for k in range(12)]
     rows += [(900, ""), (901, None), (902, "short one"), (903, "Short  one")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS key", "1 AS n")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS key", "1 AS n", "2 AS _key", "3 AS _id", "4 AS row", "5 AS id", "6 AS root")
     want, _ = by_hand(rows)
     got = corpus_pipeline.keep_one_copy(spark, df, "")
     assert got.columns == df.columns
