@@ -42,3 +42,13 @@ def sample_exact(df: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame
 
 def union_all(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
+
+
+def priority_sample(df: DataFrame, key: str, first: str, n: int, seed: str = "42") -> DataFrame:
+    """n rows: those marked first, then others, in the order of a hash of the key."""
+    return df.orderBy(F.desc(F.coalesce(F.col(first), F.lit(False))), F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key).limit(n)
+
+
+def distinct_first(df: DataFrame, value: str, order: str) -> DataFrame:
+    """The first row of each value."""
+    return df.groupBy(value).agg(F.min(F.struct(order, *[c for c in df.columns if c not in (order, value)])).alias("_r")).select(value, "_r.*")
