@@ -40,8 +40,8 @@ BANDS, WIDE, NARROW = 4, 4, 3
 #: Images before it in a bucket of the wide table that an image is paired with, if they meet so often.
 BEFORE = 6
 MEETINGS = 2
-#: Images of a bucket that a task compares at once; above, it is cut into blocks of about so many rows.
-SMALL, BLOCK = 64, 1024
+#: Images of a bucket that a task compares as it reads; above, it is cut into blocks of about so many rows.
+SMALL, BLOCK = 1024, 1024
 #: Rows that a task reads before it compares those of each bucket; pairs whose neighbours are compared at once.
 RUN_ROWS = 16_384
 PAIRS = 1 << 15
