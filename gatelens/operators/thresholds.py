@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,16 +114,95 @@ def stability_jump_policy(df: DataFrame, by: list[str], value: str, features: li
     return c.join(best, by).where(F.col("_p") == at).select(*by, "share", F.col("cut").alias("threshold"))
 
 
-def hybrid(df: DataFrame, by: list[str], value: str, order: str, least: int = 8, quantile: float = 0.995) -> DataFrame:
-    """by, warn_low, warn, fail, hard, source: tail start, or a quantile where it gives none; core and exceptional around it; in order."""
+def directed(df: DataFrame, by: list[str], value: str, direction: str) -> DataFrame:
+    """df's finite rows with _v, to be judged from above: the value, its negative, or its distance from the median; _mid."""
+    x = df.withColumn("_x", finite(value)).where("_x is not null")
+    if direction != "two_sided":
+        return x.withColumn("_mid", F.lit(0.0)).withColumn("_v", -F.col("_x") if direction == "lower" else F.col("_x"))
+    x = with_group(x, x.groupBy(*by).agg(F.median("_x").alias("_mid")), by)
+    return x.withColumn("_v", F.abs(F.col("_x") - F.col("_mid")))
+
+
+def _ends(t: Column, direction: str) -> list[Column]:
+    """threshold, low and high of a limit on _v."""
+    none = F.lit(None).cast("double")
+    if direction == "two_sided":
+        return [(F.col("_mid") + t).alias("threshold"), (F.col("_mid") - t).alias("low"), (F.col("_mid") + t).alias("high")]
+    return [(-t if direction == "lower" else t).alias("threshold"), (-t if direction == "lower" else none).alias("low"), (none if direction == "lower" else t).alias("high")]
+
+
+Policy = Callable[..., DataFrame]
+POLICIES: dict[str, Policy] = {
+    "robust_z": lambda x, by, v, order, **kw: robust_z_policy(x, by, v, kw.get("k", ROBUST_K)),
+    "robust_z_tail_start": lambda x, by, v, order, **kw: tail_start_policy(x, by, v, order, kw.get("k", ROBUST_K), kw.get("floor", FLOOR_K), kw.get("most", MAX_K)),
+    "quantile_tail": lambda x, by, v, order, **kw: quantile_tail_policy(x, by, v, kw.get("q", 0.005)),
+    "dist_stability_jump": lambda x, by, v, order, **kw: stability_jump_policy(x, by, v, kw["features"], kw.get("shares", [i / 100 for i in range(1, 31)])),
+}
+
+
+def choose(df: DataFrame, by: list[str], value: str, order: str, policy: str, direction: str = "upper", rule: str = "", fallback: float = 0.995, **kw) -> DataFrame:
+    """by, threshold, low, high, policy of a policy by name, on the upper, the lower or both tails; an unknown name is a quantile.
+
+    The rule named output has no largest k. Both tails are judged by the distance from the median, the floor of k being 1.
+    """
+    x = saved(directed(df, by, value, direction).select(*by, "_v", "_mid", order, *kw.get("features", [])))
+    if policy == "robust_z_tail_start":
+        if rule.strip().lower() == "output":
+            kw["most"] = None
+        if direction == "two_sided":
+            kw.setdefault("floor", 1.0)
+    f = POLICIES.get(policy)
+    t = f(x, by, "_v", order, **kw) if f else quantile_tail_policy(x, by, "_v", 1 - fallback)
+    t = with_group(t.select(*by, F.col("threshold").alias("_t")), x.groupBy(*by).agg(F.max("_mid").alias("_mid")), by)
+    return t.select(*by, *_ends(F.col("_t"), direction), F.lit(policy if f else "quantile_fallback").alias("policy"))
+
+
+def tri_thresholds(df: DataFrame, by: list[str], value: str, fails: DataFrame, direction: str = "upper", kappa: float = 1.0, hard_ratio: float = 1.2) -> DataFrame:
+    """by, warn, warn_low, warn_high, fail, hard, and for both tails fail_low and hard_low: the core's edge, the tail's start, and where it is exceptional, in order.
+
+    fails (by, threshold, low, high) as of choose. Without an exceptional point, hard lies hard_ratio as far from the middle as fail.
+    """
+    x = saved(directed(df, by, value, direction).select(*by, "_v", "_mid", "_x"))
+    mid = x.groupBy(*by).agg(F.max("_mid").alias("_mid"), F.median("_v").alias("_m"))
+    limit = {"lower": -F.col("threshold"), "upper": F.col("threshold"), "two_sided": F.greatest(F.abs(F.col("_mid") - F.col("low")), F.abs(F.col("high") - F.col("_mid")))}[direction]
+    t = saved(with_group(fails.select(*by, "threshold", "low", "high"), mid, by).withColumn("_t", limit).where("_t is not null").select(*by, F.col("_t").alias("threshold"), "_mid", "_m"))
+    c, e = core_thresholds(x, by, "_v", t, kappa), exceptional(x, by, "_v", t).select(*by, "exceptional")
+    out = with_group(with_group(t, c, by), e, by)
+    below = F.col("threshold") - F.greatest(F.abs("threshold") * 1e-15, F.lit(1e-15))
+    warn = F.least("core", below)
+    high = F.least(F.coalesce(F.when(F.col("core_sigma") > 1e-9, F.col("core_median") + abs(kappa) * F.col("core_sigma")), F.col("core")), below)
+    low = F.when(F.col("core_sigma") > 1e-9, F.col("core_median") - abs(kappa) * F.col("core_sigma")).otherwise(F.col("_least"))
+    out = with_group(out, x.groupBy(*by).agg(F.min("_v").alias("_least")), by)
+    centre = F.lit(0.0) if direction == "two_sided" else F.col("_m")
+    far = centre + hard_ratio * F.abs(F.col("threshold") - centre)
+    hard = F.greatest(F.coalesce("exceptional", far), F.col("threshold"))
+    if direction == "two_sided":
+        m = F.col("_mid")
+        return out.select(*by, (m + warn).alias("warn"), (m - warn).alias("warn_low"), (m + warn).alias("warn_high"), (m + F.col("threshold")).alias("fail"), (m - F.col("threshold")).alias("fail_low"), (m + hard).alias("hard"), (m - hard).alias("hard_low"))
+    sign = -1 if direction == "lower" else 1
+    band = [(sign * low).alias("warn_low"), (sign * high).alias("warn_high")] if sign > 0 else [(-high).alias("warn_low"), (-low).alias("warn_high")]
+    none = F.lit(None).cast("double")
+    return out.select(*by, (sign * warn).alias("warn"), *band, (sign * F.col("threshold")).alias("fail"), none.alias("fail_low"), (sign * hard).alias("hard"), none.alias("hard_low"))
+
+
+def hybrid(df: DataFrame, by: list[str], value: str, order: str, least: int = 8, quantile: float = 0.995, features: list[str] | None = None) -> DataFrame:
+    """by, warn_low, warn, fail, hard, source: tail start; where it gives none, the jump of stability, if features are given; else a quantile.
+
+    Core and exceptional values lie around it, in order.
+    """
     t = tail_start_policy(df, by, value, order)
     n = df.withColumn("_x", finite(value)).where("_x is not null").groupBy(*by).agg(F.count("*").alias("_n"), F.percentile("_x", F.lit(quantile)).alias("_q"))
-    t = t.join(n, by)
+    t = with_group(t, n, by, "inner")
     ok = (F.col("_n") >= least) & F.col("threshold").isNotNull() & F.coalesce("knee", "jump").isNotNull()
-    t = t.withColumn("source", F.when(ok, "tail_start").otherwise("quantile_guard")).withColumn("threshold", F.when(ok, F.col("threshold")).otherwise(F.col("_q")))
+    jump = F.lit(None).cast("double")
+    if features:
+        t = with_group(t, stability_jump_policy(df, by, value, features, [i / 100 for i in range(1, 31)]).select(*by, F.col("threshold").alias("_j")), by)
+        jump = F.when(F.col("_n") >= least, F.col("_j"))
+    t = t.withColumn("source", F.when(ok, "tail_start").when(jump.isNotNull(), "stability_jump").otherwise("quantile_guard"))
+    t = t.withColumn("threshold", F.when(ok, F.col("threshold")).otherwise(F.coalesce(jump, F.col("_q"))))
     t = saved(t.select(*by, "threshold", "source"))  # a row per group, read by what builds on the tail
     core, exc = core_thresholds(df, by, value, t), exceptional(df, by, value, t)
-    out = t.join(core, by, "left").join(exc.select(*by, "exceptional"), by, "left")
+    out = with_group(with_group(t, core, by), exc.select(*by, "exceptional"), by)
     far = F.col("threshold") + 1.2 * F.abs(F.col("threshold") - F.col("core_median"))
     return out.select(
         *by, (F.col("core_median") - F.col("core_sigma")).alias("warn_low"), F.least("core", "threshold").alias("warn"),
@@ -129,6 +210,21 @@ def hybrid(df: DataFrame, by: list[str], value: str, order: str, least: int = 8,
     )
 
 
+def ratio_tristate(df: DataFrame, by: list[str], value: str, fails: DataFrame, direction: str = "upper", warn: float = 0.8, hard: float = 1.2) -> DataFrame:
+    """by, warn, fail, hard: at shares of the distance of the failure threshold from the median; fails (by, threshold)."""
+    m = df.withColumn("_x", finite(value)).where("_x is not null").groupBy(*by).agg(F.median("_x").alias("_m"))
+    x = with_group(fails.select(*by, "threshold"), m, by, "inner")
+    sign = -1 if direction == "lower" else 1
+    d = F.greatest(F.lit(1e-12), sign * (F.col("threshold") - F.col("_m")))
+    return x.select(*by, (F.col("_m") + sign * warn * d).alias("warn"), F.col("threshold").alias("fail"), (F.col("_m") + sign * hard * d).alias("hard"))
+
+
+def k_thresholds(stats_: DataFrame, by: list[str], soft: float = ROBUST_K, hard: float = 8.0, warn: float = 0.8) -> DataFrame:
+    """by, warn, fail, hard at multiples of sigma above the median; stats_ (by, median, sigma)."""
+    at = lambda k: F.when(F.col("sigma") > 0, F.col("median") + k * F.col("sigma"))
+    return stats_.select(*by, at(warn * soft).alias("warn"), at(soft).alias("fail"), at(hard).alias("hard"))
+
+
 def apply_states(df: DataFrame, thresholds: DataFrame, by: list[str], value: str, base: Column | None = None) -> DataFrame:
     """df with state by hybrid thresholds; warn is outside the core band on either side."""
     x = finite(value)

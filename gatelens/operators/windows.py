@@ -42,17 +42,17 @@ def soft_weights(df: DataFrame, by: list[str], risk: str, order: str, start: flo
     return out.withColumn("weight", clip(F.exp(-alpha * F.greatest(F.col("_rank") - start, F.lit(0.0))), least, 1.0)).drop("_rank")
 
 
-def gap_jump(df: DataFrame, by: list[str], z: str, order: str, least: float = 0.005, most: float = 0.30, strong: float = 4.0, weak: float = 2.5, rows: int = 40, eps: float = 1e-12) -> DataFrame:
+def gap_jump(df: DataFrame, by: list[str], z: str, order: str, least: float = 0.005, most: float = 0.30, strong: float = 4.0, weak: float = 2.5, rows: int = 40, eps: float = 1e-12, raised: bool = True) -> DataFrame:
     """by, jump, gap_z, kind: the first gap of the sorted z >= 0, in a window of survival, whose robust z is strong; else the largest weak one.
 
-    The window reaches to the share of positive z and 0.05, at most 0.95; one without five gaps is widened once. Null
-    without five gaps, or with flat ones.
+    raised: the window reaches to the share of positive z and 0.05, at most 0.95. One without five gaps is widened once.
+    Null without five gaps, or with flat ones.
     """
     x = ordered(df.withColumn("_z", finite(z)).where("_z >= 0").select(*by, "_z", order), by, "_z", order).where(F.col("_n") >= rows)
     positive = x.groupBy(*by).agg(F.avg((F.col("_z") > 0).cast("double")).alias("_mass"))
     x = x.withColumn("_gap", F.col("_next") - F.col("_z")).withColumn("_s", (F.col("_n") - F.col("_i")) / F.col("_n")).where("_gap > 0")
     x = with_group(x, positive, by)
-    to = F.least(F.lit(0.95), F.greatest(F.lit(most), F.col("_mass") + 0.05))
+    to = F.least(F.lit(0.95), F.greatest(F.lit(most), F.col("_mass") + 0.05)) if raised else F.lit(min(0.95, most))
     x = saved(x.withColumn("_in", F.col("_s").between(least, to)).withColumn("_near", F.col("_s").between(max(1e-5, least / 2), F.least(F.lit(0.98), to + 0.1))))
     enough = x.groupBy(*by).agg((F.count_if("_in") >= 5).alias("_first"), (F.count_if("_near") >= 5).alias("_second"))
     x = with_group(x, enough, by).where((F.col("_first") & F.col("_in")) | (~F.col("_first") & F.col("_second") & F.col("_near")))
@@ -142,3 +142,23 @@ def group_ids(df: DataFrame, group: str, order: str) -> DataFrame:
     ids = ordered(first.withColumn("_all", F.lit(0)), ["_all"], "_first", "_k")
     ids = ids.select("_k", "group_size", F.format_string("g%04d", F.col("_i") - 1).alias("group_id"))
     return df.withColumn("_k", key).join(ids, "_k").drop("_k")
+
+
+def strong_gap(df: DataFrame, by: list[str], z: str, order: str, least: float = 0.005, most: float = 0.30, strong: float = 4.0) -> DataFrame:
+    """by, jump, gap_z: the first strong gap of z >= 0 in a window of survival that the share of positive z doesn't raise."""
+    g = gap_jump(df, by, z, order, least, most, strong, weak=float("inf"), raised=False)
+    return g.select(*by, "jump", "gap_z")
+
+
+def tail_split(df: DataFrame, by: list[str], z: str, order: str, starts: DataFrame, strong: float = 4.0, tail_rows: int = 40, keep: int = 8, skip: float = 0.0, delta: float = 0.5, eps: float = 1e-12) -> DataFrame:
+    """by, k, gap_z: within the tail from starts (by, k) on, the first strong gap that lies delta beyond it and leaves enough rows above."""
+    x = with_group(df.withColumn("_z", finite(z)).where("_z >= 0"), starts.select(*by, F.col("k").alias("_k")), by, "inner").where("_z >= _k")
+    x = ordered(x.select(*by, "_z", "_k", order), by, "_z", order).where(F.col("_n") >= tail_rows)
+    x = x.withColumn("_gap", F.col("_next") - F.col("_z")).where("_gap > 0").where(F.col("_i") - 1 >= F.floor(skip * F.greatest(F.col("_n") - 2, F.lit(1))))
+    x = saved(x)
+    some = x.groupBy(*by).agg((F.count("*") >= 5).alias("_some"))
+    x = with_group(with_group(x, some, by), robust_sigma(x, by, "_gap", eps), by).where("_some and sigma is not null")
+    x = x.withColumn("gz", (F.col("_gap") - F.col("median")) / F.col("sigma"))
+    ok = (F.col("gz") >= strong) & (F.col("_next") - F.col("_k") >= delta) & (F.col("_n") - F.col("_i") >= keep)
+    r = x.groupBy(*by).agg(F.min(F.when(ok, F.struct("_i", "_next", "gz"))).alias("s"), F.max("gz").alias("_g"))
+    return r.select(*by, F.col("s._next").alias("k"), F.coalesce("s.gz", "_g").alias("gap_z"))
