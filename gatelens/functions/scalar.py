@@ -65,7 +65,8 @@ def four_state(base, warn, fail, hard) -> Column:
 
 # scoring maps ---------------------------------------------------------------------------------------------------------
 def clip(c, low=0.0, high=1.0) -> Column:
-    return F.least(F.greatest(col(c), F.lit(low)), F.lit(high))
+    """Held to the bounds; null stays null."""
+    return F.when(col(c).isNotNull(), F.least(F.greatest(col(c), F.lit(low)), F.lit(high)))
 
 
 def sigmoid(c) -> Column:
@@ -77,7 +78,7 @@ def softplus(c) -> Column:
 
 
 def risk_from_scale(raw, scale: float) -> Column:
-    r = F.greatest(col(raw), F.lit(0.0))
+    r = F.when(col(raw).isNotNull(), F.greatest(col(raw), F.lit(0.0)))
     return r / (r + F.lit(scale))
 
 
@@ -212,3 +213,96 @@ def response_variants(c) -> Column:
 
 def path_list(c) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), r"\|"), F.trim), lambda x: x != ""))
+
+
+def bool_or_default(c, default: bool = False, words: tuple[str, ...] = TRUE_WORDS_YN) -> Column:
+    """True for true words, False for others, the default for null: a column shorter than its table is filled with it."""
+    return F.when(col(c).isNull(), F.lit(default)).otherwise(lenient_bool(c, words))
+
+
+# buckets and guards ---------------------------------------------------------------------------------------------------
+def good_bucket(c, cuts: list[Column]) -> Column:
+    """0 to 5 by rising cuts; 0 for no value."""
+    x = finite(c)
+    return F.when(x.isNull(), 0).otherwise(sum((F.when(x >= k, 1).otherwise(0) for k in cuts), F.lit(0)))
+
+
+def risk_bucket(c, cuts: list[Column]) -> Column:
+    """5 to 0 by rising cuts, a value at a cut counting as below it; 0 for no value."""
+    x = finite(c)
+    return F.when(x.isNull(), 0).otherwise(5 - sum((F.when(x > k, 1).otherwise(0) for k in cuts), F.lit(0)))
+
+
+def relaxed_risk_bucket(c, cuts: list[Column], floor: int = 1, zero: float = 0.95, catastrophic=None) -> Column:
+    """risk_bucket, but 0 only for no value or, in a catastrophic case, from the zero cut on; else at least the floor."""
+    b, x = risk_bucket(c, cuts), finite(c)
+    bad = F.lit(False) if catastrophic is None else F.coalesce(col(catastrophic), F.lit(False))
+    return F.when(b > 0, b).when(x.isNull() | (bad & (x >= zero)), 0).otherwise(max(0, min(5, floor)))
+
+
+def or_risk(scores: list[Column], weights: list[float]) -> Column:
+    """1 - prod(1 - w (1 - score / 5)) over the scores that are not null, weights made to sum to one, or even if none is positive."""
+    w = [max(0.0, k) for k in weights]
+    some = reduce(lambda a, b: a + b, [F.when(finite(s).isNotNull(), F.lit(k)).otherwise(0.0) for s, k in zip(scores, w, strict=True)])
+    n = reduce(lambda a, b: a + b, [F.when(finite(s).isNotNull(), 1).otherwise(0) for s in scores])
+    share = lambda k: F.when(some > 0, F.lit(k) / some).otherwise(1 / n)
+    left = reduce(lambda a, b: a * b, [F.when(finite(s).isNull(), 1.0).otherwise(clip(1 - share(k) * clip(1 - finite(s) / 5))) for s, k in zip(scores, w, strict=True)])
+    return F.when(n > 0, 1 - left)
+
+
+def floor_unless(score_, floor: int, catastrophic) -> Column:
+    """A score of at least the floor, unless the case is catastrophic."""
+    s = F.least(F.greatest(col(score_).cast("int"), F.lit(0)), F.lit(5))
+    return F.when(F.coalesce(col(catastrophic), F.lit(False)), s).otherwise(F.greatest(s, F.lit(max(0, min(5, floor)))))
+
+
+def hard_events(p_hard, n, rate_cut: float, least: int, strict: bool = False) -> Column:
+    """Whether hard events are frequent enough and enough in number."""
+    p, cut = finite(p_hard), max(0.0, rate_cut)
+    return F.coalesce(((p > cut) if strict else (p >= cut)) & (p * F.greatest(col(n), F.lit(0)) >= max(1, least)) & (col(n) > 0), F.lit(False))
+
+
+def catastrophic(p_hard, n, mass, rate_cut: float, least: int, mass_cut: float, strict: bool = True) -> Column:
+    """Hard events that count, together with much mass."""
+    m, cut = finite(mass), max(0.0, mass_cut)
+    return hard_events(p_hard, n, rate_cut, least, strict) & F.coalesce((m > cut) if strict else (m >= cut), F.lit(False))
+
+
+def na_label(source, raw, bucket_, short_circuit=None, reasons: tuple = ()) -> tuple[Column, Column, Column]:
+    """Whether a score is missing, the label of why, and all reasons joined by semicolons."""
+    src = F.coalesce(col(source), F.lit(""))
+    na = src.isin("na", "na_neutral") | finite(raw).isNull() | finite(bucket_).isNull()
+    parts = [src, *([col(short_circuit)] if short_circuit is not None else []), *map(col, reasons)]
+    said = F.array_distinct(F.filter(F.array(*[F.trim(F.coalesce(p, F.lit(""))) for p in parts]), lambda p: p != ""))
+    label = (
+        F.when(F.array_contains(said, "insufficient_edge_samples"), "NA (too few edge samples)").when(F.array_contains(said, "required_axis_na"), "NA (a required axis is missing)")
+        .when(F.array_contains(said, "sem_zero_dominance"), "NA (too little semantic information)").when(src == "na_neutral", "NA (neutral)").otherwise("NA (not computed)")
+    )
+    return na, F.when(na, label).otherwise(""), F.when(na, F.array_join(said, ";")).otherwise("")
+
+
+# JSON text ------------------------------------------------------------------------------------------------------------
+def lower_keys(c) -> Column:
+    """The top-level entries of a JSON object as a map of texts, keys trimmed and lower-cased; of equal keys the last counts."""
+    entries = F.map_entries(F.from_json(col(c), "map<string, string>"))
+    named = F.transform(entries, lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")))
+    last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.greatest(F.size(named) - i - 1, F.lit(0))), lambda o: o["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def canonical(c) -> Column:
+    """JSON objects and lists with sorted keys and no spaces; other text with its white space made one space."""
+    v = F.try_parse_json(col(c))
+    nested = F.schema_of_variant(v).startswith("OBJECT") | F.schema_of_variant(v).startswith("ARRAY")
+    return F.when(F.coalesce(nested, F.lit(False)), F.to_json(v)).otherwise(F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?U)\s+", " ")))
+
+
+def normal_text(c) -> Column:
+    """Lower case, plain quotes, dashes and dots, no invisible characters, no runs of stops, dashes or spaces. NFKC is applied by nfkc."""
+    t = F.lower(F.coalesce(col(c), F.lit("")))
+    for pattern, to in (
+        (r"[\u2018\u2019\u201a\u201b]", "'"), (r"[\u201c\u201d\u201e\u201f]", '"'), (r"[\u2013\u2014\u2015\u2012]", "-"), (r"\u2026", "..."),
+        (r"[\u00a0\u2000-\u200b\u202f\u205f\u3000]", " "), (r"[\u200c\u200d\u200e\u200f\u00ad]", ""), (r"([.!?]){2,}", "$1"), ("-{2,}", "-"), (r"(?U)\s+", " "),
+    ):
+        t = F.regexp_replace(t, pattern, to)
+    return F.trim(t)

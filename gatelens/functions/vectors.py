@@ -47,3 +47,8 @@ def cosine_residual(y, y_hat) -> Column:
 def angle(a, b) -> Column:
     n = norm(a) * norm(b)
     return F.acos(F.least(F.greatest(dot(a, b) / n, F.lit(-1.0)), F.lit(1.0)))
+
+
+def coordinate(v, i: int) -> Column:
+    """The i-th component from 1; 0 beyond the end."""
+    return F.coalesce(F.get(sanitize(v), F.lit(i - 1)), F.lit(0.0))

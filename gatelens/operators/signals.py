@@ -143,7 +143,7 @@ def class_similarities(df: DataFrame, cents: DataFrame, key: str, label: str, ve
     return g.where("own is not null").select(key, label, "own", "other", (F.col("other") - F.col("own")).alias("margin"), h.alias("disorder"))
 
 
-def _z(df: DataFrame, c: str, name: str) -> DataFrame:
+def clipped_z(df: DataFrame, c: str, name: str) -> DataFrame:
     """df with the robust z of c over all rows, held to 30; two one-row aggregates joined back."""
     m = df.agg(F.median(c).alias("_m"))
     df = df.crossJoin(F.broadcast(m))
@@ -155,14 +155,14 @@ def _z(df: DataFrame, c: str, name: str) -> DataFrame:
 
 def contradiction(sims: DataFrame, key: str) -> DataFrame:
     x = sims.withColumn("_sev", F.greatest(F.lit(0.0), F.col("margin") * F.greatest(F.lit(0.0), 1 - F.col("own"))))
-    x = _z(_z(x, "margin", "_a"), "_sev", "_b")
+    x = clipped_z(clipped_z(x, "margin", "_a"), "_sev", "_b")
     return x.select(key, (0.7 * F.col("_a") + 0.3 * F.col("_b")).alias("contradiction"))
 
 
 def discourse_instability(sims: DataFrame, key: str, label: str) -> DataFrame:
     m = sims.groupBy(label).agg(F.median("own").alias("_cm"))
-    x = sims.join(F.broadcast(m), label).withColumn("_r1", 1 - F.col("own")).withColumn("_r3", F.abs(F.col("own") - F.col("_cm")))  # a row per class
-    x = _z(_z(_z(x, "_r1", "_a"), "disorder", "_b"), "_r3", "_c")
+    x = sims.join(m, label).withColumn("_r1", 1 - F.col("own")).withColumn("_r3", F.abs(F.col("own") - F.col("_cm")))
+    x = clipped_z(clipped_z(clipped_z(x, "_r1", "_a"), "disorder", "_b"), "_r3", "_c")
     return x.select(key, ((0.4 * F.col("_a") + 0.6 * F.col("_b") + 0.25 * F.col("_c")) / 1.25).alias("discourse"))
 
 

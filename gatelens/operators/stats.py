@@ -171,3 +171,45 @@ def duplicate_rate(df: DataFrame, text: str) -> DataFrame:
 def top_repeats(df: DataFrame, text: str, k: int = 10) -> DataFrame:
     key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     return df.groupBy(key.alias("text_sha256")).agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "text_sha256").limit(k)
+
+
+def weighted_center(df: DataFrame, by: list[str], value: str, weight: str, order: str) -> DataFrame:
+    """by, median, mad: weighted median, and weighted median of the distances from it."""
+    med = weighted_quantile(df, by, value, weight, [0.5], order).select(*by, F.col("value").alias("median"))
+    x = with_group(df, med, by).withColumn("_dev", F.abs(finite(value) - F.col("median")))
+    mad = weighted_quantile(x.where("_dev is not null"), by, "_dev", weight, [0.5], order).select(*by, F.col("value").alias("mad"))
+    return with_group(med, mad, by)
+
+
+def weighted_z(df: DataFrame, by: list[str], value: str, weight: str, order: str, reference: str | None = None) -> DataFrame:
+    """df with z against the weighted median and MAD of the reference rows of its group, or of all of a group without any."""
+    ref = F.col(reference) if reference else F.lit(True)
+    some = df.groupBy(*by).agg(F.bool_or(ref & finite(value).isNotNull()).alias("_some"))
+    x = with_group(df, some, by)
+    c = weighted_center(x.where(ref | ~F.col("_some")), by, value, weight, order)
+    return with_group(x, c, by).withColumn("z", (finite(value) - F.col("median")) / (MAD_SCALE * F.col("mad") + EPS)).drop("_some", "median", "mad")
+
+
+def masked_quantile(df: DataFrame, by: list[str], value: str, reference: str, q: float) -> DataFrame:
+    """by, value: a quantile of the reference rows, or of all where there is none."""
+    x = finite(value)
+    return df.groupBy(*by).agg(F.coalesce(F.percentile(F.when(F.col(reference), x), F.lit(q)), F.percentile(x, F.lit(q))).alias("value"))
+
+
+def quantile_cuts(df: DataFrame, by: list[str], value: str, qs: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.99), fallback: tuple[float, ...] = (0.02, 0.05, 0.1, 0.2, 0.4)) -> DataFrame:
+    """by, cuts: quantiles that never fall; fixed ones for a group without values."""
+    g = df.groupBy(*by).agg(F.percentile(finite(value), F.array(*map(F.lit, qs))).alias("_q"))
+    rising = F.transform("_q", lambda x, i: F.array_max(F.slice("_q", 1, i + 1)))
+    return g.select(*by, F.when(F.col("_q").isNull(), F.array(*map(F.lit, fallback))).otherwise(rising).alias("cuts"))
+
+
+def sensitivity(edges: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """rows, sensitivity: the median over rows of how far outputs of neighbours lie over how far their inputs do.
+
+    edges (key, neighbour, distance) of inputs; rows (key, y).
+    """
+    from gatelens.functions.vectors import norm, subtract
+
+    e = edges.join(rows.select(key, F.col("y").alias("_a")), key).join(rows.select(F.col(key).alias("neighbour"), F.col("y").alias("_b")), "neighbour")
+    g = e.groupBy(key).agg(F.median(norm(subtract("_a", "_b"))).alias("_dy"), F.median(F.col("distance").cast("double")).alias("_dx"))
+    return g.where("_dx > 1e-12").agg(F.count("*").alias("rows"), F.median(F.col("_dy") / F.col("_dx")).alias("sensitivity"))

@@ -88,7 +88,7 @@ def policy_stability_jump(spark, d):
     return thresholds.choose(e, E, "value", "event_id", "dist_stability_jump", features=["f1", "f2"]).select("event_type", r("threshold"), "policy")
 
 
-JUMP = """js AS (SELECT event_type, value, (user_id % 17)::DOUBLE AS f1, sqrt(value) AS f2 FROM events), jc AS (SELECT event_type, i, quantile_cont(value, 1 - i / 100) AS cut FROM js, range(1, 31) t(i) GROUP BY event_type, i),
+JUMP = """js AS (SELECT event_type, value, (user_id % 17)::DOUBLE AS f1, sqrt(value) AS f2 FROM events), jq AS (SELECT event_type, quantile_cont(value, [""" + ", ".join(str(1 - i / 100) for i in range(1, 31)) + """]) AS qs FROM js GROUP BY 1), jc AS (SELECT event_type, i, qs[i] AS cut FROM jq, range(1, 31) t(i)),
 jv AS (SELECT c.event_type, i, cut, var_pop(f1) AS v1, var_pop(f2) AS v2 FROM jc c JOIN js s ON s.event_type = c.event_type AND value >= cut GROUP BY 1, 2, 3),
 jm AS (SELECT *, (coalesce(CASE WHEN max(v1) OVER w > min(v1) OVER w THEN (v1 - min(v1) OVER w) / (max(v1) OVER w - min(v1) OVER w) ELSE 0.5 END, 1) + coalesce(CASE WHEN max(v2) OVER w > min(v2) OVER w THEN (v2 - min(v2) OVER w) / (max(v2) OVER w - min(v2) OVER w) ELSE 0.5 END, 1)) / 2 AS x FROM jv WINDOW w AS (PARTITION BY event_type)),
 ja AS (SELECT *, avg(x) OVER (PARTITION BY event_type ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM jm), jd AS (SELECT *, round(coalesce(s - lag(s) OVER (PARTITION BY event_type ORDER BY i), 0), 9) AS dd FROM ja),
