@@ -1,78 +1,178 @@
-"""Out-of-fold ridge ensemble: how far an output's offset is from what its input predicts.
+"""Out-of-fold ensemble of kernel and linear ridge members: how far an output's offset is from what its input predicts.
 
-Sums of products per fold are taken on the executors once; every fold's members are solved on the driver from the sums
-of the other folds, which are d by d, whatever the rows. Scores are plain expressions of the weights.
+Kernel members map inputs to Nystroem features of sampled landmarks, low-rank members cut the coefficients' rank; each sees
+its own random projection and its own share of the rows. Sums of products per fold and member are taken on the executors;
+members are solved on the driver from them, which are as large as the features are wide, whatever the rows. Residuals are
+then robust z against those of the rows a member was trained on, fused by reliability, half a weight to either family.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FOLDS = 5
+from gatelens.functions.vectors import sanitize
+from gatelens.operators import kernels
+from gatelens.sources.scratch import saved
+
 ALPHA = 0.1
 RANKS = (16, 32)
-#: Wider rows are projected to so many dimensions first.
 DIMS = 96
+MEMBERS = 4
+SUBSAMPLE = 0.85
+#: Rows up to which each is a fold of its own, and up to which there are FOLDS of them; beyond, a fifth and the rest swap.
+ONE_BY_ONE, FOLDS, FOLDED = 80, 5, 5000
+#: Landmarks at most, and rows of the sample they and gamma are taken from.
+LANDMARKS, GAMMA_ROWS = 512, 256
+
+
+@dataclass
+class Member:
+    """Maps inputs to features; its seed tells its rows."""
+
+    seed: int
+    family: str
+    rank: int
+    dims: int
+    landmarks: np.ndarray | None = None
+    gamma: float = 1.0
+    root: np.ndarray | None = None
+
+    def projected(self, x: np.ndarray) -> np.ndarray:
+        p = kernels.projection(x.shape[1], self.dims, self.seed)
+        return x if p is None else x @ p
+
+    def features(self, x: np.ndarray) -> np.ndarray:
+        z = self.projected(x)
+        return z if self.landmarks is None else kernels.rbf(z, self.landmarks, self.gamma) @ self.root
 
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """The rows it is trained on."""
+        mixed = (hashes.view(np.uint64) ^ np.uint64(self.seed * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (mixed >> np.uint64(40)).astype(np.float64) / 2**24 < SUBSAMPLE
 
-def projected(x: np.ndarray, dims: int = DIMS) -> np.ndarray:
-    """Rows on seeded Gaussian directions of unit length; narrow rows as they are."""
-    if x.shape[1] <= dims:
-        return x
-    r = np.random.default_rng(42).standard_normal((x.shape[1], dims))
-    return x @ (r / np.linalg.norm(r, axis=0)) / np.sqrt(dims)
 
+def _members(sample: np.ndarray, n: int, members: int) -> list[Member]:
+    out = [Member(42 + 97 * i, "lowrank", RANKS[i % len(RANKS)], DIMS) for i in range(members)]
+    m = max(2, min(LANDMARKS, math.ceil(math.sqrt(max(n, 1)))))
+    for i in range(members):
+        k = Member(1042 + 97 * i, "kernel", 0, DIMS)
+        z = k.projected(sample)
+        at = np.random.default_rng(k.seed).permutation(len(z))
+        k.landmarks, k.gamma = z[at[:m]], kernels.gamma_of(z[at[:GAMMA_ROWS]])
+        k.root = kernels.nystroem(k.landmarks, k.gamma)
+        out.append(k)
+    return out
 
-def ensemble_signal(rows: DataFrame, key: str, x: str, y: str, folds: int = FOLDS, ranks: tuple[int, ...] = RANKS) -> DataFrame:
-    """key, delta_ridge: mean over full and low-rank members of 1 - cosine between y and its out-of-fold prediction from x."""
-    at = rows.select(F.col(key).alias("_k"), F.pmod(F.xxhash64(key), F.lit(folds)).cast("int").alias("_f"), F.col(x).cast("array<double>").alias("_x"), F.col(y).cast("array<double>").alias("_y"))
 
-    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+def ensemble_signal(rows: DataFrame, key: str, x: str, y: str, weight: str | None = None, members: int = MEMBERS) -> DataFrame:
+    """key, delta_ridge: fused positive robust z of 1 - cosine between y and its out-of-fold predictions from x. No rows, no result."""
+    n = rows.count()
+    h = F.pmod(F.xxhash64(F.lit(42), F.col("_k")), F.lit(FOLDS))
+    fold, folds = (h, FOLDS) if n <= FOLDED else ((h == 0).cast("int"), 2)
+    hashed = F.xxhash64(F.lit(7), key)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    at = rows.select(F.col(key).alias("_k"), hashed.alias("_h"), w.alias("_w"), sanitize(x).alias("_x"), sanitize(y).alias("_y"))
+    if n <= ONE_BY_ONE:
+        folds = n
+        order = {r[0]: i for i, r in enumerate(at.select("_k").orderBy("_k").collect())}  # at most ONE_BY_ONE
+        at = at.withColumn("_f", F.create_map(*[F.lit(v) for kv in order.items() for v in kv])[F.col("_k")] if order else F.lit(0))
+    else:
+        at = at.withColumn("_f", fold)
+    at = saved(at.select("_k", "_h", F.col("_f").cast("int").alias("_f"), "_w", "_x", "_y"))
+    if not n:
+        return at.select(F.col("_k").alias(key), F.lit(0.0).alias("delta_ridge"))
+    wanted = max(GAMMA_ROWS, min(LANDMARKS, math.ceil(math.sqrt(n))) * 2)
+    sample = np.array([r[0] for r in at.select("_x", "_h").orderBy("_h").limit(wanted).select("_x").collect()])  # a bounded sample, by a hash
+    team = _members(sample, n, members)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            if b.num_rows:
-                f, xs, ys = b.column(0).to_numpy(), projected(np.array(b.column(1).to_pylist())), projected(np.array(b.column(2).to_pylist()))
+            if not b.num_rows:
+                continue
+            h, f, w = (b.column(i).to_numpy() for i in (1, 2, 3))
+            xs, ys = np.array(b.column(4).to_pylist()), np.array(b.column(5).to_pylist())
+            for i, m in enumerate(team):
+                a, own = np.column_stack([np.ones(len(xs)), m.features(xs)]), m.rows(h) * np.maximum(w, 0)
                 for k in np.unique(f).tolist():
-                    a = np.column_stack([np.ones((f == k).sum()), xs[f == k]])
-                    s = np.concatenate([[a.shape[1], ys.shape[1]], (a.T @ a).ravel(), (a.T @ ys[f == k]).ravel()])
-                    s[:2] = 0
-                    total[k] = total[k] + s if k in total else s
-                    total[k][:2] = a.shape[1], ys.shape[1]
-        for k, s in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s) - 2, k, np.int32)), pa.array(np.arange(len(s) - 2)), pa.array(s[2:]), pa.array(np.full(len(s) - 2, s[0])), pa.array(np.full(len(s) - 2, s[1]))], ["f", "i", "v", "p", "d"])
-
-    got = at.select("_f", "_x", "_y").mapInArrow(gram, "f int, i long, v double, p double, d double").groupBy("f", "i").agg(F.sum("v").alias("v"), F.max("p").alias("p"), F.max("d").alias("d")).collect()
-    if not got:
-        return at.select(F.col("_k").alias(key), F.lit(0.0).alias("delta_ridge"))
-    p, d = int(got[0].p), int(got[0].d)
-    sums = np.zeros((folds, p * p + p * d))
-    for r in got:
-        sums[r.f, r.i] = r.v
-    members: dict[int, list[np.ndarray]] = {}
-    for f in range(folds):
-        s = sums.sum(0) - sums[f]
-        g, c = s[: p * p].reshape(p, p), s[p * p :].reshape(p, d)
-        w = np.linalg.solve(g + ALPHA * np.diag([0.0] + [1.0] * (p - 1)) + 1e-9 * np.eye(p), c)
-        u, v, t = np.linalg.svd(w[1:], full_matrices=False)
-        members[f] = [w] + [np.vstack([w[:1], (u[:, :r] * v[:r]) @ t[:r]]) for r in ranks if r < len(v)]
-
-    def residual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    part = np.where(f == k, own, 0.0)[:, None]
+                    s = np.concatenate([((a * part).T @ a).ravel(), ((a * part).T @ ys).ravel()])
+                    total[k, i] = total[k, i] + s if (k, i) in total else s
+        if total:
+            ks = list(total)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in ks], pa.int32()), pa.array([k[1] for k in ks], pa.int32()), pa.array([total[k].tobytes() for k in ks], pa.binary())], ["f", "m", "s"])
+
+    def add(key_, pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"f": [int(key_[0])], "m": [int(key_[1])], "s": [np.sum([np.frombuffer(v) for v in pdf["s"]], axis=0).tobytes()]})
+
+    got = at.mapInArrow(sums, "f int, m int, s binary").groupBy("f", "m").applyInPandas(add, "f int, m int, s binary").collect()  # a row per fold and member
+    held = {(r.f, r.m): np.frombuffer(bytes(r.s)) for r in got}
+    fitted: list[list[tuple[np.ndarray, np.ndarray]]] = []
+    d = len(at.select("_y").first()[0])
+    for k in range(folds):
+        own = []
+        for i, m in enumerate(team):
+            s = sum((v for (f, j), v in held.items() if j == i and f != k), np.zeros(()))
+            p = int(round((-d + math.sqrt(d * d + 4 * s.size)) / 2)) if s.size > 1 else 1
+            if s.size <= 1 or s.flat[0] <= 0:
+                own.append((np.zeros((p - 1, d)), np.zeros(d)))
+                continue
+            g, c = s[: p * p].reshape(p, p), s[p * p :].reshape(p, d)
+            mx, my = g[0, 1:] / g[0, 0], c[0] / g[0, 0]
+            coef, bias = kernels.solve_ridge(g[1:, 1:] - g[0, 0] * np.outer(mx, mx), c[1:] - g[0, 0] * np.outer(mx, my), mx, my, ALPHA)
+            own.append((kernels.low_rank(coef, m.rank) if m.rank else coef, bias))
+        fitted.append(own)
+    fit = rows.sparkSession.sparkContext.broadcast((team, fitted))  # as wide as the features, whatever the rows
+
+    def residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        team, fitted = fit.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, f = b.column(1).to_numpy(), b.column(2).to_numpy()
+            xs, ys = np.array(b.column(4).to_pylist()), np.array(b.column(5).to_pylist())
+            out, used = np.zeros((len(xs), len(fitted), len(team))), np.zeros((len(xs), len(team)), bool)
+            for i, m in enumerate(team):
+                z = m.features(xs)
+                used[:, i] = m.rows(h)
+                for k, own in enumerate(fitted):
+                    c, bias = own[i]
+                    out[:, k, i] = kernels.cosine_residual(ys, (z @ c if c.shape[0] == z.shape[1] else 0) + np.broadcast_to(bias, ys.shape))
+            train = [[[None if f[r] == k or not used[r, i] else out[r, k, i] for i in range(len(team))] for k in range(len(fitted))] for r in range(len(xs))]
+            own_fold = out[np.arange(len(xs)), f]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(own_fold.tolist(), pa.list_(pa.float64())), pa.array([[v for k in r for v in k] for r in train], pa.list_(pa.float64()))], ["_k", "_f", "own", "train"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    scored = saved(at.mapInArrow(residuals, f"_k {kind}, _f int, own array<double>, train array<double>"))
+    cells = len(fitted) * len(team)
+    med = scored.select(F.posexplode("train").alias("i", "v")).where("v is not null").groupBy("i").agg(F.median("v").alias("m"))
+    mad = scored.select(F.posexplode("train").alias("i", "v")).where("v is not null").join(F.broadcast(med), "i").groupBy("i", "m").agg(F.median(F.abs(F.col("v") - F.col("m"))).alias("s")).collect()  # a row per fold and member
+    m, s = np.zeros(cells), np.zeros(cells)
+    for r in mad:
+        m[r.i], s[r.i] = r.m, r.s
+    m, s = m.reshape(len(fitted), len(team)), s.reshape(len(fitted), len(team))
+    family = np.array([t.family == "kernel" for t in team])
+
+    def fused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            f, xs, ys = b.column(1).to_numpy(), projected(np.array(b.column(2).to_pylist())), projected(np.array(b.column(3).to_pylist()))
-            a, out = np.column_stack([np.ones(len(xs)), xs]), np.zeros(len(xs))
+            f, own = b.column(1).to_numpy(), np.array(b.column(2).to_pylist())
+            out = np.zeros(len(own))
             for k in np.unique(f).tolist():
-                own = f == k
-                for w in members[k]:
-                    q = a[own] @ w
-                    n = np.linalg.norm(q, axis=1) * np.linalg.norm(ys[own], axis=1)
-                    out[own] += np.where(n > 0, 1 - (q * ys[own]).sum(1) / np.where(n > 0, n, 1), 1.0) / len(members[k])
+                at_ = f == k
+                for kind_ in (True, False):
+                    pick = family == kind_
+                    out[at_] += 0.5 * kernels.fuse(own[at_][:, pick].T, m[k][pick], s[k][pick])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], [key, "delta_ridge"])
 
-    return at.mapInArrow(residual, f"`{key}` {rows.schema[key].dataType.simpleString()}, delta_ridge double")
+    return scored.select("_k", "_f", "own").mapInArrow(fused, f"`{key}` {kind}, delta_ridge double")

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from gatelens.functions.vectors import angle, doubles, dot, norm, subtract, unit
 from gatelens.operators.stats import EPS, MAD_SCALE
+from gatelens.sources.scratch import with_group
 
 BLOCK = 1024
 
@@ -167,27 +168,125 @@ def discourse_instability(sims: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def local_mahalanobis(edges: DataFrame, rows: DataFrame, key: str, shrink: float = 0.20) -> DataFrame:
-    """key, diff_residual: distance of d from its neighbours under their shrunk covariance, by the Woodbury identity on k rows."""
-    e = edges.select(key, "neighbour").join(rows.select(F.col(key).alias("neighbour"), F.col("d").alias("_nd")), "neighbour").groupBy(key).agg(F.collect_list("_nd").alias("_near"))
+    """key, diff_residual: distance of d from its neighbours under their shrunk covariance."""
+    return local_signals(edges, rows, key, shrink).select(key, "diff_residual")
 
-    @F.pandas_udf("double")
-    def distance(d: pd.Series, near: pd.Series) -> pd.Series:
+
+def local_signals(edges: DataFrame, rows: DataFrame, key: str, shrink: float = 0.20, weight: str | None = None) -> DataFrame:
+    """key, length_signal, direction_signal (unscaled), diff_residual from the offsets of a row's neighbours, which it gathers once.
+
+    rows (key, d, and a weight column). What a task holds is the neighbours of a batch of rows.
+    """
+    from gatelens.operators import kernels
+
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    e = edges.select(key, "neighbour").join(rows.select(F.col(key).alias("neighbour"), F.struct(F.col("d"), w.alias("w")).alias("_nd")), "neighbour")
+    x = rows.select(key, "d").join(e.groupBy(key).agg(F.collect_list("_nd").alias("_near")), key)
+
+    def mid(v: np.ndarray, w: np.ndarray) -> float:
+        """Weighted median on the midpoint CDF."""
+        o = np.argsort(v, kind="stable")
+        return float(np.interp(0.5, (np.cumsum(w[o]) - w[o] / 2) / w.sum(), v[o]))
+
+    @F.pandas_udf("length double, direction double, residual double")
+    def run(d: pd.Series, near: pd.Series) -> pd.DataFrame:
         out = []
         for v, m in zip(d, near, strict=True):
-            v, m = np.asarray(v, float), np.array([list(x) for x in m], float)
-            r = v - m.mean(0)
-            if len(m) < 3:
-                out.append(float(np.sqrt(np.mean((r / (m.std(0) + 1e-6)) ** 2))))
-                continue
-            c, p, k = m - m.mean(0), m.shape[1], len(m)
-            a = max(shrink, min(0.95, p / max(k - 1, 1)))
-            t = a * (c * c).sum() / k / p + 1e-6
-            c = c * np.sqrt((1 - a) / k)
-            y = c @ r
-            out.append(float(np.sqrt(max(0.0, (r @ r - y @ np.linalg.solve(t * np.eye(k) + c @ c.T, y)) / t))))
-        return pd.Series(out)
-
-    return rows.join(e, key).select(key, distance("d", "_near").alias("diff_residual"))
+            v, ws = np.asarray(v, float), np.array([q["w"] for q in m], float)
+            n = np.array([list(q["d"]) for q in m], float)
+            tau, far = float(np.linalg.norm(v)), np.linalg.norm(n, axis=1)
+            middle = mid(far, ws)
+            length = abs(tau - middle) / (MAD_SCALE * mid(np.abs(far - middle), ws) + 1e-6)
+            u, un = v / max(tau, 1e-12), n / np.maximum(far, 1e-12)[:, None]
+            mean = ws @ un / ws.sum()
+            size = np.linalg.norm(mean)
+            turn = lambda a: np.arccos(np.clip(a @ (mean / max(size, 1e-300)) / np.maximum(np.linalg.norm(a, axis=-1), 1e-300), -1, 1))  # noqa: B023, E731
+            direction = 1.0 if size == 0 else float(turn(u) / (mid(turn(un), ws) + 1e-6))
+            out.append((length, direction, kernels.mahalanobis(n, v, ws if weight else None, shrink)))
+        return pd.DataFrame(out, columns=["length", "direction", "residual"])
+
+    r = x.withColumn("_r", run("d", "_near"))
+    return r.select(key, F.col("_r.length").alias("length_signal"), F.col("_r.direction").alias("direction_signal"), F.col("_r.residual").alias("diff_residual"))
+
+
+def aux_residual(df: DataFrame, key: str, by: list[str], score: str, signals_: tuple[str, str] = ("direction_signal", "length_signal"), lam: float = 0.1, poly: bool = False, least: int | None = None) -> DataFrame:
+    """df with score plus lam times the positive robust z of what two other signals don't explain of it.
+
+    The fit, by group, comes from sums of products; groups of too few rows (20, or 30 for squares and products), or of flat
+    residuals, keep their score.
+    """
+    least = least or (30 if poly else 20)
+    g, l_ = (F.col(c) for c in signals_)
+    terms = [F.lit(1.0), g, l_] + ([g * g, l_ * l_, g * l_] if poly else [])
+    ok = F.col(score).isNotNull() & g.isNotNull() & l_.isNotNull()
+    sums = [F.sum(a * b).alias(f"a{i}_{j}") for i, a in enumerate(terms) for j, b in enumerate(terms) if j >= i] + [F.sum(a * F.col(score)).alias(f"b{i}") for i, a in enumerate(terms)]
+    s = df.where(ok).groupBy(*by).agg(F.count("*").alias("_n"), *sums).where(F.col("_n") >= least)
+    k = len(terms)
+
+    @F.pandas_udf("array<double>")
+    def solve(*cols: pd.Series) -> pd.Series:
+        v = np.column_stack(cols)
+        a, at = np.zeros((len(v), k, k)), 0
+        for i in range(k):
+            for j in range(i, k):
+                a[:, i, j] = a[:, j, i] = v[:, at]
+                at += 1
+        return pd.Series([np.linalg.lstsq(m, b, rcond=None)[0].tolist() for m, b in zip(a, v[:, at:], strict=True)])
+
+    names = [f"a{i}_{j}" for i in range(k) for j in range(i, k)] + [f"b{i}" for i in range(k)]
+    x = with_group(df, s.select(*by, solve(*names).alias("_c")), by)
+    fitted = sum((F.col("_c")[i] * t for i, t in enumerate(terms)), F.lit(0.0))
+    x = x.withColumn("_r", F.when(ok, F.col(score) - fitted))
+    m = x.groupBy(*by).agg(F.median("_r").alias("_m"))
+    x = with_group(x, m, by)
+    d = x.groupBy(*by).agg(F.median(F.abs(F.col("_r") - F.col("_m"))).alias("_s"))
+    x = with_group(x, d, by)
+    z = (F.col("_r") - F.col("_m")) / (MAD_SCALE * F.col("_s") + 1e-6)
+    add = F.when(F.col("_s") > 0, lam * F.greatest(z, F.lit(0.0)))
+    return x.withColumn(score, F.col(score) + F.coalesce(add, F.lit(0.0))).drop("_c", "_r", "_m", "_s")
+
+
+def local_context(edges: DataFrame, key: str, n: int, least: int = 15, most: int = 80, ratio: float = 1.35) -> DataFrame:
+    """edges up to each row's own number of neighbours: where distances first jump, else the rounded root of n, within bounds."""
+    base = max(least, min(most, round(math.sqrt(max(2, n)))))
+    return edges.join(adaptive_k(edges, key, base, least, ratio), key).where("rank <= used_k")
+
+
+def density_of(edges: DataFrame, key: str, ks: list[int], by: str) -> DataFrame:
+    """key, density as of output_density, group by group."""
+    g = edges.groupBy(by, key).agg(*[F.avg(F.when(F.col("rank") <= k, F.col("distance").cast("double"))).alias(f"m{k}") for k in ks])
+    med = with_group(g, g.groupBy(by).agg(*[F.median(f"m{k}").alias(f"c{k}") for k in ks]), [by])
+    x = with_group(med, med.groupBy(by).agg(*[F.median(F.abs(F.col(f"m{k}") - F.col(f"c{k}"))).alias(f"s{k}") for k in ks]), [by])
+    a = F.array_sort(F.array(*[(F.col(f"m{k}") - F.col(f"c{k}")) / (MAD_SCALE * F.col(f"s{k}") + EPS) for k in ks]))
+    n = len(ks)
+    return x.select(key, (a[n // 2] if n % 2 else (a[n // 2 - 1] + a[n // 2]) / 2).alias("density"))
+
+
+def compactness(df: DataFrame, by: list[str], x: str, y: str, flagged: str, least: int = 3) -> DataFrame:
+    """by, flagged, compactness: median distance of flagged points from their centroid; null for too few."""
+    f = df.where(F.col(flagged) & F.col(x).isNotNull() & F.col(y).isNotNull())
+    c = f.groupBy(*by).agg(F.avg(x).alias("_cx"), F.avg(y).alias("_cy"), F.count("*").alias("flagged"))
+    d = with_group(f.select(*by, x, y), c, by).groupBy(*by, "flagged").agg(F.median(F.sqrt((F.col(x) - F.col("_cx")) ** 2 + (F.col(y) - F.col("_cy")) ** 2)).alias("_d"))
+    return d.select(*by, "flagged", F.when(F.col("flagged") >= least, F.col("_d")).alias("compactness"))
+
+
+def spread_of(members: list[str]):
+    """The standard deviation of a row's members that have a value; null without two of them."""
+    a = F.filter(F.array(*[F.col(m).cast("double") for m in members]), lambda v: v.isNotNull() & ~F.isnan(v))
+    mean = F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+    return F.when(F.size(a) >= 2, F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.size(a)))
+
+
+def reduced(df: DataFrame, key: str, vector: str, share: float = 0.90, least: int = 8, most: int = 64) -> DataFrame:
+    """key, coordinates on as many main axes as hold a share of the variance, within bounds."""
+    from gatelens.operators import kernels
+    from gatelens.operators.moments import covariance
+
+    mean, cov = covariance(df, vector)
+    if not len(mean):
+        return df.select(key, F.array().cast("array<double>").alias("coordinates")).where("false")
+    axes = kernels.variance_dims(cov, share, least, most)
+    return df.select(key, F.array(*[dot(vector, F.array(*map(F.lit, axes[:, j].tolist()))) - float(mean @ axes[:, j]) for j in range(axes.shape[1])]).alias("coordinates"))
 
 
 def hash_vector(t: str | None, dim: int = 768) -> list[float]:
