@@ -330,25 +330,6 @@ def schema_gate(df: DataFrame, text: str, spec: dict, strict: bool = True, extra
     return df.withColumn("schema_problems", problems(F.col(text))).withColumn("schema_pass", F.size("schema_problems") == 0)
 
 
-def infer_schema(df: DataFrame, text: str, min_key_ratio: float = 0.9, most_choices: int = 8) -> dict:
-    """A light schema of top-level keys that nearly all objects hold: choices if few, else the common type."""
-    rows = df.select(F.try_parse_json(F.col(text)).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    n = rows.count()
-    if not n:
-        return {}
-    rows.createOrReplaceTempView("_gatelens_objects")
-    keys = df.sparkSession.sql("""
-        SELECT e.key, count(*) AS n, count(DISTINCT CAST(e.value AS STRING)) AS kinds, min(schema_of_variant(e.value)) AS low, max(schema_of_variant(e.value)) AS high,
-               slice(array_sort(collect_set(CAST(e.value AS STRING))), 1, 9) AS some
-        FROM _gatelens_objects, LATERAL variant_explode(v) e GROUP BY e.key""")
-    kind = {"BIGINT": "integer", "DOUBLE": "number", "BOOLEAN": "boolean", "STRING": "text"}
-    out = {}
-    for r in keys.where(F.col("n") >= min_key_ratio * n).limit(1000).collect():
-        choices = r.kinds <= most_choices and r.kinds <= 0.25 * r.n
-        out[r.key] = list(r.some) if choices else kind.get(r.low if r.low == r.high else "", "any")
-    return out
-
-
 def length_thresholds(leaf_rows: DataFrame, n_rows: int, ratio: float = 0.30, support: float = 0.20) -> DataFrame:
     """path, n, threshold: share of the median length, for paths that enough rows fill. leaf_rows (path, leaf)."""
     x = leaf_rows.where(F.trim("leaf") != "").withColumn("_len", F.length(F.trim("leaf")))

@@ -188,7 +188,8 @@ def tri_thresholds(df: DataFrame, by: list[str], value: str, fails: DataFrame, d
 def hybrid(df: DataFrame, by: list[str], value: str, order: str, least: int = 8, quantile: float = 0.995, features: list[str] | None = None) -> DataFrame:
     """by, warn_low, warn, fail, hard, source: tail start; where it gives none, the jump of stability, if features are given; else a quantile.
 
-    Core and exceptional values lie around it, in order.
+    Core and exceptional values lie around it, in order. A threshold of zero moves to the next value above. Groups of too few
+    rows have no thresholds.
     """
     t = tail_start_policy(df, by, value, order)
     n = df.withColumn("_x", finite(value)).where("_x is not null").groupBy(*by).agg(F.count("*").alias("_n"), F.percentile("_x", F.lit(quantile)).alias("_q"))
@@ -200,6 +201,10 @@ def hybrid(df: DataFrame, by: list[str], value: str, order: str, least: int = 8,
         jump = F.when(F.col("_n") >= least, F.col("_j"))
     t = t.withColumn("source", F.when(ok, "tail_start").when(jump.isNotNull(), "stability_jump").otherwise("quantile_guard"))
     t = t.withColumn("threshold", F.when(ok, F.col("threshold")).otherwise(F.coalesce(jump, F.col("_q"))))
+    up = windows.neighbour_of_zero(df, by, value).select(*by, "next_up")
+    t = with_group(t, up, by).withColumn("threshold", F.when(F.abs("threshold") <= 1e-12, F.coalesce("next_up", F.lit(1e-9))).otherwise(F.col("threshold")))
+    few = F.col("_n") < least
+    t = t.withColumn("threshold", F.when(~few, F.col("threshold"))).withColumn("source", F.when(few, "insufficient_support").otherwise(F.col("source")))
     t = saved(t.select(*by, "threshold", "source"))  # a row per group, read by what builds on the tail
     core, exc = core_thresholds(df, by, value, t), exceptional(df, by, value, t)
     out = with_group(with_group(t, core, by), exc.select(*by, "exceptional"), by)
@@ -226,11 +231,11 @@ def k_thresholds(stats_: DataFrame, by: list[str], soft: float = ROBUST_K, hard:
 
 
 def apply_states(df: DataFrame, thresholds: DataFrame, by: list[str], value: str, base: Column | None = None) -> DataFrame:
-    """df with state by hybrid thresholds; warn is outside the core band on either side."""
+    """df with state by hybrid thresholds; warn is outside the core band on either side, na without a value or a threshold."""
     x = finite(value)
     ok = x.isNotNull() if base is None else base & x.isNotNull()
     j = with_group(df, thresholds, by)
-    state = F.when(~ok, "na").when(x >= F.col("hard"), "hard_fail").when(x >= F.col("fail"), "fail").when((x > F.col("warn")) | (x < F.col("warn_low")), "warn").otherwise("pass")
+    state = F.when(~ok | F.col("fail").isNull(), "na").when(x >= F.col("hard"), "hard_fail").when(x >= F.col("fail"), "fail").when((x > F.col("warn")) | (x < F.col("warn_low")), "warn").otherwise("pass")
     return j.withColumn("state", state).drop("warn_low", "warn", "fail", "hard", "source")
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from gatelens.functions import scalar as S
 from gatelens.functions import vectors as V
 from gatelens.operators import gates, relational, ridge, scoring, signals, stats, thresholds, windows
-from gatelens.plans import audit
 from gatelens.sources import tables
 from gatelens.streaming import monitor
 
@@ -295,12 +294,6 @@ def schema_gate_props(spark, d):
     return x.select("event_id", "schema_pass")
 
 
-@query
-def schema_inference(spark, d):
-    spec = gates.infer_schema(T(spark, d, "events"), "props")
-    return spark.createDataFrame([(k, v if isinstance(v, str) else "choices") for k, v in spec.items()], "key string, kind string")
-
-
 @query
 def textlen_thresholds(spark, d):
     leaf = T(spark, d, "conversations").select(F.col("conv_id"), F.col("role").alias("path"), F.col("text").alias("leaf"))
@@ -645,16 +638,6 @@ def warn_rank(spark, d):
     return x.select("rank", "user_id", "event_id", r("risk"), r("severity"), r("rank_score"), "tags")
 
 
-def audit_rows(spark, d):
-    p = tables.conversation_pairs(T(spark, d, "conversations")).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    return audit.run(p, audit.AuditConfig(instructions=(("length_constraints:number_words", {"num_words": 3}),))).rows.select("id", "group_id", "hard_gate_pass", "fails", "hards", "risk", "final_state")
-
-
-def audit_bundles(spark, d):
-    p = tables.conversation_pairs(T(spark, d, "conversations")).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    return audit.run(p).bundles
-
-
 # windows of a stream, as a table --------------------------------------------------------------------------------------
 @query
 def window_rates(spark, d):
