@@ -323,7 +323,7 @@ def test_crowded_image_buckets(spark, monkeypatch):
     for i, comp, raw, points in images:
         d, p = read(raw), np.frombuffer(points, np.float32).reshape(-1, 4).astype(float)
         for k in range(len(d)):
-            for band in range(4):
+            for band in range(imagedesc.NARROW_BANDS):
                 holders.setdefault((band, d[k, 3 * band : 3 * band + 3].tobytes()), []).append((i, comp, d, p, k))
 
     def seen(p, d, k):
