@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gatelens.functions.scalar import WORD
 from gatelens.sources.scratch import saved, with_group
@@ -16,7 +17,7 @@ MASK = "<TPL>"
 WORDS = re.compile(r"\b\w+\b")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

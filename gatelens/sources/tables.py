@@ -19,9 +19,11 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> tuple[DataFrame, str]:
-    """The first encoding that gives no replacement characters wins."""
+    """The first encoding that gives no replacement characters wins; for those beyond UTF-8 the session is told to allow Java's."""
     for e in encodings:
         try:
+            if not e.startswith("utf-8"):
+                spark.conf.set("spark.sql.legacy.javaCharsets", "true")
             df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8" if e == "utf-8-sig" else e)
             damaged = F.lit(False)
             for c in df.columns:
