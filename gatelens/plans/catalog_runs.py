@@ -78,6 +78,17 @@ def conflict_closure(spark, d):
 ORACLES["conflict_closure"] = "WITH c AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, v in schemas.CONFLICTS.items() for b in sorted(v)) + ") t(a, b)) SELECT a, b FROM c UNION SELECT b, a FROM c UNION SELECT a, a FROM c UNION SELECT b, b FROM c"
 
 
+@query
+def json_columns(spark, d):
+    x = T(spark, d, "events").withColumn("j", F.when(F.pmod("event_id", F.lit(8)) > 0, F.col("props")).otherwise(F.lit("{")))
+    return tables.json_columns(x.select("event_id", "j"), "j").select("event_id", F.col("`j.k`").alias("k"), F.col("_parse_error").alias("broken"))
+
+
+ORACLES["json_columns"] = "SELECT event_id, CASE WHEN event_id % 8 > 0 THEN json_extract_string(props, '$.k') END AS k, event_id % 8 = 0 AS broken FROM events"
+ORACLES["text_previews"] = """WITH s AS (SELECT conv_id, turn, len(list_filter(string_split_regex(coalesce(text, ''), '[.!?;:\\n。！？；：]+|\\s-\\s'), lambda p: len(regexp_extract_all(p, '[\\p{L}\\p{N}_]+')) >= 2)) AS k FROM conversations)
+SELECT c.conv_id, c.turn, CASE WHEN length(replace(text, chr(10), ' ')) > 40 THEN left(replace(text, chr(10), ' '), 40) || '...' ELSE replace(text, chr(10), ' ') END AS preview, left(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), 20) AS path, least(k, 4)::INT AS n_segments FROM conversations c JOIN s USING (conv_id, turn)"""
+
+
 @query
 def source_union(spark, d):
     c = T(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("idx"), F.col("c_name").alias("user_input"), F.lit(None).cast("string").alias("user_prompt"))

@@ -136,3 +136,13 @@ def cached_embeddings(spark: SparkSession, path: str, rows: DataFrame, key: str,
         pass
     make(rows).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def json_columns(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
+    """df with the leaves of a JSON column as columns named by it and their path, and _parse_error; keys: the paths, or all that there are."""
+    from gatelens.operators.gates import json_leaves, strict_json
+
+    x = df.withColumn("_parse_error", ~F.coalesce(strict_json(F.col(column)), F.lit(False))).withColumn("_leaves", json_leaves(F.col(column)))
+    if keys is None:
+        keys = sorted(r[0] for r in x.select(F.explode(F.map_keys("_leaves"))).distinct().collect())  # as many as the result has columns
+    return x.withColumns({f"{column}.{k}": F.col("_leaves")[k] for k in keys}).drop("_leaves")

@@ -46,6 +46,16 @@ def test_conflicting_instructions_are_registered():
     assert set(schemas.CONFLICTS) | {k for v in schemas.CONFLICTS.values() for k in v} <= set(gates.INSTRUCTIONS)
 
 
+def test_sentences(spark):
+    cases = {
+        "Dr. Smith met Mr. Lee at 3.5 p.m. today. They talked! Did they? Yes...": 4, "See www.a.com or e.g. b. Fine.": 2, "J. K. Rowling wrote it. I did not. So did I. End": 4, '"Stop." He said so.': 2, "": 0, "no end": 1, "一。二！三": 3, "?!": 0, "He lives in the U.S. and works.": 1,
+    }
+    for t, n in cases.items():
+        assert len(gates.sentences(t)) == n, (t, gates.sentences(t))
+    df = spark.createDataFrame([(t, n) for t, n in cases.items()] + [(None, 0)], "t string, n int")
+    assert df.where(gates.sentence_count("t") != F.col("n")).count() == 0
+
+
 def test_masking(spark):
     rows = [(i, 1, f"Dear reader of page {i}: thank you for your note today") for i in range(6)] + [(9, 2, "alone here and now"), (10, 3, ""), (11, 3, None), (12, 3, "x")]
     df = spark.createDataFrame(rows, "id long, g long, t string")
