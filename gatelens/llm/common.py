@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,22 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatelens.sources import scratch
+from gatelens.sources.scratch import scratch_root
+
 #: Rows a table may have to be broadcast; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Rows in an Arrow batch of texts: bounds what a Python worker holds at once.
 TEXT_BATCH_ROWS = 256
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only on a local master without the setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"file://{tempfile.gettempdir()}/gatelens-scratch"
-
-
 class Scratch:
     """Tables written to the shared folder to cut lineage: a lost executor costs a reread, not a recomputation."""
 
@@ -34,6 +26,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/gatelens-{uuid.uuid4().hex}"
         self.n = 0
+        scratch._WRITTEN.append((spark, self.root))  # deleted when the process ends
 
     def save(self, df: DataFrame, files: int | None = None) -> DataFrame:
         """files: at most so many, for tables known to be small."""
