@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatelens.operators import gates
+from gatelens.operators.gates import _problems
 
 KINDS = {"integer": "integer", "int": "integer", "number": "number", "float": "number", "boolean": "boolean", "bool": "boolean", "text": "text"}
 
@@ -145,7 +145,7 @@ def validated(df: DataFrame, text: str, spec: dict, strict: bool = True, extra:
             elif is_json_schema(spec):
                 out.append((True, violations(value, spec)))
             else:
-                out.append((True, gates._problems(value, spec, "", strict, extra)))
+                out.append((True, _problems(value, spec, "", strict, extra)))
         return pd.DataFrame(out, columns=["parsed", "problems"])
 
     out = df.withColumn("_s", run(F.col(text)))

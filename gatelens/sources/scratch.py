@@ -21,14 +21,16 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/gatelens-scratch"
 
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: list[str] = []
 
 
 @atexit.register
 def clear() -> None:
     """Delete the tables of this process; at its end, if not before. What still reads them must be done."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+    spark = SparkSession.getActiveSession()
+    paths = list(_WRITTEN)
+    _WRITTEN.clear()
+    for path in paths if spark is not None else ():
         with contextlib.suppress(Exception):
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -37,7 +39,7 @@ def clear() -> None:
 def saved(df: DataFrame) -> DataFrame:
     """df, written once and read again: what builds on it more than once doesn't compute it more than once."""
     path = f"{scratch_root(df.sparkSession)}/gatelens-{uuid.uuid4().hex}"
-    _WRITTEN.append((df.sparkSession, path))
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

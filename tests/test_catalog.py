@@ -3,11 +3,13 @@
 import duckdb
 import pytest
 
-from gatelens.plans.catalog import QUERIES
-from gatelens.plans.oracles import ORACLES
+from gatelens.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["robust_z_events", "weighted_quantile_price", "boxplot_orders", "signal_histogram", "confusion_quality", "soft_weights", "top_anomalies", "leaves_props", "instr_no_comma", "knn_euclid", "calib_tristate", "trace_pairs", "unit_vectors", "output_density", "delta_direction", "sim_conflict", "contradiction", "cosine_residuals", "bundle_axes", "instr_first_word"]
+NAMES = """robust_z_events weighted_quantile_price boxplot_orders signal_histogram confusion_quality soft_weights top_anomalies leaves_props instr_no_comma knn_euclid calib_tristate trace_pairs unit_vectors output_density
+delta_direction sim_conflict contradiction cosine_residuals bundle_axes instr_first_word gap_jump tail_start_policy confidence scoring_maps lenient_labels leaf_gate_rows leaf_row_metrics detail_override leaf_histograms
+edge_input_cases policy_quantile_two_sided tri_thresholds_lower calibrate_distance calibrate_tristate calibrated_rows lambda_stability guard_maps canonical_text weighted_z rule_statistics score_fallbacks bundle_scores
+verdict_keys self_contradiction json_schema_gate schema_inference report_diagnostics audit_gates""".split()
 
 
 def value(v):
@@ -17,7 +19,7 @@ def value(v):
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in "customer orders lineitem events documents embeddings labels conversations".split():
+    for t in "customer supplier orders lineitem events documents embeddings labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     rel = con.sql(ORACLES[name])
