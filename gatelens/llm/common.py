@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.sources import scratch
+from gatelens.sources.scratch import _WRITTEN as written
 from gatelens.sources.scratch import scratch_root
 
 #: Rows a table may have to be broadcast; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: Rows in an Arrow batch of texts: bounds what a Python worker holds at once.
-TEXT_BATCH_ROWS = 256
+#: Rows and bytes in an Arrow batch of texts: bound what a Python worker holds at once; a longer text is a batch of its own.
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 256, 32 << 20
 
 
 class Scratch:
@@ -26,7 +26,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/gatelens-{uuid.uuid4().hex}"
         self.n = 0
-        scratch._WRITTEN.append((spark, self.root))  # deleted when the process ends
+        written.append(self.root)  # deleted when the process ends
 
     def save(self, df: DataFrame, files: int | None = None) -> DataFrame:
         """files: at most so many, for tables known to be small."""
@@ -67,6 +67,7 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str = "left", rows:
 def text_batches(spark: SparkSession) -> None:
     """Small Arrow batches, so that long texts don't pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
 
 
 def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
