@@ -132,9 +132,15 @@ def centroids(df: DataFrame, label: str, vector: str, least: int = 20) -> DataFr
     return mean.select(label, unit("_mu").alias("centroid"))
 
 
+#: Classes that every row may be held against.
+MAX_CLASSES = 512
+
+
 def class_similarities(df: DataFrame, cents: DataFrame, key: str, label: str, vector: str) -> DataFrame:
-    """key, label, own, other, margin, disorder: cosine to the own and the best other class; entropy of softmax(5 cosine). cents: at most a few classes."""
+    """key, label, own, other, margin, disorder: cosine to the own and the best other class; entropy of softmax(5 cosine). cents: at most MAX_CLASSES."""
     c = cents.select(F.col(label).alias("_c"), "centroid")
+    if c.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     s = df.select(key, label, vector).crossJoin(F.broadcast(c)).withColumn("_s", dot(vector, "centroid"))
     g = s.groupBy(key, label).agg(
         F.max(F.when(F.col("_c") == F.col(label), F.col("_s"))).alias("own"), F.max(F.when(F.col("_c") != F.col(label), F.col("_s"))).alias("other"),

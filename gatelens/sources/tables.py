@@ -38,12 +38,10 @@ def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODI
 
 def with_row_index(df: DataFrame, *order: str) -> DataFrame:
     """df with row_index from 0 in the given order, by ranks within ranges and counts before them: no task sorts all rows."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(*order)
-    ranked = ranged.withColumn("_r", F.row_number().over(w))
-    counts = ranked.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return ranked.join(F.broadcast(before), "_p").withColumn("row_index", F.col("_before") + F.col("_r") - 1).drop("_p", "_r", "_before")  # a row per partition
+    from gatelens.operators.windows import ordered
+
+    x = ordered(df.withColumn("_all", F.lit(0)).withColumn("_o", F.struct(*order)), ["_all"], "_o", order[-1])
+    return x.withColumn("row_index", F.col("_i") - 1).drop("_all", "_o", "_i", "_n", "_next")
 
 
 def messages(c: Column) -> Column:
