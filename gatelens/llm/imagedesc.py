@@ -8,7 +8,7 @@ Copies in crowds are linked first: in a table of wide bands, images of a bucket
 in all buckets, and each is paired with the few before it, so copies, however many, give a number of pairs that is
 proportional to them, not to its square. Then all images meet in a table of narrow bands: descriptors of a bucket are all
 compared with each other, those of one component aside, and two images are paired where descriptors match that have two
-neighbouring corners in common, alike in bits, place and turn. A crowded bucket is cut into blocks, its large components
+neighbouring corners in common, alike in bits, place and turn; pairs of which half a descriptor says that too few match go no further. A crowded bucket is cut into blocks, its large components
 into blocks of their own, and blocks are compared with each other but for two of one component. Pairs are verified: mutual
 nearest descriptors, then the consensus of a similarity transform. Images of equal pixels are one.
 
@@ -35,8 +35,8 @@ SCALES = (1.0, 1.5, 2.25)
 POINTS, TILE = (24, 14, 8), 128
 MARGIN = 11
 TESTS = 128
-#: Bands of either table, and bytes of a band.
-BANDS, WIDE, NARROW = 4, 4, 3
+#: Bands of the wide and the narrow table, and bytes of a band.
+WIDE_BANDS, WIDE, NARROW_BANDS, NARROW = 2, 4, 4, 3
 #: Images before it in a bucket of the wide table that an image is paired with, if they meet so often.
 BEFORE = 6
 MEETINGS = 2
@@ -48,11 +48,13 @@ PAIRS = 1 << 15
 #: Nearest corners that a descriptor carries, how many two must have in common, and how far these may differ: in 32 bits,
 #: in place (pixels of the corner's scale, and a share of the distance), in turn.
 NEIGHBOURS, COMMON = 6, 2
-NEAR_BITS, NEAR_PLACE, NEAR_SHARE, NEAR_TURN = 7, 2.5, 0.15, 0.5
+NEAR_BITS, NEAR_PLACE, NEAR_SHARE, NEAR_TURN = 6, 2.5, 0.15, 0.5
 #: Bits that matching descriptors may differ in; matches and share of points that must agree; pixels of tolerance.
 MATCH_BITS, AGREE, AGREE_SHARE, TOLERANCE = 28, 8, 0.2, 3.0
+#: Bits of half a descriptor in which a pair's nearest may differ, and how many such it needs before all of both is compared.
+HALF_BITS, HALF_MATCHES = 18, 6
 #: Images of the audit, the recall they must show, and links from which it is told.
-AUDIT, MIN_RECALL, AUDIT_LINKS = 24, 0.9, 30
+AUDIT, MIN_RECALL, AUDIT_LINKS = 16, 0.9, 30
 #: Pixels above which an image counts as unreadable.
 MOST_PIXELS = 1 << 27
 
@@ -212,11 +214,24 @@ def describe(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         points.append(np.stack([xs * scale, ys * scale, np.full(len(xs), scale), angle], 1))
     if not points:
         return np.zeros((0, 4), np.float32), np.zeros((0, TESTS // 8), np.uint8)
-    return np.concatenate(points).astype(np.float32), np.concatenate(bits)
+    return unpacked(packed(np.concatenate(points))), np.concatenate(bits)
 
 
-def agree(pa_: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray) -> int:
-    """Points that agree on one similarity transform from a to b."""
+def packed(points: np.ndarray) -> bytes:
+    """Points in eight bytes each: quarters of a pixel, thousandths of a scale, and the angle in 65,536 parts of a turn."""
+    turn = np.rint(points[:, 3] / (2 * np.pi) * 65536) % 65536
+    return np.column_stack([np.rint(points[:, 0] * 4), np.rint(points[:, 1] * 4), np.rint(points[:, 2] * 1000), turn]).astype("<u2").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    p = np.frombuffer(raw, "<u2").reshape(-1, 4).astype(np.float32)
+    p *= np.array([0.25, 0.25, 0.001, 2 * np.pi / 65536], np.float32)
+    p[:, 3] = (p[:, 3] + np.pi) % (2 * np.pi) - np.pi
+    return p
+
+
+def agree(pa_: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray, least: float = 2) -> int:
+    """Points that agree on one similarity transform from a to b; the matches where these are fewer than least."""
     if not len(pa_) or not len(pb):
         return 0
     far = np.bitwise_count(da.view(np.uint64)[:, None] ^ db.view(np.uint64)[None]).sum(axis=2)
@@ -224,7 +239,7 @@ def agree(pa_: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray) -> in
     j = far.argmin(axis=1)
     ok = (far[i, j] <= MATCH_BITS) & (far.argmin(axis=0)[j] == i)
     a, b = pa_[i[ok]].astype(np.float64), pb[j[ok]].astype(np.float64)
-    if len(a) < 2:
+    if len(a) < max(2, least):
         return len(a)
     most = 0
     turn, zoom = b[:, 3] - a[:, 3], b[:, 2] / a[:, 2]
@@ -238,7 +253,8 @@ def agree(pa_: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray) -> in
 
 
 def is_copy(pa_: np.ndarray, da: np.ndarray, pb: np.ndarray, db: np.ndarray) -> bool:
-    return agree(pa_, da, pb, db) >= max(AGREE, AGREE_SHARE * min(len(pa_), len(pb)))
+    least = max(AGREE, AGREE_SHARE * min(len(pa_), len(pb)))
+    return agree(pa_, da, pb, db, least) >= least
 
 
 def _described(batch: pa.RecordBatch, decoder: Callable[[bytes], np.ndarray | None]) -> pa.RecordBatch:
@@ -255,7 +271,7 @@ def _described(batch: pa.RecordBatch, decoder: Callable[[bytes], np.ndarray | No
         k1.append(int(same[0]))
         k2.append(int(same[1]))
         n.append(len(p))
-        points.append(p.tobytes())
+        points.append(packed(p))
         bits.append(d.tobytes())
     cols = [pa.array(x, pa.int64()) for x in (ids, k1, k2, n)] + [pa.array(points, pa.binary()), pa.array(bits, pa.binary())]
     return pa.RecordBatch.from_arrays(cols, ["media_id", "k1", "k2", "n_points", "points", "bits"])
@@ -268,12 +284,12 @@ def _band(d: np.ndarray, band: int, size: int) -> np.ndarray:
     return own
 
 
-def _keys(batch: pa.RecordBatch, size: int = WIDE) -> pa.RecordBatch:
+def _keys(batch: pa.RecordBatch, bands: int = WIDE_BANDS, size: int = WIDE) -> pa.RecordBatch:
     """Rows (key, id): every bucket of an image once."""
     keys, who = [], []
     for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         d = np.frombuffer(raw, np.uint8).reshape(-1, TESTS // 8)
-        for band in range(BANDS):
+        for band in range(bands):
             own = np.unique(_band(d, band, size))
             keys.append(own)
             who.append(np.full(len(own), i))
@@ -283,7 +299,7 @@ def _keys(batch: pa.RecordBatch, size: int = WIDE) -> pa.RecordBatch:
 
 def _buckets(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Rows (key, comp): every narrow bucket of an image once, with the image's component."""
-    keys = _keys(batch.select(["id", "bits"]), NARROW)
+    keys = _keys(batch.select(["id", "bits"]), NARROW_BANDS, NARROW)
     comp = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
     of = np.array([comp[i] for i in keys.column(1).to_pylist()], np.int64)
     return pa.RecordBatch.from_arrays([keys.column(0), pa.array(of)], ["key", "comp"])
@@ -322,8 +338,8 @@ def _descriptors(batch: pa.RecordBatch) -> pa.RecordBatch:
     for i, comp, raw, points in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
         d = np.frombuffer(raw, np.uint8).reshape(-1, TESTS // 8)
         both = d.view(np.int64)
-        around = [r.tobytes() for r in neighbours(np.frombuffer(points, np.float32).reshape(-1, 4), d)]
-        for band in range(BANDS):
+        around = [r.tobytes() for r in neighbours(unpacked(points), d)]
+        for band in range(NARROW_BANDS):
             parts.append(np.stack([_band(d, band, NARROW), np.full(len(d), i), np.full(len(d), comp), both[:, 0], both[:, 1]]))
             near += around
     cols = np.concatenate(parts, axis=1) if parts else np.zeros((5, 0), np.int64)
@@ -469,11 +485,27 @@ def _meetings(batches):
 
 def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
     cols = [batch.column(i).to_pylist() for i in range(2, 6)]
-    read = lambda p, d: (np.frombuffer(p, np.float32).reshape(-1, 4), np.frombuffer(d, np.uint8).reshape(-1, TESTS // 8))
+    read = lambda p, d: (unpacked(p), np.frombuffer(d, np.uint8).reshape(-1, TESTS // 8))
     yes = [is_copy(*read(p, d), *read(q, e)) for p, d, q, e in zip(*cols, strict=True)]
     return batch.filter(pa.array(yes, pa.bool_())).select([0, 1])
 
 
+def _halves(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(a, b) of pairs (a, b, and half of the descriptors of either) that have enough in common to be compared in full."""
+    yes = []
+    for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+        far = np.bitwise_count(x[:, None] ^ y[None])
+        least = min(HALF_MATCHES, AGREE)
+        yes.append(min((far.min(axis=1) <= HALF_BITS).sum(), (far.min(axis=0) <= HALF_BITS).sum()) >= least if far.size else False)
+    return batch.filter(pa.array(yes, pa.bool_())).select([0, 1])
+
+
+def _half(batch: pa.RecordBatch) -> pa.RecordBatch:
+    half = [np.ascontiguousarray(np.frombuffer(d, np.uint64).reshape(-1, 2)[:, 0]).tobytes() for d in batch.column(1).to_pylist()]
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(half, pa.binary())], ["id", "half"])
+
+
 def audit(one: DataFrame, comp: DataFrame, sample: int = AUDIT) -> tuple[int, int]:
     """Links of a hashed sample of images, found by brute force over all images, and how many of them lie in one component.
 
@@ -483,7 +515,7 @@ def audit(one: DataFrame, comp: DataFrame, sample: int = AUDIT) -> tuple[int, in
     got = one.sparkSession.sparkContext.broadcast([(r.id, bytes(r.points), bytes(r.bits)) for r in asked])
 
     def brute(b: pa.RecordBatch) -> pa.RecordBatch:
-        read = lambda p, d: (np.frombuffer(p, np.float32).reshape(-1, 4), np.frombuffer(d, np.uint8).reshape(-1, TESTS // 8))
+        read = lambda p, d: (unpacked(p), np.frombuffer(d, np.uint8).reshape(-1, TESTS // 8))
         queries = [(i, *read(p, d)) for i, p, d in got.value]
         u, w = [], []
         for i, p, d in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
@@ -494,7 +526,8 @@ def audit(one: DataFrame, comp: DataFrame, sample: int = AUDIT) -> tuple[int, in
                     w.append(i)
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(w, pa.int64())], ["a", "b"])
 
-    links = over_batches(one.select("id", "points", "bits"), brute, "a long, b long")
+    dealt = one.select("id", "points", "bits").repartition(4 * one.sparkSession.sparkContext.defaultParallelism, "id")
+    links = over_batches(dealt, brute, "a long, b long")
     x, y = (comp.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
     held = links.join(x, "a", "left").join(y, "b", "left")
     r = held.agg(F.count("*").alias("n"), F.sum((F.col("ra") == F.col("rb")).cast("int")).alias("same")).first()
@@ -526,15 +559,26 @@ def image_copies(media: DataFrame, decoder: Callable[[bytes], np.ndarray | None]
     x = one.select(F.col("id").alias("a"), F.col("points").alias("pa"), F.col("bits").alias("da"))
     y = one.select(F.col("id").alias("b"), F.col("points").alias("pb"), F.col("bits").alias("db"))
 
+    halves = scratch.save(over_batches(pointed.select("id", "bits"), _half, "id long, half binary"))
+
     def verified(pairs: DataFrame) -> DataFrame:
-        both = scratch.save(pairs).join(x, "a").join(y, "b").select("a", "b", "pa", "da", "pb", "db")
-        return scratch.save(over_batches(both, _verified, "a long, b long"))
+        given = scratch.save(pairs)
+        p, q = (halves.select(F.col("id").alias(c), F.col("half").alias(f"h{c}")) for c in "ab")
+        some = given.join(p, "a").join(q, "b").select("a", "b", "ha", "hb")
+        some = scratch.save(over_batches(some, _halves, "a long, b long"))
+        both = some.join(x, "a").join(y, "b").select("a", "b", "pa", "da", "pb", "db")
+        out = scratch.save(over_batches(both, _verified, "a long, b long"))
+        scratch.drop(given)
+        scratch.drop(some)
+        return out
 
     near = verified(met)
     scratch.drop(held)
     comp = connected_components(near, scratch)
     images = pointed.join(comp, one.id == comp.node, "left").select("id", F.coalesce("root", "id").alias("comp"), "bits", "points")
-    more = verified(crowded_pairs(scratch.save(images), scratch))
+    images = scratch.save(images)
+    more = verified(crowded_pairs(images, scratch))
+    scratch.drop(images)
     if not more.isEmpty():
         comp = connected_components(near.union(more), scratch)
     n, same = audit(pointed, comp)

@@ -316,12 +316,12 @@ def test_crowded_image_buckets(spark, monkeypatch):
         d[:, 8:] ^= (rng.random((len(d), 8)) < 0.25).astype(np.uint8) << 3
         d[:, 12:] ^= 255 * (rng.random((len(d), 4)) < 0.3).astype(np.uint8)
         d[:, 0] ^= (rng.random(len(d)) < 0.5).astype(np.uint8)
-        images.append((i + 1, 1 if i < 50 else i // 3, d.tobytes(), (corners[own] + np.float32([i % 7, i % 5, 0, 0])).tobytes()))
+        images.append((i + 1, 1 if i < 50 else i // 3, d.tobytes(), imagedesc.packed(corners[own] + np.float32([i % 7, i % 5, 0, 0]))))
     monkeypatch.setattr(imagedesc, "COMMON", 1)
     read = lambda raw: np.frombuffer(raw, np.uint8).reshape(-1, 16)
     want, holders = set(), {}
     for i, comp, raw, points in images:
-        d, p = read(raw), np.frombuffer(points, np.float32).reshape(-1, 4).astype(float)
+        d, p = read(raw), imagedesc.unpacked(points).astype(float)
         for k in range(len(d)):
             for band in range(imagedesc.NARROW_BANDS):
                 holders.setdefault((band, d[k, 3 * band : 3 * band + 3].tobytes()), []).append((i, comp, d, p, k))
@@ -336,7 +336,7 @@ def test_crowded_image_buckets(spark, monkeypatch):
 
     def common(u, v):
         (b, x, y, t), (c, z, w, r) = u, v
-        return (b ^ c).bit_count() <= 7 and np.hypot(x - z, y - w) <= 2.5 + 0.15 * np.hypot(x, y) and abs((t - r + np.pi) % (2 * np.pi) - np.pi) <= 0.5
+        return (b ^ c).bit_count() <= imagedesc.NEAR_BITS and np.hypot(x - z, y - w) <= 2.5 + 0.15 * np.hypot(x, y) and abs((t - r + np.pi) % (2 * np.pi) - np.pi) <= 0.5
 
     for own in holders.values():
         for (i, ci, d, p, k), (j, cj, e, q, m) in itertools.combinations(own, 2):
