@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gatelens.functions import scalar as S
-from gatelens.operators import leaves, relational, scoring
+from gatelens.operators import leaves, relational
 from gatelens.plans.catalog import T, query, r, z_events
 from gatelens.plans.oracles import ORACLES, Z
 from gatelens.plans.oracles import r as q
