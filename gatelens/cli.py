@@ -1,4 +1,4 @@
-"""Command line: python -m gatelens.cli audit | signals | states | traces | gate-score | fixture | bench."""
+"""Command line: python -m gatelens.cli audit | signals | states | traces | gate-score | fixture | bench | suite."""
 
 from __future__ import annotations
 
@@ -95,6 +95,12 @@ def bench(spark: SparkSession, sizes: list[int], config: audit.AuditConfig, seed
     return out
 
 
+def suite(spark: SparkSession, rows: int, config: audit.AuditConfig, datasets: int = 20) -> DataFrame:
+    """The outcome of audits of so many made-up benchmarks, one row each: seed, rows, seconds, and how bad rows were told."""
+    out = [{"seed": 100 + i, **bench(spark, [rows], config, 100 + i)[0]} for i in range(datasets)]
+    return spark.createDataFrame([tuple(r.values()) for r in out], "seed int, rows int, seconds double, rows_per_second double, precision double, recall double, f1 double, fpr double")
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="gatelens", description=__doc__)
     sub = parser.add_subparsers(dest="command", required=True)
@@ -126,6 +132,11 @@ def main(argv: list[str] | None = None) -> None:
     p = sub.add_parser("bench")
     p.add_argument("--sizes", default="1000")
     settings(p)
+    p = sub.add_parser("suite")
+    p.add_argument("target")
+    p.add_argument("--rows", type=int, default=200)
+    p.add_argument("--datasets", type=int, default=20)
+    settings(p)
     args = parser.parse_args(argv)
     spark = session()
     if args.command == "audit":
@@ -146,6 +157,8 @@ def main(argv: list[str] | None = None) -> None:
         tables.write_rows(made(spark, args.good, args.bad), args.target, "csv")
     elif args.command == "bench":
         print(json.dumps(bench(spark, [int(n) for n in args.sizes.split(",")], config_of(args))))
+    elif args.command == "suite":
+        tables.write_rows(suite(spark, args.rows, config_of(args), args.datasets), args.target, "csv")
 
 
 if __name__ == "__main__":

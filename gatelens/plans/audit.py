@@ -166,16 +166,24 @@ def soft_thresholds(table: DataFrame, rules: tuple, q: float = 0.99) -> tuple[Da
 
 
 def leaf_part(g: DataFrame, config: AuditConfig, embedder) -> DataFrame | None:
-    """Leaf results (id, leaf, rule, signal, available, pass): density of the leaves that enough rows of a group hold."""
-    parts = saved(gates.leaves(g.where("hard_gate_pass"), ["id", "group_id"], "output"))
-    big = leaves.leaf_groups(parts, "group_id", "path", "leaf", config.leaf_rows)
-    big = big.where(token_count("leaf") > 0)
+    """Leaf results (id, group_id, leaf, rule, signal, threshold, available, pass): all signals of the leaves that enough rows of a group hold.
+
+    A leaf of a group is a group of its own, its text the output; thresholds are weighted quantiles, as of whole outputs.
+    """
+    parts = saved(gates.leaves(g.where("hard_gate_pass"), ["id", "group_id", "input"], "output"))
+    big = leaves.leaf_groups(parts, "group_id", "path", "leaf", config.leaf_rows).where(token_count("leaf") > 0)
     if big.isEmpty():
         return None
-    big = big.withColumn("_id", F.concat_ws("\x1f", F.col("id").cast("string"), "path"))
-    v = embedders.embed(big, {"v": "leaf"}, embedder, "_id").join(big.select("_id", "id", "group_id", "path"), "_id")
-    x = leaves.leaf_density(saved(v.drop("_id")), "id", "group_id", "path", "v")
-    return saved(x.select("id", "group_id", F.col("path").alias("leaf"), F.lit("output").alias("rule"), F.col("density").alias("signal"), "threshold", F.lit(True).alias("available"), "pass"))
+    # a row may hold many leaves: each has an id of its own
+    big = saved(big.withColumn("_id", F.concat_ws("\x1f", F.col("id").cast("string"), "path")))
+    v = embedders.embed(big, {"x": "input", "y": "leaf"}, embedder, "_id")
+    named = big.select(F.col("_id").alias("id"), F.concat_ws("\x1f", "group_id", "path").alias("group_id"))
+    table, limits = soft_thresholds(saved(signal_table(v.withColumnRenamed("_id", "id").join(named, "id"), config)), RULES)
+    long = table.select("id", "group_id", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).cast("double").alias("signal")) for r in RULES])).alias("s")).select("id", "group_id", "s.*")
+    x = with_group(long, saved(limits), ["group_id", "rule"]).withColumn("available", F.col("signal").isNotNull()).withColumn("pass", F.coalesce(F.col("signal") <= F.col("threshold"), F.lit(True)))
+    back = big.select(F.col("_id").alias("_lid"), F.col("id").alias("_row"), F.col("group_id").alias("_group"), F.col("path").alias("leaf"))
+    x = x.join(back, F.col("id") == F.col("_lid"))
+    return saved(x.select(F.col("_row").alias("id"), F.col("_group").alias("group_id"), "leaf", "rule", "signal", "threshold", "available", "pass"))
 
 
 def run(rows: DataFrame, config: AuditConfig = AuditConfig(), embed=None) -> Audit:  # noqa: B008
