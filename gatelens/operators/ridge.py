@@ -131,10 +131,12 @@ def ensemble_signal(rows: DataFrame, key: str, x: str, y: str, weight: str | Non
             coef, bias = kernels.solve_ridge(g[1:, 1:] - g[0, 0] * np.outer(mx, mx), c[1:] - g[0, 0] * np.outer(mx, my), mx, my, ALPHA)
             own.append((kernels.low_rank(coef, m.rank) if m.rank else coef, bias))
         fitted.append(own)
-    fit = rows.sparkSession.sparkContext.broadcast((team, fitted))  # as wide as the features, whatever the rows
+    # as wide as the features, whatever the rows; plain values, as a broadcast travels without the code
+    fit = rows.sparkSession.sparkContext.broadcast(([vars(m) for m in team], fitted))
 
     def residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        team, fitted = fit.value
+        held, fitted = fit.value
+        team = [Member(**m) for m in held]
         for b in batches:
             if not b.num_rows:
                 continue
