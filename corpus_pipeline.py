@@ -9,8 +9,8 @@ from gatelens.llm import linededup, mixing, piecebpe, puquality, simhash
 from gatelens.llm.common import Scratch, read
 from gatelens.llm.queries import tokenizer_model
 
-#: Near duplicates of the pipeline: shingles of so many words, and their least Jaccard similarity.
-NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
+#: Near duplicates of the pipeline: shingles of so many words, their least Jaccard similarity, and the bits in which fingerprints may differ.
+NEAR_WORDS, NEAR_SIMILARITY, NEAR_BITS = 5, 0.8, 3
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.keep_one(docs, NEAR_WORDS, NEAR_SIMILARITY)
+    """One document of each group of near duplicates, by fingerprints at anchors and then by the sets of shingles for links farther apart."""
+    return simhash.keep_one(docs, NEAR_WORDS, NEAR_SIMILARITY, NEAR_BITS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

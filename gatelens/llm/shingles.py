@@ -13,6 +13,8 @@ never written; the others are held against the sets.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,6 +30,8 @@ SEED = 42
 SKETCH, CARRIED = 32, 64
 #: Texts of which one is sampled; times a shingle stands in the sample to come late in the order; most of these.
 SAMPLED, OFTEN, MOST_OFTEN = 16, 8, 200_000
+#: Classes that a task knows it has given already.
+MOST_SEEN = 1 << 20
 #: Hubs of a shingle.
 HUBS = 4
 BLOCK = 1024
@@ -43,6 +47,12 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.array(sorted({digest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))} if w else ()), np.uint64).view(np.int64)
 
 
+def majority(s: np.ndarray) -> int:
+    """The SimHash of a set of hashes, as a signed integer: a bit is 1 if it is in over half of them; zero for the empty set."""
+    votes = np.unpackbits(s.byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(s)).tobytes(), "big", signed=True)
+
+
 def _sketch(s: np.ndarray) -> bytes:
     """Parities of the set's counts per low bits of the hash; at least a bit for each member, a power of two in all."""
     bits = max(8 * SKETCH, 1 << (max(1, len(s)) - 1).bit_length())
@@ -69,16 +79,16 @@ def _apart(sketch: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, words: int) -> DataFrame:
-    """The rows (row, with a text) with _key, equal for equal shingle sets (zero for the empty one), _n, the set's size, and _sketch."""
+    """The rows (row, with a text) with _key, equal for equal shingle sets (zero for the empty one), _n, the set's size, _sketch, and _fp, its SimHash."""
     at = docs.columns.index("row")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, words) for t in b.column(at).field("text").to_pylist()]
         keys = [int(np.frombuffer(xxhash.xxh64_digest(s.tobytes(), SEED), np.int64)[0]) if len(s) else 0 for s in sets]
-        more = [pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_sketch(s) for s in sets], pa.binary())]
-        return pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "_key", "_n", "_sketch"])
+        more = [pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_sketch(s) for s in sets], pa.binary()), pa.array([majority(s) for s in sets], pa.int64())]
+        return pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "_key", "_n", "_sketch", "_fp"])
 
-    more = [T.StructField("_key", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_sketch", T.BinaryType())]
+    more = [T.StructField("_key", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_sketch", T.BinaryType()), T.StructField("_fp", T.LongType())]
     schema = T.StructType([*docs.schema.fields, *more])
     return over_batches(docs, run, schema)
 
@@ -100,14 +110,19 @@ def _least(n, similarity: float):
 
 
 def prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(t, key, pos, n): the shingles at which a set of size n meets others, and their places in its order."""
+    """(t, key, pos, n): the shingles at which a set of size n meets others, and their places in its order; a class may repeat."""
     late, count = _often(rows, words)
     shared = rows.sparkSession.sparkContext.broadcast((late, count))
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+    def some(b: pa.RecordBatch, seen: set[int]) -> pa.RecordBatch:
         late, count = shared.value
         out: list[tuple] = []
         for text, key in zip(texts(b), b.column(1).to_pylist(), strict=True):
+            if key in seen:
+                continue
+            if len(seen) >= MOST_SEEN:
+                seen.clear()
+            seen.add(key)
             s = shingle_set(text, words)
             if not len(s):
                 continue
@@ -121,7 +136,12 @@ def prefixes(rows: DataFrame, words: int, similarity: float) -> DataFrame:
         cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(4)]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["t", "key", "pos", "n"])
 
-    return over_batches(rows.select(F.col("row.text").alias("text"), "_key"), run, "t long, key long, pos long, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            yield some(b, seen)
+
+    return rows.select(F.col("row.text").alias("text"), "_key").mapInArrow(run, "t long, key long, pos long, n long")
 
 
 def _fit(pos: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
@@ -218,17 +238,21 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float,
     return good
 
 
-def links(rows: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """Edges (a long, b long) of keys, whose components are those of all pairs with the similarity; rows as of keyed, saved."""
+def links(rows: DataFrame, words: int, similarity: float, scratch: Scratch, suggested: DataFrame) -> DataFrame:
+    """Edges (a long, b long) of keys, whose components are those of all pairs with the similarity; rows as of keyed, saved.
+
+    suggested: pairs (a long, b long) that are held against the sets first, with those of hubs.
+    """
     text_batches(rows.sparkSession)
-    # shingles of one class are dropped, however many its copies are
-    at = prefixes(rows, words, similarity).dropDuplicates(["t", "key"])
+    # shingles of one class are dropped, however many its copies are; dealt by shingle alone, so that they are dealt once
+    at = prefixes(rows, words, similarity).repartition("t").dropDuplicates(["t", "key"])
     w = Window.partitionBy("t")
     at = at.withColumn("lo", F.min("key").over(w)).withColumn("hi", F.max("key").over(w)).where("lo < hi").drop("lo", "hi")
     carried = F.when(F.length("_sketch") <= CARRIED, F.col("_sketch")).alias("p")
     sketches = rows.select(F.col("_key").alias("key"), carried).dropDuplicates(["key"])
     at = scratch.save(at.join(sketches.hint("merge"), "key"))
-    first = _verified(scratch.save(candidates(at.withColumn("comp", F.col("key")), similarity, HUBS)), rows, words, similarity, scratch)
+    pairs = candidates(at.withColumn("comp", F.col("key")), similarity, HUBS).union(suggested).distinct()
+    first = _verified(scratch.save(pairs), rows, words, similarity, scratch)
     comp = connected_components(first, scratch).select(F.col("node").alias("key"), "root")
     left = join_checked(at, comp, "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
     out = first.union(_verified(scratch.save(candidates(left, similarity, None)), rows, words, similarity, scratch))

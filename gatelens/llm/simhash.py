@@ -7,7 +7,8 @@ is replicated to every anchor within the covering radius plus the half's thresho
 halves within one bit always meet at the nearest anchor of either. They are compared per anchor, on all 64 bits.
 
 An anchor where more than HOT_HOMES fingerprints live is split exactly: the other halves of a link differ in at most
-two bits, so one of three parts of the other half is equal, and that part joins the anchor in the key.
+two bits, so one of three parts of the other half is equal, and that part joins the anchor in the key. The same anchors
+also find all fingerprints that differ in three bits, with four parts.
 Only distinct fingerprints are compared; copies share one.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from gatelens.llm import shingles
 from gatelens.llm.common import Scratch, join_checked, over_batches, texts
-from gatelens.llm.components import connected_components
+from gatelens.llm.components import connected_components, thin
 
 SEED = 42
 WORDS = 3
@@ -109,18 +110,21 @@ def _anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "fp", "home"])
 
 
-def links(fps: DataFrame, scratch: Scratch, hot_homes: int = HOT_HOMES) -> DataFrame:
-    """Edges (a long, b long) of all linked pairs of a table of distinct fingerprints (fp long)."""
+def links(fps: DataFrame, scratch: Scratch, hot_homes: int = HOT_HOMES, bits: int = BITS) -> DataFrame:
+    """Edges (a long, b long) of all pairs of a table of distinct fingerprints (fp long) that differ in at most so many bits."""
+    if bits not in (2, 3):
+        raise ValueError("the anchors cover two or three bits")
     at = scratch.save(over_batches(fps.select("fp"), _anchors, "anchor long, fp long, home boolean"))
     hot = at.where("home").groupBy("anchor").count().where(F.col("count") > hot_homes)
     hot = scratch.save(hot.select("anchor", F.lit(True).alias("hot")), files=8)
     # the other half: bits 32-63 for anchors of half 0, bits 0-31 for those of half 1
     shift = F.when(F.shiftright("anchor", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp")).bitwiseAND(F.lit(0xFFFFFFFF))
-    parts = [F.shiftright(shift, 11 * j).bitwiseAND(F.lit(0x7FF)).bitwiseOR(F.lit((j + 1) << 11)).cast("int") for j in range(3)]
+    width = -(-32 // (bits + 1))
+    parts = [F.shiftright(shift, width * j).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit((j + 1) << width)).cast("int") for j in range(bits + 1)]
     keyed = join_checked(at, hot, "anchor", "left").withColumn("part", F.explode(F.when(F.col("hot"), F.array(*parts)).otherwise(F.array(F.lit(0)))))
     keyed = keyed.select("anchor", "part", "fp", "home")
     a, b = keyed.where("home").drop("home").withColumnRenamed("fp", "a"), keyed.drop("home").withColumnRenamed("fp", "b")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
     return a.hint("merge").join(b, ["anchor", "part"]).where(near).select("a", "b")
 
 
@@ -145,12 +149,27 @@ def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, similarity: float | None = None) -> DataFrame:
+def near_classes(rows: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
+    """(a long, b long): pairs of classes that join all whose fingerprints differ in at most so many bits; rows as of shingles.keyed.
+
+    A fingerprint stands for the class of the least key that has it; its other classes are paired with that one.
+    """
+    classes = scratch.save(rows.where("_n > 0").groupBy("_key").agg(F.first("_fp").alias("fp")))
+    of = scratch.save(classes.groupBy("fp").agg(F.min("_key").alias("rep")))
+    own = join_checked(classes, of, "fp", "inner").where("_key <> rep").select(F.col("rep").alias("a"), F.col("_key").alias("b"))
+    near = scratch.save(thin(links(of, scratch, bits=bits)).distinct())  # a crowd of near fingerprints has no square of pairs
+    for c in "ab":
+        near = join_checked(near, of.select(F.col("fp").alias(c), F.col("rep").alias(f"r{c}")), c, "inner")
+    return near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).union(own)
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, similarity: float | None = None, bits: int = BITS) -> DataFrame:
     """The document with the smallest doc_id of each component, every column kept; of repeated rows one stays.
 
-    With a similarity, documents link whose sets of shingles have at least that Jaccard similarity; else those whose
-    fingerprints differ in at most BITS bits. At a similarity of 0.8 fingerprints differ in about 10 bits, and in a few
-    more or less by chance: no radius that anchors can cover finds all such pairs, so the sets themselves are joined.
+    Documents link whose fingerprints differ in at most so many bits. With a similarity, the fingerprints are those of
+    the sets of shingles, and such pairs link if the sets have at least that Jaccard similarity. At a similarity of 0.8
+    fingerprints differ in about 10 bits, more than anchors can cover: so the sets themselves are joined for the links
+    between components that remain, and none is lost.
     Rows without doc_id stay only if their component has no row with one, and then all of them stay.
     """
     scratch = Scratch(docs.sparkSession)
@@ -158,7 +177,10 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float | None = Non
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
     rows = scratch.save(shingles.keyed(docs, words) if similarity is not None else with_fingerprints(docs, words))
     classes = scratch.save(rows.groupBy("_key").agg(F.min("id").alias("first")))
-    edges = shingles.links(rows, words, similarity, scratch) if similarity is not None else links(classes.select(F.col("_key").alias("fp")), scratch)
+    if similarity is not None:
+        edges = shingles.links(rows, words, similarity, scratch, near_classes(rows, bits, scratch))
+    else:
+        edges = links(classes.select(F.col("_key").alias("fp")), scratch, bits=bits)
     comp = connected_components(edges, scratch)
     of = scratch.save(classes.join(comp, classes._key == comp.node, "left").select("_key", "first", F.coalesce("root", "_key").alias("root")))
     # ids may repeat in other components, so a row is known by its id and key
