@@ -78,6 +78,9 @@ class Tables:
         self._bounds(plain)
         self.control = {i for i in ids if sp.is_control(i)}
         self.byte_of = {int(i): b for b, i in enumerate(self.bytes)}
+        # what an id is read as, None for bytes, and its digits
+        self.shown = [None if i in self.byte_of else "" if i in self.control else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
+        self.digits = [str(i) for i in ids]
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that each pair merges to, or -1. Symbols below zero are characters without a piece."""
@@ -128,13 +131,17 @@ class Tables:
         done: list[list[int]] = [[] for _ in units]
 
         def leave(s: np.ndarray, u: np.ndarray) -> None:
-            cuts = np.flatnonzero(np.diff(u)) + 1
-            for part, k in zip(np.split(s, cuts), u[np.concatenate(([0], cuts))].tolist() if len(u) else [], strict=False):
-                done[k] = part.tolist()
-
+            starts = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+            flat, cuts = s.tolist(), [*starts.tolist(), len(s)]
+            for k, lo, hi in zip(u[starts].tolist(), cuts, cuts[1:], strict=False):
+                done[k] = flat[lo:hi]
+            for k in np.unique(u[s < 0]).tolist():
+                done[k] = self._fall_back(done[k])
+
+        # what the pair of a symbol and the next one merges to; of a merge, only the pairs around it are looked up again
+        to = np.append(np.where(unit[1:] == unit[:-1], self.pairs(sym[:-1], sym[1:]), -1), -1)[: len(sym)]
         while len(sym):
             same = unit[1:] == unit[:-1]
-            to = np.append(np.where(same, self.pairs(sym[:-1], sym[1:]), -1), -1)
             rank = np.where(to >= 0, self.rank[to], NONE)
             starts = np.concatenate(([0], np.flatnonzero(~same) + 1))
             best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(sym))))
@@ -159,12 +166,15 @@ class Tables:
             sym[take] = to[take]
             keep = np.ones(len(sym), bool)
             keep[take + 1] = False
-            sym, unit = sym[keep], unit[keep]
-        return [self._fall_back(s) for s in done]
+            at = np.cumsum(keep)[take] - 1
+            sym, unit, to = sym[keep], unit[keep], to[keep]
+            to[at] = -1
+            at = np.concatenate((at[at > 0] - 1, at))
+            at = at[at + 1 < len(sym)]
+            to[at] = np.where(unit[at] == unit[at + 1], self.pairs(sym[at], sym[at + 1]), -1)
+        return done
 
     def _fall_back(self, symbols: list[int]) -> list[int]:
-        if min(symbols, default=0) >= 0:
-            return symbols
         out: list[int] = []
         for s in symbols:
             out += [s] if s >= 0 else self.bytes[list(chr(-1 - s).encode("utf-8", "surrogatepass"))].tolist()
@@ -172,6 +182,10 @@ class Tables:
 
     def decode_raw(self, ids: list[int]) -> str:
         """Text of ids with the dummy prefix still there; runs of byte pieces read as UTF-8, bad bytes as U+FFFD each."""
+        try:
+            return "".join([self.shown[i] for i in ids])
+        except TypeError:  # bytes, which are shown as None
+            pass
         out, run = [], bytearray()
         for i in ids:
             b = self.byte_of.get(i)
@@ -181,8 +195,7 @@ class Tables:
             if run:
                 out.append(_utf8(bytes(run)))
                 run.clear()
-            if i not in self.control:
-                out.append(self.pieces[i].replace(SPACE, " "))
+            out.append(self.shown[i])
         if run:
             out.append(_utf8(bytes(run)))
         return "".join(out)
@@ -239,19 +252,23 @@ def split(text: str) -> list[str]:
 
 def encoder(tables: Tables):
     """A function from texts to (id string, ids, decoded text) triples that keeps what it has encoded."""
-    cache: dict[str, tuple[str, int, str]] = {}
+    ids_of: dict[str, str] = {}
+    text_of: dict[str, str] = {}
+    end = tables.digits[tables.end]
 
     def run(batch: list[str]) -> Iterator[tuple[str, int, str]]:
-        if len(cache) > CACHE_UNITS:
-            cache.clear()
+        if len(ids_of) > CACHE_UNITS:
+            ids_of.clear()
+            text_of.clear()
         parts = [UNIT.findall(" " + t.replace(SPACE, " ")) if t else [] for t in batch]
-        fresh = [u for u in dict.fromkeys(u for p in parts for u in p) if u not in cache]
+        fresh = list(set().union(*parts).difference(ids_of))
         for u, ids in zip(fresh, tables.encode_units([u.replace(" ", SPACE) for u in fresh]), strict=True):
-            cache[u] = (" ".join(map(str, ids)), len(ids), tables.decode_raw(ids))
-        end = str(tables.end)
+            ids_of[u] = " ".join([tables.digits[i] for i in ids])
+            back = tables.decode_raw(ids)
+            text_of[u] = u if back == u else back  # one string where they are equal
         for p in parts:
-            got = [cache[u] for u in p]
-            yield " ".join([*(g[0] for g in got), end]), sum(g[1] for g in got) + 1, "".join([g[2] for g in got]).removeprefix(" ")
+            ids = " ".join([*map(ids_of.__getitem__, p), end])
+            yield ids, ids.count(" ") + 1, "".join(map(text_of.__getitem__, p)).removeprefix(" ")
 
     return run
 
