@@ -45,6 +45,10 @@ class Scratch:
             with contextlib.suppress(Exception):
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def release(self) -> None:
+        """Have shuffle files of steps that are done deleted: Spark does so once the driver's JVM has collected what names them."""
+        self.spark._jvm.System.gc()
+
 
 def fresh(name: str, taken: list[str]) -> str:
     """A column name that no column has, upper and lower case alike."""

@@ -42,6 +42,8 @@ BEFORE = 6
 MEETINGS = 2
 #: Images of a bucket that a task compares as it reads; above, it is cut into blocks of about so many rows.
 SMALL, BLOCK = 1024, 1024
+#: Bins of buckets whose rows are counted first; only buckets of a bin of more than SMALL rows are counted by themselves.
+BINS = 1 << 16
 #: Rows that a task reads before it compares those of each bucket; pairs whose neighbours are compared at once.
 RUN_ROWS = 16_384
 PAIRS = 1 << 15
@@ -422,6 +424,15 @@ def _small_pairs(batches):
         yield pairs(np.concatenate(held, axis=1), np.concatenate(around))
 
 
+def crowded_buckets(held: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, mixed) of buckets of more than SMALL rows (key, comp); mixed: whether they hold several components."""
+    bin_ = F.pmod(F.xxhash64("key"), F.lit(BINS))
+    full = scratch.save(held.groupBy(bin_.alias("bin")).count().where(F.col("count") > SMALL).select("bin"), files=8)
+    some = held.withColumn("bin", bin_).join(F.broadcast(full), "bin", "left_semi")  # at most BINS rows
+    crowded = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return scratch.save(crowded.where(F.col("n") > SMALL).select("key", (F.col("lo") != F.col("hi")).alias("mixed")))
+
+
 def crowded_pairs(images: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): pairs of different components that are alike in a narrow bucket.
 
@@ -429,11 +440,12 @@ def crowded_pairs(images: DataFrame, scratch: Scratch) -> DataFrame:
     """
     images = images.select("id", "comp", "bits", "points")
     held = over_batches(images, _buckets, "key long, comp long")
-    crowded = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    crowded = scratch.save(crowded.where(F.col("n") > SMALL).select("key", (F.col("lo") != F.col("hi")).alias("mixed")))
+    crowded = crowded_buckets(held, scratch)
+    scratch.release()
     seen = over_batches(images, _descriptors, "key long, id long, comp long, lo long, hi long, near binary")
     few = join_checked(seen, crowded.select("key"), "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    few = few.mapInArrow(_small_pairs, "a long, b long")
+    few = scratch.save(few.mapInArrow(_small_pairs, "a long, b long"))
+    scratch.release()
     mixed = scratch.save(crowded.where("mixed").select("key"), files=8)
     parts = scratch.save(join_checked(held, mixed, "key", "inner").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")))
     # so many rows are in small components: blocks are cut by them alone, else few rows would be copied to many blocks
@@ -566,10 +578,12 @@ def image_copies(media: DataFrame, decoder: Callable[[bytes], np.ndarray | None]
         p, q = (halves.select(F.col("id").alias(c), F.col("half").alias(f"h{c}")) for c in "ab")
         some = given.join(p, "a").join(q, "b").select("a", "b", "ha", "hb")
         some = scratch.save(over_batches(some, _halves, "a long, b long"))
+        scratch.release()
         both = some.join(x, "a").join(y, "b").select("a", "b", "pa", "da", "pb", "db")
         out = scratch.save(over_batches(both, _verified, "a long, b long"))
         scratch.drop(given)
         scratch.drop(some)
+        scratch.release()
         return out
 
     near = verified(met)
