@@ -187,7 +187,7 @@ SELECT g, size, {q('gate', 'gate_rate')}, {q('p', 'pass_rate')}, {q('f', 'fail_r
 
 @query
 def group_run_summary(spark, d):
-    e = T(spark, d, "events").withColumn("k", F.pmod("event_id", F.lit(66)) + 15).withColumn("w", F.least(F.lit(1.0), 20 / F.col("value"))).withColumn("a", F.pmod("event_id", F.lit(9)) != 0)
+    e = T(spark, d, "events").withColumn("k", F.pmod("event_id", F.lit(66)) + 15).withColumn("w", F.least(F.lit(1.0), F.try_divide(F.lit(20.0), "value"))).withColumn("a", F.pmod("event_id", F.lit(9)) != 0)
     x = leaves.run_summary(e, ["event_type"], "k", "w", "a")
     return x.select("event_type", "n", "k_least", r("k_median"), "k_most", r("w05"), r("w50"), r("w95"), r("weighted_down"), r("available_rate"))
 
