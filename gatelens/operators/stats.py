@@ -87,6 +87,12 @@ def weighted_quantile(df: DataFrame, by: list[str], value: str, weight: str, qs:
     return g.select(*by, "q", F.coalesce(between, "lo._x", "hi._x").alias("value"))
 
 
+def sum_in_order(df: DataFrame, by: list[str], value: str, order: str, name: str) -> DataFrame:
+    """by, name: sums taken row after row in an order, so that their last digits don't hang on how rows are dealt."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.select(*by, order, F.sum(value).over(w).alias("_run")).groupBy(*by).agg(F.max_by("_run", order).alias(name))
+
+
 def boxplot(df: DataFrame, by: list[str], value: str) -> DataFrame:
     x = df.withColumn("_x", finite(value)).where("_x is not null")
     q = x.groupBy(*by).agg(F.count("*").alias("n"), F.min("_x").alias("low"), F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.max("_x").alias("high"))
