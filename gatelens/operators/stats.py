@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelens.functions.scalar import finite
-from gatelens.sources.scratch import with_group
+from gatelens.sources.scratch import saved, with_group
 
 MAD_SCALE = 1.4826
 EPS = 1e-9
@@ -21,6 +21,7 @@ def center(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, n, median, mad, sigma, flat: one row per group; finite values only."""
     x = df.withColumn("_x", finite(value)).where("_x is not null")
     med = x.groupBy(*by).agg(F.count("*").alias("n"), F.median("_x").alias("median"))
+    med = saved(med)
     dev = x.join(med, by) if by else x.crossJoin(F.broadcast(med))
     mad = dev.groupBy(*by, "n", "median").agg(F.median(F.abs(F.col("_x") - F.col("median"))).alias("mad"))
     sigma = MAD_SCALE * F.col("mad")
@@ -32,17 +33,18 @@ def robust_z(df: DataFrame, by: list[str], value: str, reference: Column | None
     x = finite(value)
     ref = F.lit(True) if reference is None else reference
     med = df.groupBy(*by).agg(F.coalesce(F.median(F.when(ref, x)), F.median(x)).alias("_med"))
-    out = with_group(df, med, by)
+    # what is saved has a known size: rows meet a few groups by a broadcast, not in as many tasks as there are groups
+    out = with_group(df, saved(med), by)
     dev = F.abs(x - F.col("_med"))
     mad = out.groupBy(*by).agg(F.coalesce(F.median(F.when(ref, dev)), F.median(dev)).alias("_mad"))
-    return with_group(out, mad, by).withColumn("z", (x - F.col("_med")) / (MAD_SCALE * F.col("_mad") + EPS)).drop("_med", "_mad")
+    return with_group(out, saved(mad), by).withColumn("z", (x - F.col("_med")) / (MAD_SCALE * F.col("_mad") + EPS)).drop("_med", "_mad")
 
 
 def robust_sigma(df: DataFrame, by: list[str], value: str, eps: float = 1e-12) -> DataFrame:
     """by, median, sigma: MAD, IQR, or the 10-90 span, the first that is positive; null if none is."""
     x = df.withColumn("_x", finite(value)).where("_x is not null")
     q = x.groupBy(*by).agg(F.percentile("_x", F.array(*[F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)])).alias("_q"))
-    d = with_group(x.select(*by, "_x"), q, by).groupBy(*by, "_q").agg(F.median(F.abs(F.col("_x") - F.col("_q")[2])).alias("_mad"))
+    d = with_group(x.select(*by, "_x"), saved(q), by).groupBy(*by, "_q").agg(F.median(F.abs(F.col("_x") - F.col("_q")[2])).alias("_mad"))
     steps = (MAD_SCALE * F.col("_mad"), (F.col("_q")[3] - F.col("_q")[1]) / 1.349, 0.7413 * (F.col("_q")[4] - F.col("_q")[0]))
     return d.select(*by, F.col("_q")[2].alias("median"), F.coalesce(*[F.when(s > eps, s) for s in steps]).alias("sigma"))
 
@@ -51,7 +53,7 @@ def scale_ladder(df: DataFrame, by: list[str], value: str, eps: float = 1e-12) -
     """by, n, median, sigma, source: MAD, upper-half MAD, upper-half IQR, IQR, or the 10-90 span, the first that is positive."""
     x = df.withColumn("_x", finite(value)).where("_x is not null")
     q = x.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("_x", F.array(*[F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)])).alias("_q"))
-    q = q.withColumn("median", F.col("_q")[2])
+    q = saved(q.withColumn("median", F.col("_q")[2]))
     d = x.join(q, by)
     up = F.col("_x") >= F.col("median")
     s = d.groupBy(*by, "n", "median", "_q").agg(
@@ -182,6 +184,7 @@ def top_repeats(df: DataFrame, text: str, k: int = 10) -> DataFrame:
 def weighted_center(df: DataFrame, by: list[str], value: str, weight: str, order: str) -> DataFrame:
     """by, median, mad: weighted median, and weighted median of the distances from it."""
     med = weighted_quantile(df, by, value, weight, [0.5], order).select(*by, F.col("value").alias("median"))
+    med = saved(med)
     x = with_group(df, med, by).withColumn("_dev", F.abs(finite(value) - F.col("median")))
     mad = weighted_quantile(x.where("_dev is not null"), by, "_dev", weight, [0.5], order).select(*by, F.col("value").alias("mad"))
     return with_group(med, mad, by)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from gatelens.operators.stats import robust_sigma
 from gatelens.sources.scratch import saved, with_group
 
 
+#: Rows of a range at most, whatever the table; rows below which a range isn't split for the sake of idle cores.
+RANGE, SMALL = 250_000, 20_000
+
+
 def ordered(df: DataFrame, by: list[str], value: str, order: str, weight: str | None = None) -> DataFrame:
     """df with _i (place in its group in the order of value and order, from 1), _n (rows of the group) and _next (the next value).
 
@@ -17,7 +23,10 @@ def ordered(df: DataFrame, by: list[str], value: str, order: str, weight: str |
     ranges meet through their counts and first values alone.
     """
     keys = [*by, value, order]
-    x = saved(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()))
+    df = saved(df)
+    n, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    parts = max(math.ceil(n / RANGE), min(cores, math.ceil(n / SMALL)), 1)  # told, or partitions would be as large as their packed bytes allow
+    x = saved(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()))
     w = Window.partitionBy("_p", *by).orderBy(value, order)
     sums = [F.sum(weight).alias("_w")] if weight else []
     edges = x.groupBy("_p", *by).agg(F.count("*").alias("_c"), F.min(value).alias("_first"), *sums)
@@ -25,7 +34,8 @@ def ordered(df: DataFrame, by: list[str], value: str, order: str, weight: str |
     cols = [F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_ahead"), F.sum("_c").over(g).alias("_n"), F.lead("_first").over(g.orderBy("_p")).alias("_after")]
     if weight:
         cols += [F.coalesce(F.sum("_w").over(before), F.lit(0.0)).alias("_w_ahead"), F.sum("_w").over(g).alias("_total")]
-    x = with_group(x.withColumn("_i", F.row_number().over(w)).withColumn("_next", F.lead(value).over(w)), edges.select("_p", *by, *cols), ["_p", *by])
+    x = x.repartition(parts, "_p", *by)
+    x = with_group(x.withColumn("_i", F.row_number().over(w)).withColumn("_next", F.lead(value).over(w)), saved(edges.select("_p", *by, *cols)), ["_p", *by])
     x = x.withColumn("_i", F.col("_i") + F.col("_ahead")).withColumn("_next", F.coalesce("_next", "_after"))
     if weight:
         x = x.withColumn("_run", F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_w_ahead")).drop("_w_ahead")
