@@ -9,6 +9,7 @@ import json
 import os
 from dataclasses import asdict, dataclass, fields, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,11 +202,9 @@ def run(rows: DataFrame, config: AuditConfig = AuditConfig(), embed=None) -> Aud
         names = {"discourse": "discourse_instability", "contradiction": "contradiction", "self_contradiction": "self_contradiction"}
         dim = embedder
 
-        @F.pandas_udf("array<float>")
-        def vector(texts):
-            import pandas as pd
-
-            return pd.Series(dim.encode(texts.fillna("").tolist()).tolist())
+        @F.arrow_udf("array<float>")
+        def vector(texts: pa.Array) -> pa.Array:
+            return signals.float_lists(dim.encode([t or "" for t in texts.to_pylist()]))
 
         s, missing = semantics.pack(good.select("id", "output"), "id", "output", vector)
         notes["semantic"] = missing

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelens.operators.signals import hash_vector
+from gatelens.operators.signals import float_lists, hash_rows
 
 
 class Embedder(Protocol):
@@ -27,7 +27,7 @@ class HashEmbedder:
         self.name = f"hash:{self.dim}"
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        return np.array([hash_vector(t, self.dim) for t in texts], np.float32).reshape(-1, self.dim)
+        return hash_rows(texts, self.dim)
 
 
 class TransformerEmbedder:
@@ -74,7 +74,7 @@ def embed(df: DataFrame, columns: dict[str, str], embedder: Embedder, key: str,
                 for j in range(1, part.num_columns):
                     v = np.nan_to_num(embedder.encode([t or "" for t in part.column(j).to_pylist()]).astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
                     n = np.linalg.norm(v, axis=1, keepdims=True)
-                    cols.append(pa.array((v / np.where(n <= 1e-12, 1, n)).tolist(), pa.list_(pa.float64())))
+                    cols.append(float_lists(v / np.where(n <= 1e-12, 1, n)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], [key, *names])
 
     return df.select(key, *[F.col(c).cast("string") for c in columns.values()]).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"`{n}` array<double>" for n in names))
