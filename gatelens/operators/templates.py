@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
@@ -14,6 +15,8 @@ from gatelens.functions.scalar import WORD
 from gatelens.sources.scratch import saved, with_group
 
 MASK = "<TPL>"
+#: Texts whose n-grams a task counts.
+TEXTS = 50_000
 WORDS = re.compile(r"\b\w+\b")
 
 
@@ -25,7 +28,9 @@ def nfkc(texts: pd.Series) -> pd.Series:
 def placed(df: DataFrame, by: list[str], key: str, text: str, low: int, high: int) -> DataFrame:
     """by, key, n, gram, at: the first place, as a share of the words, of every n-gram of a text."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
-    x = df.select(*by, key, words.alias("_w")).withColumn("n", F.explode(F.sequence(F.lit(low), F.lit(high)))).where(F.size("_w") >= F.col("n"))
+    # texts are dealt by key, so that the n-grams of a text, which are many times its size, are counted where they are made
+    parts = max(1, math.ceil(df.count() / TEXTS))
+    x = df.select(*by, key, text).repartition(parts, key).select(*by, key, words.alias("_w")).withColumn("n", F.explode(F.sequence(F.lit(low), F.lit(high)))).where(F.size("_w") >= F.col("n"))
     x = x.select(*by, key, "n", "_w", F.explode(F.sequence(F.lit(1), F.size("_w") - F.col("n") + 1)).alias("_i"))
     return x.groupBy(*by, key, "n", F.array_join(F.slice("_w", F.col("_i"), F.col("n")), " ").alias("gram")).agg(F.min((F.col("_i") - 1) / F.size("_w")).alias("at"))
 
@@ -75,14 +80,16 @@ def masked(df: DataFrame, by: list[str], key: str, text: str, low: int = 3, high
     A group's templates travel with its rows: they are as many as n-grams of one text can be that most texts share.
     """
     t = structural(df, by, key, text, low, high, share, spread).groupBy(*by).agg(F.sort_array(F.collect_list("gram")).alias("_grams"))
-    x = with_group(df.select(*by, key, text), saved(t), by)
+    x = with_group(df.select(*by, key, text).repartition(key), saved(t), by)
 
     @F.pandas_udf("masked string, coverage double")
     def run(texts: pd.Series, grams: pd.Series) -> pd.DataFrame:
-        out = []
+        out, sets = [], {}
         for s, g in zip(texts, grams, strict=True):
-            s = s or ""
-            m, c = mask_text(s, set(g), mask) if g is not None and len(g) else (s, 0.0)
+            s, known = s or "", () if g is None else tuple(g)
+            if known not in sets:
+                sets[known] = set(known)
+            m, c = mask_text(s, sets[known], mask) if known else (s, 0.0)
             out.append((m if m.strip() or not c else mask, round(c, 4)))
         return pd.DataFrame(out, columns=["masked", "coverage"])
 
